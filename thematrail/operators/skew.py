@@ -1,0 +1,30 @@
+"""Joining rows to one value per key when one key may hold a large part of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def salted_join(rows: DataFrame, per_key: DataFrame, on: str, spread: list[str], salts: int = 32) -> DataFrame:
+    """Left join of ``rows`` to ``per_key`` (one row per key).
+
+    The rows of a key are spread over ``salts`` tasks by a hash of their
+    ``spread`` columns, and each ``per_key`` row is repeated once per salt.
+    Adaptive execution still turns this into a broadcast join when it measures
+    ``per_key`` to be small.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
+    repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    return salted.join(repeated, [on, "_salt"], "left").drop("_salt")
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, on: str, spread: list[str], max_keys: int = 1000) -> DataFrame:
+    """Like :func:`salted_join`, for rows too wide to shuffle without need.
+
+    The distinct keys of ``rows`` are counted first (only that column is read,
+    and only up to ``max_keys``); few keys are broadcast, more are salted.
+    """
+    if rows.select(on).distinct().limit(max_keys + 1).count() <= max_keys:
+        return rows.join(F.broadcast(per_key), on, "left")
+    return salted_join(rows, per_key, on, spread)
