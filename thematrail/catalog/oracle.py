@@ -51,11 +51,11 @@ top_rows AS (
   FROM shared QUALIFY place <= 5)"""
 
 EDGES = f"""{TOP_ROWS},
-leading AS (
+lead_categories AS (
   SELECT category, CAST(sum(mentions) AS BIGINT) AS mentions,
          CAST(sum(mentions) AS DOUBLE) / (SELECT CAST(sum(mentions) AS DOUBLE) FROM top_rows) * 100 AS share
   FROM top_rows GROUP BY category ORDER BY share DESC, category LIMIT 5),
-held AS (SELECT DISTINCT entity, category FROM top_rows WHERE category IN (SELECT category FROM leading)),
+held AS (SELECT DISTINCT entity, category FROM top_rows WHERE category IN (SELECT category FROM lead_categories)),
 counted AS (
   SELECT l.category AS a, r.category AS b, count(*) AS n
   FROM held l JOIN held r ON l.entity = r.entity AND l.category < r.category GROUP BY ALL),
@@ -80,10 +80,10 @@ def _summary(rows: str, n: int = 3) -> str:
 key_terms AS (SELECT category, term, n_texts FROM term_counts
   QUALIFY row_number() OVER (PARTITION BY category ORDER BY n_texts DESC, term) <= 50),
 cut AS (
-  SELECT category, row_id, unnest(found) AS sentence, generate_subscripts(found, 1) AS at
+  SELECT category, row_id, unnest(found) AS sentence, generate_subscripts(found, 1) AS pos
   FROM (SELECT category, row_id, {_split_sentences('summary')} AS found FROM {rows})),
 single AS (
-  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY category, sentence ORDER BY row_id, at) = 1),
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY category, sentence ORDER BY row_id, pos) = 1),
 scores AS (
   SELECT w.category, w.sentence, count(*) AS score
   FROM (SELECT DISTINCT category, sentence, unnest({words.format('sentence')}) AS term FROM single) w
@@ -91,8 +91,8 @@ scores AS (
 chosen AS (
   SELECT s.*, coalesce(score, 0) AS score FROM single s LEFT JOIN scores c ON s.category = c.category AND s.sentence = c.sentence
   WHERE s.category IN (SELECT category FROM key_terms)
-  QUALIFY row_number() OVER (PARTITION BY s.category ORDER BY coalesce(score, 0) DESC, row_id, at) <= {n}),
-summaries AS (SELECT category, string_agg(sentence, ' ' ORDER BY row_id, at) AS summary FROM chosen GROUP BY category)"""
+  QUALIFY row_number() OVER (PARTITION BY s.category ORDER BY coalesce(score, 0) DESC, row_id, pos) <= {n}),
+summaries AS (SELECT category, string_agg(sentence, ' ' ORDER BY row_id, pos) AS summary FROM chosen GROUP BY category)"""
 
 
 def _found(lexicon: dict, table: str) -> str:
@@ -100,26 +100,26 @@ def _found(lexicon: dict, table: str) -> str:
     terms = _terms(lexicon)
     rows = ", ".join(f"({_quoted(c)}, {_quoted(t)})" for c, found in terms.items() for t in found)
     runs = " UNION ALL ".join(
-        f"SELECT doc_id, at, array_to_string(w[i:i + {n - 1}], ' ') AS term FROM "
-        f"(SELECT doc_id, at, w, unnest(range(1, len(w) - {n - 2})) AS i FROM {table}_sentences WHERE len(w) >= {n})"
+        f"SELECT doc_id, pos, array_to_string(w[i:i + {n - 1}], ' ') AS term FROM "
+        f"(SELECT doc_id, pos, w, unnest(range(1, len(w) - {n - 2})) AS i FROM {table}_sentences WHERE len(w) >= {n})"
         for n in _sizes(t for found in terms.values() for t in found)
     )
     return rf"""{table}_lexicon(category, term) AS (VALUES {rows}),
 {table}_sentences AS (
-  SELECT doc_id, at, passage, regexp_extract_all(lower(passage), '[\p{{L}}\p{{N}}]+') AS w FROM (
-    SELECT doc_id, unnest(found) AS passage, generate_subscripts(found, 1) AS at
+  SELECT doc_id, pos, passage, regexp_extract_all(lower(passage), '[\p{{L}}\p{{N}}]+') AS w FROM (
+    SELECT doc_id, unnest(found) AS passage, generate_subscripts(found, 1) AS pos
     FROM (SELECT doc_id, {_split_sentences('text')} AS found FROM documents))),
 {table}_runs AS ({runs}),
-{table}_hits AS (SELECT doc_id, at, category, r.term FROM {table}_runs r JOIN {table}_lexicon l ON r.term = l.term),
+{table}_hits AS (SELECT doc_id, pos, category, r.term FROM {table}_runs r JOIN {table}_lexicon l ON r.term = l.term),
 {table}_counts AS (
   SELECT doc_id, source AS entity, lang AS grp, length(text) AS n_chars, category, mentions FROM (
     SELECT doc_id, category, count(*) AS mentions FROM {table}_hits GROUP BY ALL) JOIN documents USING (doc_id)),
 {table}_passages AS (
   SELECT doc_id, category, CAST(place AS INTEGER) AS place, CAST(n_terms AS INTEGER) AS n_terms, passage FROM (
-    SELECT doc_id, at, category, count(DISTINCT term) AS n_terms,
-           row_number() OVER (PARTITION BY doc_id, category ORDER BY count(DISTINCT term) DESC, at) AS place
-    FROM {table}_hits GROUP BY doc_id, at, category)
-  JOIN {table}_sentences USING (doc_id, at) WHERE place <= 3),
+    SELECT doc_id, pos, category, count(DISTINCT term) AS n_terms,
+           row_number() OVER (PARTITION BY doc_id, category ORDER BY count(DISTINCT term) DESC, pos) AS place
+    FROM {table}_hits GROUP BY doc_id, pos, category)
+  JOIN {table}_sentences USING (doc_id, pos) WHERE place <= 3),
 {table}_rated AS (SELECT *, mentions * 100000 // n_chars AS rate FROM {table}_counts),
 {table}_scored AS (
   SELECT *, 1 + 5 * (rank() OVER (PARTITION BY category ORDER BY rate) - 1) // count(*) OVER (PARTITION BY category) AS score
@@ -141,9 +141,9 @@ found_lists AS (SELECT doc_id, source AS entity, lang AS grp, names FROM documen
 
 
 QUESTIONS = """questions AS (
-  SELECT query_id, list(v ORDER BY at) AS q FROM (
-    SELECT CAST(label AS BIGINT) AS query_id, at, avg(CAST(v AS DOUBLE)) AS v FROM (
-      SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS at FROM embeddings)
+  SELECT query_id, list(v ORDER BY pos) AS q FROM (
+    SELECT CAST(label AS BIGINT) AS query_id, pos, avg(CAST(v AS DOUBLE)) AS v FROM (
+      SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS pos FROM embeddings)
     GROUP BY ALL)
   GROUP BY query_id)"""
 
@@ -227,13 +227,13 @@ SELECT entity, mentions, {label.format(m='mentions', k='entity')} AS rank, rank
   SELECT category FROM mentions GROUP BY category ORDER BY sum(mentions) DESC, category LIMIT 5)""",
         "preview": f"WITH {THEME_TEXTS} SELECT * FROM theme_texts ORDER BY row_id LIMIT 10",
         "entity_top_rows": f"WITH {TOP_ROWS} SELECT entity, category, row_id, mentions, share, place FROM top_rows",
-        "global_top_categories": f"WITH {EDGES} SELECT category, mentions, share FROM leading",
+        "global_top_categories": f"WITH {EDGES} SELECT category, mentions, share FROM lead_categories",
         "entity_items": f"WITH {TOP_ROWS} SELECT entity, string_agg(DISTINCT category, ',' ORDER BY category) AS items FROM top_rows GROUP BY entity",
         "cooccurrence_edges": f"WITH {EDGES} SELECT a, b, n, weight FROM edges",
         "gated_cooccurrence": f"WITH {EDGES} SELECT a, b, n, weight FROM edges WHERE (SELECT count(DISTINCT category) FROM mentions) > 1",
         "closed_gate_cooccurrence": f"WITH {EDGES} SELECT a, b, n, weight FROM edges WHERE (SELECT count(DISTINCT category) FROM mentions WHERE category = 'Brand#1') > 1",
-        "graph_nodes": f"WITH {EDGES} SELECT category FROM leading UNION {ends.replace('UNION ALL', 'UNION')}",
-        "graph_degree": f"""WITH {EDGES}, nodes AS (SELECT category FROM leading UNION SELECT category FROM ({ends}))
+        "graph_nodes": f"WITH {EDGES} SELECT category FROM lead_categories UNION {ends.replace('UNION ALL', 'UNION')}",
+        "graph_degree": f"""WITH {EDGES}, nodes AS (SELECT category FROM lead_categories UNION SELECT category FROM ({ends}))
 SELECT n.category, count(e.category) AS degree, count(e.category) * 5 AS marker_size
 FROM nodes n LEFT JOIN ({ends}) e ON n.category = e.category GROUP BY n.category""",
         "explode_names": f"WITH {NAME_LISTS} SELECT row_id, entity, grp, name FROM names",

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,14 +29,21 @@ def sentences(text: Column) -> Column:
 
 
 def grams(tokens: Column, sizes: list[int]) -> Column:
-    """All word runs of the given sizes, repeats kept, words joined by one blank."""
-    runs = [_runs(tokens, n) for n in sizes]
-    return runs[0] if len(runs) == 1 else F.concat(*runs)
+    """All word runs of the given sizes, repeats kept, words joined by one blank.
+
+    Runs that would reach past the end are NULL.
+    """
+    def runs(t: Column) -> Column:
+        upto = [t]
+        for n in range(2, max(sizes) + 1):
+            following = F.slice(t, F.lit(n), F.size(t))
+            upto.append(F.zip_with(upto[-1], following, lambda a, b: F.concat(a, F.lit(" "), b)))
+        wanted = [upto[n - 1] for n in sizes]
+        return wanted[0] if len(wanted) == 1 else F.concat(*wanted)
+
+    return bound(tokens, runs)
 
 
-def _runs(tokens: Column, n: int) -> Column:
-    if n == 1:
-        return tokens
-    joined = F.transform(tokens, lambda _, i: F.array_join(F.slice(tokens, i + 1, n), " "))
-    count = F.greatest(F.size(tokens) - (n - 1), F.lit(0))
-    return F.slice(joined, F.lit(1), count)
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often and deep it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)

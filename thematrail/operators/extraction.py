@@ -44,8 +44,11 @@ def _sizes(terms: Iterable[str]) -> list[int]:
     return sorted({len(t.split(" ")) for t in terms})
 
 
-def _sentence_grams(text: Column, sizes: list[int]) -> Column:
-    return F.flatten(F.transform(sentences(text), lambda s: grams(words(s), sizes)))
+def _found_terms(text: Column, terms: Iterable[str]) -> Column:
+    """Every occurrence of one of the terms inside a sentence of the text."""
+    terms = sorted(set(terms))
+    runs = F.flatten(F.transform(sentences(text), lambda s: grams(words(s), _sizes(terms))))
+    return F.filter(runs, lambda run: run.isin(terms))
 
 
 def _small_table(spark: SparkSession, rows: list[tuple[str, str]], columns: tuple[str, str]) -> DataFrame:
@@ -63,10 +66,10 @@ def lexicon_table(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
 
 def count_mentions(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Explicit mentions per document and category, where there are any."""
-    sizes = _sizes(t for terms in _terms(lexicon).values() for t in terms)
+    terms = [t for found in _terms(lexicon).values() for t in found]
     found = docs.select(
         "doc_id", "entity", "grp", F.length("text").cast("bigint").alias("n_chars"),
-        F.explode(_sentence_grams(F.col("text"), sizes)).alias("term"),
+        F.explode(_found_terms(F.col("text"), terms)).alias("term"),
     )
     hits = found.join(lexicon_table(docs.sparkSession, lexicon), "term")
     return hits.groupBy("doc_id", "entity", "grp", "n_chars", "category").agg(F.count("*").alias("mentions"))
@@ -131,7 +134,7 @@ def find_names(docs: DataFrame, names: Iterable[str]) -> DataFrame:
         spelled.setdefault(_normal(name), name)
     spelled.pop("", None)
     table = _small_table(docs.sparkSession, list(spelled.items()), ("term", "name"))
-    distinct = F.array_distinct(_sentence_grams(F.col("text"), _sizes(spelled)))
+    distinct = F.array_distinct(_found_terms(F.col("text"), spelled))
     hits = docs.select("doc_id", F.explode(distinct).alias("term")).join(table, "term")
     lists = hits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
     return docs.select("doc_id", "entity", "grp").join(lists, "doc_id", "left")
