@@ -32,22 +32,17 @@ def top_rows_per_entity(df: DataFrame, k: int = 5) -> DataFrame:
         "entity", "category", "row_id", "mentions",
         percent(F.col("mentions"), F.col("entity_mentions")).alias("share"),
     )
-    by_share = Window.partitionBy("entity").orderBy(F.desc_nulls_last("share"), "category", "row_id")
+    # row_id settles every tie; "mentions" behind it only keeps the shuffled columns
+    # the same for all uses of this table, so that they share one shuffle.
+    by_share = Window.partitionBy("entity").orderBy(F.desc_nulls_last("share"), "category", "row_id", "mentions")
     return shares.withColumn("place", F.row_number().over(by_share)).filter(F.col("place") <= k)
 
 
 def global_top_categories(df: DataFrame, k_entity: int = 5, k_global: int = 5) -> DataFrame:
     """The categories with the largest share in the entities' top rows."""
-    return _leading(top_rows_per_entity(df, k_entity), k_global)
-
-
-def _leading(top_rows: DataFrame, k: int) -> DataFrame:
-    grouped = top_rows.groupBy("category").agg(
-        F.coalesce(F.sum("mentions"), F.lit(0)).alias("mentions"), F.count("category").alias("n_known")
-    )
-    whole = grouped.agg(F.sum(F.when(F.col("n_known") >= 0, F.col("mentions"))).alias("whole")).scalar()
-    shares = grouped.filter("n_known > 0").select("category", "mentions", percent(F.col("mentions"), whole).alias("share"))
-    return shares.orderBy(F.desc_nulls_last("share"), "category").limit(k)
+    top_rows = top_rows_per_entity(df, k_entity)
+    whole = top_rows.agg(F.sum("mentions").alias("whole")).scalar()
+    return top_keys(top_rows, "category", "mentions", k_global).withColumn("share", percent(F.col("mentions"), whole))
 
 
 def items_by(rows: DataFrame, key: str, item: str) -> DataFrame:
@@ -69,7 +64,7 @@ def cooccurrence(df: DataFrame, k_entity: int = 5, k_global: int = 5) -> DataFra
     k_global (k_global - 1) / 2 rows. No pair gives an empty table.
     """
     top_rows = top_rows_per_entity(df, k_entity)
-    kept = keep_keys(top_rows, _leading(top_rows, k_global), "category")
+    kept = keep_keys(top_rows, top_keys(top_rows, "category", "mentions", k_global), "category")
     counted = pairs_within(items_by(kept, "entity", "category")).groupBy("a", "b").agg(F.count("*").alias("n"))
     return counted.withColumn("weight", percent(F.col("n"), F.sum("n").over(Window.partitionBy())))
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import grams, sentences, words
+from .skew import spread_small
 
 Lexicon = Mapping[str, Iterable[str]]
 
@@ -26,7 +27,7 @@ def split_pages(docs: DataFrame, max_chars: int = 3000) -> DataFrame:
     """
     pattern = r"(?s).{1,%d}(?:\n|\z)|.{%d}" % (max_chars, max_chars)
     parts = F.transform(F.split("text", "\f"), lambda part: F.regexp_extract_all(part, F.lit(pattern), F.lit(0)))
-    paged = docs.select(*[c for c in docs.columns if c != "text"], F.posexplode(F.flatten(parts)).alias("at", "text"))
+    paged = spread_small(docs, "doc_id").select(*[c for c in docs.columns if c != "text"], F.posexplode(F.flatten(parts)).alias("at", "text"))
     return paged.withColumn("page_number", F.col("at") + 1).drop("at")
 
 
@@ -67,7 +68,7 @@ def lexicon_table(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
 def count_mentions(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """Explicit mentions per document and category, where there are any."""
     terms = [t for found in _terms(lexicon).values() for t in found]
-    found = docs.select(
+    found = spread_small(docs.select("doc_id", "entity", "grp", "text"), "doc_id").select(
         "doc_id", "entity", "grp", F.length("text").cast("bigint").alias("n_chars"),
         F.explode(_found_terms(F.col("text"), terms)).alias("term"),
     )
@@ -98,7 +99,7 @@ def example_passages(docs: DataFrame, lexicon: Lexicon, n: int = 3) -> DataFrame
         return F.slice(F.array_sort(F.filter(scored, lambda s: s["minus"] < 0)), 1, n)
 
     per_category = F.transform(table, lambda e: F.struct(e["category"].alias("category"), best(e).alias("passages")))
-    rows = docs.select("doc_id", cut.alias("cut")).select("doc_id", F.explode(per_category).alias("c"))
+    rows = spread_small(docs.select("doc_id", "text"), "doc_id").select("doc_id", cut.alias("cut")).select("doc_id", F.explode(per_category).alias("c"))
     return rows.select("doc_id", "c.category", F.posexplode("c.passages").alias("at", "p")).select(
         "doc_id", "category", (F.col("at") + 1).alias("place"), (-F.col("p.minus")).alias("n_terms"), F.col("p.passage").alias("passage")
     )
@@ -135,7 +136,7 @@ def find_names(docs: DataFrame, names: Iterable[str]) -> DataFrame:
     spelled.pop("", None)
     table = _small_table(docs.sparkSession, list(spelled.items()), ("term", "name"))
     distinct = F.array_distinct(_found_terms(F.col("text"), spelled))
-    hits = docs.select("doc_id", F.explode(distinct).alias("term")).join(table, "term")
+    hits = spread_small(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.explode(distinct).alias("term")).join(table, "term")
     lists = hits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
     return docs.select("doc_id", "entity", "grp").join(lists, "doc_id", "left")
 

@@ -1,4 +1,4 @@
-"""Joining rows to one value per key when one key may hold a large part of the rows."""
+"""Spreading work over tasks: hot keys, and small inputs that come in one piece."""
 
 from __future__ import annotations
 
@@ -19,12 +19,34 @@ def salted_join(rows: DataFrame, per_key: DataFrame, on: str, spread: list[str],
     return salted.join(repeated, [on, "_salt"], "left").drop("_salt")
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, on: str, spread: list[str], max_keys: int = 1000) -> DataFrame:
+FEW_KEYS = 1000
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, on: str, spread: list[str], n_keys: int | None = None) -> DataFrame:
     """Like :func:`salted_join`, for rows too wide to shuffle without need.
 
-    The distinct keys of ``rows`` are counted first (only that column is read,
-    and only up to ``max_keys``); few keys are broadcast, more are salted.
+    Up to 1000 keys are broadcast, more are salted. ``n_keys`` is an upper bound
+    known from the query; without one the distinct keys of ``rows`` are counted
+    (only that column is read, and only up to the limit).
     """
-    if rows.select(on).distinct().limit(max_keys + 1).count() <= max_keys:
+    if n_keys is None:
+        n_keys = rows.select(on).distinct().limit(FEW_KEYS + 1).count()
+    if n_keys <= FEW_KEYS:
         return rows.join(F.broadcast(per_key), on, "left")
     return salted_join(rows, per_key, on, spread)
+
+
+# A task's share of the input below which a scan may leave cores idle.
+TASK_BYTES = 128 * 1024 * 1024
+
+
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` hashed over all cores if its input is too small to fill them, else as it is.
+
+    A small file of one row group is read by one task, which then would do all
+    the text work. Spark's own size estimate decides; an input with a full
+    split for every core is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores, *keys) if size < cores * TASK_BYTES else df

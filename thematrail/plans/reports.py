@@ -62,7 +62,7 @@ def summary_report(mentions: DataFrame, top_k: int | None = 5, n: int = 3) -> di
     """Map and reduce summaries of the leading categories (of all with ``top_k=None``)."""
     if top_k is not None:
         mentions = keep_keys(mentions, top_keys(mentions, "category", "mentions", top_k), "category")
-    per_category = summarize_map(mentions, n)
+    per_category = summarize_map(mentions, n, n_categories=top_k)
     keys = mentions.select("category").distinct()
     return {"per_category": attach_by_key(keys, per_category), "whole": summarize_reduce(per_category, n)}
 
