@@ -1,0 +1,20 @@
+from pyspark.sql import functions as F
+
+from thematrail.operators import skew
+
+
+def test_hot_key_is_spread_and_nothing_is_lost(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"))
+    rows = rows.union(spark.sql("SELECT 5000L, CAST(NULL AS STRING)"))
+    sums = rows.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
+    plain = sorted(map(tuple, rows.join(sums, "key", "left").select("id", "n").collect()))
+    assert sorted(map(tuple, skew.salted_join(rows, sums, "key", ["id"]).select("id", "n").collect())) == plain
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32))).filter("key = 'hot'").groupBy("salt").count()
+    assert salted.count() == 32 and salted.agg(F.max("count")).collect()[0][0] < 100
+
+
+def test_small_inputs_are_spread_large_ones_are_left(spark, monkeypatch):
+    df = spark.range(10).coalesce(1)
+    assert "hashpartitioning" in skew.spread_small(df, "id")._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(skew, "TASK_BYTES", 1)
+    assert skew.spread_small(df, "id") is df
