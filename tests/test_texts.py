@@ -81,7 +81,7 @@ def test_many_categories_take_the_salted_join(mentions, monkeypatch):
 
     rows = [("e", "g", c, 1, f"{c}word finance {i}. Other {c}word finance here") for i, c in enumerate("abcabcaaa")]
     few = {r.category: r.summary for r in summaries.summarize_map(mentions(rows)).collect()}
-    monkeypatch.setattr(skew, "FEW_KEYS", 1)
+    monkeypatch.setattr(skew, "FEW_LISTS", 1)
     assert {r.category: r.summary for r in summaries.summarize_map(mentions(rows)).collect()} == few
 
 

@@ -202,6 +202,9 @@ def _tables() -> dict[str, str]:
     group_shares = f"""WITH {MENTIONS} SELECT grp, category, mentions,
   CAST(mentions AS DOUBLE) / nullif(CAST(sum(mentions) OVER (PARTITION BY grp) AS DOUBLE), 0) * 100 AS share
 FROM (SELECT grp, category, CAST(sum(mentions) AS BIGINT) AS mentions FROM mentions GROUP BY ALL)"""
+    kept = f"mentions AS (SELECT * FROM all_mentions WHERE grp IN ({_listed(GROUPS)}))"
+    kept_edges = EDGES.replace("mentions AS (", "all_mentions AS (", 1).replace("shared AS (", f"{kept},\nshared AS (", 1)
+    kept_names = f"kept AS (SELECT * FROM names WHERE grp IN ({_listed(GROUPS)}) AND name IN ({_listed(CHOSEN_NAMES)}))"
     ends = "SELECT a AS category FROM edges UNION ALL SELECT b FROM edges"
     return {
         "sum_by_category": f"WITH {MENTIONS} SELECT category, CAST(sum(mentions) AS BIGINT) AS mentions FROM mentions GROUP BY ALL",
@@ -223,12 +226,16 @@ SELECT entity, mentions, {label.format(m='mentions', k='entity')} AS rank, rank
         "domain_entities": domain.format(m=MENTIONS, c="entity"),
         "domain_categories": domain.format(m=MENTIONS, c="category"),
         "filter_stats": f"WITH {MENTIONS} SELECT count(*) AS n_rows, count(*) = 0 AS is_empty FROM mentions WHERE {chosen}",
+        "top_categories": f"WITH {MENTIONS} SELECT category, CAST(sum(mentions) AS BIGINT) AS mentions FROM mentions GROUP BY category ORDER BY mentions DESC, category LIMIT 5",
         "top_category_rows": f"""WITH {MENTIONS} SELECT * FROM mentions WHERE category IN (
   SELECT category FROM mentions GROUP BY category ORDER BY sum(mentions) DESC, category LIMIT 5)""",
         "preview": f"WITH {THEME_TEXTS} SELECT * FROM theme_texts ORDER BY row_id LIMIT 10",
         "entity_top_rows": f"WITH {TOP_ROWS} SELECT entity, category, row_id, mentions, share, place FROM top_rows",
         "global_top_categories": f"WITH {EDGES} SELECT category, mentions, share FROM lead_categories",
         "entity_items": f"WITH {TOP_ROWS} SELECT entity, string_agg(DISTINCT category, ',' ORDER BY category) AS items FROM top_rows GROUP BY entity",
+        "entity_pairs": f"""WITH {TOP_ROWS}, held AS (SELECT DISTINCT entity, category FROM top_rows)
+SELECT l.category AS a, r.category AS b, count(*) AS n FROM held l JOIN held r ON l.entity = r.entity AND l.category < r.category GROUP BY ALL""",
+        "filtered_cooccurrence": f"WITH {kept_edges} SELECT a, b, n, weight FROM edges",
         "cooccurrence_edges": f"WITH {EDGES} SELECT a, b, n, weight FROM edges",
         "gated_cooccurrence": f"WITH {EDGES} SELECT a, b, n, weight FROM edges WHERE (SELECT count(DISTINCT category) FROM mentions) > 1",
         "closed_gate_cooccurrence": f"WITH {EDGES} SELECT a, b, n, weight FROM edges WHERE (SELECT count(DISTINCT category) FROM mentions WHERE category = 'Brand#1') > 1",
@@ -244,6 +251,7 @@ FROM nodes n LEFT JOIN ({ends}) e ON n.category = e.category GROUP BY n.category
 SELECT name, n, CAST(n AS DOUBLE) / CAST((SELECT count(*) FROM names) AS DOUBLE) * 100 AS share,
   {label.format(m='n', k='name')} AS rank, rank || ' - ' || name AS label FROM best""",
         "name_group_share_top10": f"WITH {NAME_LISTS} {in_group('names')}",
+        "filtered_name_group_share": f"WITH {NAME_LISTS}, {kept_names} {in_group('kept')}",
         "found_name_group_share": f"""WITH {_names_found()}, exploded AS (SELECT grp, category AS name FROM (
   SELECT DISTINCT doc_id, category FROM n_hits) JOIN found_lists USING (doc_id)) {in_group('exploded')}""",
     }
@@ -282,9 +290,10 @@ def _retrieval() -> dict[str, str]:
         "knn_empty_selection": f"WITH {_nearest(10)} {shown}",
         "knn_filtered_pre": f"WITH {_nearest(10, groups)} {shown}",
         "knn_group_replaces_entity": f"WITH {_nearest(10, groups)} {shown}",
-        "knn_filtered_post": f"""WITH {_nearest(20)}
-SELECT query_id, page_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, page_id) AS INTEGER) AS rank
-FROM nearest WHERE {groups} QUALIFY rank <= 10""".replace("QUALIFY rank <= 10", "QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, page_id) <= 10"),
+        "knn_filtered_post": f"""WITH {_nearest(20)}, kept AS (
+  SELECT query_id, page_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, page_id) AS INTEGER) AS place
+  FROM nearest WHERE {groups})
+SELECT query_id, page_id, distance, place AS rank FROM kept WHERE place <= 10""",
         "list_sources": f"WITH {_nearest(10)}, {SOURCES} SELECT query_id, number, page_id, page_number, entity, grp, link, text FROM sources",
         "stuff_context": f"WITH {_nearest(10)}, {SOURCES} SELECT query_id, context FROM contexts",
         "history_before": f"WITH {_history(1000)} SELECT * FROM history",

@@ -10,6 +10,7 @@ from ..operators import conversation, cooccurrence, extraction, filters, names,
 from ..plans import reports
 from ..session import shared_folder
 from ..sources import canonical, load_csv, load_pages, write_report
+from ..sources.delimited import NUMBERED_THEMES
 from . import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +60,7 @@ def _selections() -> dict[str, Query]:
         "domain_entities": _on_mentions(lambda m: filters.domain_values(m, "entity")),
         "domain_categories": _on_mentions(lambda m: filters.domain_values(m, "category")),
         "filter_stats": _on_mentions(lambda m: filters.filter_stats(filters.filter_members(m, chosen))),
+        "top_categories": _on_mentions(lambda m: shares.top_keys(m, "category", "mentions", 5)),
         "top_category_rows": _on_mentions(lambda m: filters.keep_keys(m, shares.top_keys(m, "category", "mentions", 5), "category")),
         "preview": lambda spark, folder: shares.preview(inputs.theme_texts(spark, folder)),
     }
@@ -77,7 +79,11 @@ def _graph() -> dict[str, Query]:
         "entity_items": _on_mentions(lambda m: cooccurrence.items_by(cooccurrence.top_rows_per_entity(m), "entity", "category").select(
             "entity", F.array_join("items", ",").alias("items")
         )),
+        "entity_pairs": _on_mentions(lambda m: cooccurrence.pairs_within(
+            cooccurrence.items_by(cooccurrence.top_rows_per_entity(m), "entity", "category")
+        ).groupBy("a", "b").agg(F.count("*").alias("n"))),
         "cooccurrence_edges": _on_mentions(cooccurrence.cooccurrence),
+        "filtered_cooccurrence": _on_mentions(lambda m: reports.theme_report(m, {"grp": GROUPS})["edges"]),
         "gated_cooccurrence": _on_mentions(gated),
         "closed_gate_cooccurrence": _on_mentions(lambda m: gated(filters.filter_members(m, {"category": ["Brand#1"]}))),
         "graph_nodes": _on_mentions(nodes),
@@ -90,7 +96,12 @@ def _names() -> dict[str, Query]:
         lists = extraction.find_names(inputs.documents(spark, folder), inputs.NAMES).withColumnRenamed("doc_id", "row_id")
         return names.name_group_share(names.explode_names(lists))
 
+    def filtered(spark: SparkSession, folder: str) -> DataFrame:
+        lists = inputs.name_lists(spark, folder)
+        return reports.name_report(lists, names.explode_names(lists), GROUPS, ["All"], CHOSEN_NAMES)["name_group_share"]
+
     return {
+        "filtered_name_group_share": filtered,
         "explode_names": _on_names(lambda n: n),
         "filter_name_list": lambda spark, folder: filters.filter_name_list(inputs.name_lists(spark, folder), "names", CHOSEN_NAMES),
         "count_by_name": _on_names(lambda n: shares.count_by(n, ["name"])),
@@ -133,10 +144,10 @@ def _retrieval() -> dict[str, Query]:
         return retrieval.list_sources(nearest()(spark, folder), inputs.page_texts(spark, folder))
 
     def prompts(spark: SparkSession, folder: str) -> DataFrame:
-        hits = retrieval.knn(inputs.conversation_queries(spark, folder), inputs.vectors(spark, folder))
-        contexts = retrieval.stuff_context(retrieval.list_sources(hits, inputs.page_texts(spark, folder)))
-        asked = conversation.history_before(inputs.turns(spark, folder)).withColumn("query_id", F.col("conv_id"))
-        return conversation.assemble_prompt(asked, contexts, inputs.SYSTEM_TEXT)
+        return reports.answer_prompts(
+            inputs.turns(spark, folder), inputs.conversation_queries(spark, folder), inputs.vectors(spark, folder),
+            inputs.page_texts(spark, folder), inputs.SYSTEM_TEXT,
+        )
 
     def lexical(spark: SparkSession, folder: str) -> DataFrame:
         pages = inputs.page_texts(spark, folder)
@@ -201,8 +212,6 @@ def _files() -> dict[str, Query]:
         )
         write_report(written, path, "csv")
         schema = "Groupe string, Entity string, `ODD number` bigint, `ODD count` bigint, Summary string"
-        from ..sources.delimited import NUMBERED_THEMES
-
         return canonical(load_csv(spark, path, schema), NUMBERED_THEMES)
 
     def parquet(spark: SparkSession, folder: str) -> DataFrame:

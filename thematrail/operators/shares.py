@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lead_rank, percent
-from .skew import salted_join
+from .skew import FEW_NUMBERS, join_per_key
 
 
 def _sum(measure: str) -> Column:
@@ -62,7 +62,7 @@ def group_category_share(df: DataFrame) -> DataFrame:
 def entity_row_share(df: DataFrame) -> DataFrame:
     """Share of every row in its entity's mentions; no share for a missing entity."""
     sums = sum_by(df, ["entity"]).withColumnRenamed("mentions", "entity_mentions")
-    joined = salted_join(df, sums, "entity", ["row_id", "category"])
+    joined = join_per_key(df, sums, "entity", ["row_id", "category"], FEW_NUMBERS)
     return joined.withColumn("share", percent(F.col("mentions"), F.col("entity_mentions"))).drop("entity_mentions")
 
 

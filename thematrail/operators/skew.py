@@ -19,19 +19,24 @@ def salted_join(rows: DataFrame, per_key: DataFrame, on: str, spread: list[str],
     return salted.join(repeated, [on, "_salt"], "left").drop("_salt")
 
 
-FEW_KEYS = 1000
+# Keys whose values are broadcast: with a few numbers each, or with lists of words.
+FEW_NUMBERS = 100_000
+FEW_LISTS = 1000
 
 
-def join_per_key(rows: DataFrame, per_key: DataFrame, on: str, spread: list[str], n_keys: int | None = None) -> DataFrame:
-    """Like :func:`salted_join`, for rows too wide to shuffle without need.
+def join_per_key(
+    rows: DataFrame, per_key: DataFrame, on: str, spread: list[str], few: int, n_keys: int | None = None
+) -> DataFrame:
+    """Like :func:`salted_join`, but without shuffling the rows if there are few keys.
 
-    Up to 1000 keys are broadcast, more are salted. ``n_keys`` is an upper bound
-    known from the query; without one the distinct keys of ``rows`` are counted
-    (only that column is read, and only up to the limit).
+    Up to ``few`` keys are broadcast, more are salted. ``n_keys`` is an upper
+    bound known from the query; without one the distinct keys of ``rows`` are
+    counted first (only that column is read, and they are counted only up to
+    the limit).
     """
     if n_keys is None:
-        n_keys = rows.select(on).distinct().limit(FEW_KEYS + 1).count()
-    if n_keys <= FEW_KEYS:
+        n_keys = rows.select(on).distinct().limit(few + 1).count()
+    if n_keys <= few:
         return rows.join(F.broadcast(per_key), on, "left")
     return salted_join(rows, per_key, on, spread)
 

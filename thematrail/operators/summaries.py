@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sentences, words
+from . import skew
 from .shares import known
 from .skew import join_per_key, spread_small
 
@@ -42,7 +43,7 @@ def summarize_map(df: DataFrame, n: int = 3, n_terms: int = KEY_TERMS, n_categor
         lambda s, i: F.struct((-F.size(F.array_intersect(words(s, MIN_LETTERS), F.col("terms")))).alias("minus"), i.alias("at"), s.alias("sentence")),
     )
     best = F.slice(F.array_sort(scored), 1, n)
-    scored_rows = join_per_key(rows, terms, "category", ["row_id"], n_categories).filter(F.col("terms").isNotNull())
+    scored_rows = join_per_key(rows, terms, "category", ["row_id"], skew.FEW_LISTS, n_categories).filter(F.col("terms").isNotNull())
     passed = scored_rows.select("category", "row_id", F.explode(best).alias("s"))
     position = F.struct("row_id", F.col("s.at").alias("at"))
     single = passed.groupBy("category", F.col("s.minus").alias("minus"), F.col("s.sentence").alias("sentence")).agg(F.min(position).alias("position"))

@@ -73,13 +73,20 @@ def role_summary(lists: DataFrame, n: int = 3) -> DataFrame:
 
 
 def answer_prompts(
-    turns: DataFrame, queries: DataFrame, pages: DataFrame, system_text: str, k: int = 10, where: Column | None = None
+    turns: DataFrame,
+    queries: DataFrame,
+    vectors: DataFrame,
+    page_texts: DataFrame,
+    system_text: str,
+    k: int = 10,
+    where: Column | None = None,
 ) -> DataFrame:
     """Prompt of every user turn: retrieved context, history and question.
 
-    ``queries`` holds (query_id, embedding); query_id is the conversation's id.
+    ``queries`` holds (query_id, embedding), query_id being the conversation's
+    id. ``vectors`` and ``page_texts`` may be the same table of pages.
     """
-    hits = knn(queries, pages, k, where)
-    contexts = stuff_context(list_sources(hits, pages))
+    hits = knn(queries, vectors, k, where)
+    contexts = stuff_context(list_sources(hits, page_texts))
     questions = history_before(turns).withColumn("query_id", F.col("conv_id"))
     return assemble_prompt(questions, contexts, system_text)
