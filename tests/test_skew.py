@@ -15,6 +15,6 @@ def test_hot_key_is_spread_and_nothing_is_lost(spark):
 
 def test_small_inputs_are_spread_large_ones_are_left(spark, monkeypatch):
     df = spark.range(10).coalesce(1)
-    assert "hashpartitioning" in skew.spread_small(df, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in skew.spread_small(df)._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(skew, "TASK_BYTES", 1)
-    assert skew.spread_small(df, "id") is df
+    assert skew.spread_small(df) is df

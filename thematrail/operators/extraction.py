@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import grams, sentences, words
+from ..functions import bound, grams, sentences, words
 from .skew import spread_small
 
 Lexicon = Mapping[str, Iterable[str]]
@@ -27,7 +27,7 @@ def split_pages(docs: DataFrame, max_chars: int = 3000) -> DataFrame:
     """
     pattern = r"(?s).{1,%d}(?:\n|\z)|.{%d}" % (max_chars, max_chars)
     parts = F.transform(F.split("text", "\f"), lambda part: F.regexp_extract_all(part, F.lit(pattern), F.lit(0)))
-    paged = spread_small(docs, "doc_id").select(*[c for c in docs.columns if c != "text"], F.posexplode(F.flatten(parts)).alias("at", "text"))
+    paged = spread_small(docs).select(*[c for c in docs.columns if c != "text"], F.posexplode(F.flatten(parts)).alias("at", "text"))
     return paged.withColumn("page_number", F.col("at") + 1).drop("at")
 
 
@@ -45,62 +45,66 @@ def _sizes(terms: Iterable[str]) -> list[int]:
     return sorted({len(t.split(" ")) for t in terms})
 
 
-def _found_terms(text: Column, terms: Iterable[str]) -> Column:
-    """Every occurrence of one of the terms inside a sentence of the text."""
+def _hits(text: Column, terms: Iterable[str]) -> Column:
+    """Sentences that hold one of the terms: where they are, and every occurrence in them."""
     terms = sorted(set(terms))
-    runs = F.flatten(F.transform(sentences(text), lambda s: grams(words(s), _sizes(terms))))
-    return F.filter(runs, lambda run: run.isin(terms))
+    cut = F.transform(sentences(text), lambda s, i: F.struct(
+        i.alias("at"), s.alias("passage"), F.filter(grams(words(s), _sizes(terms)), lambda run: run.isin(terms)).alias("found")
+    ))
+    return F.filter(cut, lambda s: F.size(s["found"]) > 0)
 
 
-def _small_table(spark: SparkSession, rows: list[tuple[str, str]], columns: tuple[str, str]) -> DataFrame:
-    """Rows held in the program as a broadcast table."""
-    entries = [F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, row)]) for row in rows]
-    table = F.array(*entries) if entries else F.from_json(F.lit("[]"), "array<struct<%s string, %s string>>" % columns)
-    return F.broadcast(spark.range(1).select(F.inline(table)))
-
-
-def lexicon_table(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
-    """(category, term) rows."""
-    rows = [(category, term) for category, terms in _terms(lexicon).items() for term in terms]
-    return _small_table(spark, rows, ("category", "term"))
+def _category_hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``hits`` of each (document, category) that has any; found inside the row, without a shuffle."""
+    terms = _terms(lexicon)
+    table = F.array(*[
+        F.struct(F.lit(category).alias("category"), F.array(*[F.lit(t) for t in own]).alias("terms")) for category, own in terms.items()
+    ])
 
+    def own_hits(entry: Column, hits: Column) -> Column:
+        own = F.transform(hits, lambda h: F.struct(
+            h["at"].alias("at"), h["passage"].alias("passage"),
+            F.filter(h["found"], lambda t: F.array_contains(entry["terms"], t)).alias("found"),
+        ))
+        return F.filter(own, lambda h: F.size(h["found"]) > 0)
 
-def count_mentions(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Explicit mentions per document and category, where there are any."""
-    terms = [t for found in _terms(lexicon).values() for t in found]
-    found = spread_small(docs.select("doc_id", "entity", "grp", "text"), "doc_id").select(
+    found = bound(
+        _hits(F.col("text"), [t for own in terms.values() for t in own]),
+        lambda hits: F.transform(table, lambda e: F.struct(e["category"].alias("category"), own_hits(e, hits).alias("hits"))),
+    )
+    rows = spread_small(docs.select("doc_id", "entity", "grp", "text")).select(
         "doc_id", "entity", "grp", F.length("text").cast("bigint").alias("n_chars"),
-        F.explode(_found_terms(F.col("text"), terms)).alias("term"),
+        F.explode(F.filter(found, lambda c: F.size(c["hits"]) > 0)).alias("c"),
     )
-    hits = found.join(lexicon_table(docs.sparkSession, lexicon), "term")
-    return hits.groupBy("doc_id", "entity", "grp", "n_chars", "category").agg(F.count("*").alias("mentions"))
+    return rows.select("doc_id", "entity", "grp", "n_chars", "c.category", "c.hits")
 
 
-def example_passages(docs: DataFrame, lexicon: Lexicon, n: int = 3) -> DataFrame:
-    """The n sentences of a document that hold most different terms of a category, earlier ones first.
+def _n_mentions(hits: str) -> Column:
+    return F.aggregate(hits, F.lit(0).cast("bigint"), lambda n, h: n + F.size(h["found"]))
+
+
+def _best_passages(hits: str, n: int) -> Column:
+    scored = F.transform(hits, lambda h: F.struct(
+        (-F.size(F.array_distinct(h["found"]))).alias("minus"), h["at"].alias("at"), h["passage"].alias("passage")
+    ))
+    return F.slice(F.array_sort(scored), 1, n)
+
 
-    Each document is handled inside its row, without a shuffle.
+def count_mentions(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Explicit mentions per document and category, where there are any.
+
+    The counts are complete inside each row. They are grouped all the same: texts
+    are then read once however often the counts are used, as that shuffle of
+    small rows is shared.
     """
-    terms = _terms(lexicon)
-    sizes = _sizes(t for found in terms.values() for t in found)
-    table = F.array(*[
-        F.struct(F.lit(category).alias("category"), F.array(*[F.lit(t) for t in found]).alias("terms"))
-        for category, found in terms.items()
-    ])
-    cut = F.transform(
-        sentences(F.col("text")),
-        lambda s, i: F.struct(i.alias("at"), s.alias("passage"), F.array_distinct(grams(words(s), sizes)).alias("grams")),
-    )
+    counted = _category_hits(docs, lexicon).withColumn("mentions", _n_mentions("hits"))
+    return counted.groupBy("doc_id", "entity", "grp", "n_chars", "category").agg(F.sum("mentions").alias("mentions"))
 
-    def best(entry: Column) -> Column:
-        scored = F.transform("cut", lambda s: F.struct(
-            (-F.size(F.array_intersect(s["grams"], entry["terms"]))).alias("minus"), s["at"].alias("at"), s["passage"].alias("passage")
-        ))
-        return F.slice(F.array_sort(F.filter(scored, lambda s: s["minus"] < 0)), 1, n)
 
-    per_category = F.transform(table, lambda e: F.struct(e["category"].alias("category"), best(e).alias("passages")))
-    rows = spread_small(docs.select("doc_id", "text"), "doc_id").select("doc_id", cut.alias("cut")).select("doc_id", F.explode(per_category).alias("c"))
-    return rows.select("doc_id", "c.category", F.posexplode("c.passages").alias("at", "p")).select(
+def example_passages(docs: DataFrame, lexicon: Lexicon, n: int = 3) -> DataFrame:
+    """The n sentences of a document that hold most different terms of a category, earlier ones first."""
+    rows = _category_hits(docs, lexicon).select("doc_id", "category", F.posexplode(_best_passages("hits", n)).alias("at", "p"))
+    return rows.select(
         "doc_id", "category", (F.col("at") + 1).alias("place"), (-F.col("p.minus")).alias("n_terms"), F.col("p.passage").alias("passage")
     )
 
@@ -129,26 +133,28 @@ def importance(mentions: DataFrame) -> DataFrame:
 
 
 def find_names(docs: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Names found in each document as a list ``a, b, c``; NULL where none is."""
+    """Names found in each document as a list ``a, b, c``; NULL where none is. Done inside the row."""
     spelled = {}
     for name in sorted(names):
         spelled.setdefault(_normal(name), name)
     spelled.pop("", None)
-    table = _small_table(docs.sparkSession, list(spelled.items()), ("term", "name"))
-    distinct = F.array_distinct(_found_terms(F.col("text"), spelled))
-    hits = spread_small(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.explode(distinct).alias("term")).join(table, "term")
-    lists = hits.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("name")), ", ").alias("names"))
-    return docs.select("doc_id", "entity", "grp").join(lists, "doc_id", "left")
+    table = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).alias("name")) for t, n in sorted(spelled.items(), key=lambda e: e[1])])
+    found = F.array_distinct(F.flatten(F.transform(_hits(F.col("text"), spelled), lambda h: h["found"])))
+    listed = bound(found, lambda f: F.transform(F.filter(table, lambda e: F.array_contains(f, e["term"])), lambda e: e["name"]))
+    rows = spread_small(docs.select("doc_id", "entity", "grp", "text"))
+    return rows.select("doc_id", "entity", "grp", F.nullif(F.array_join(listed, ", "), F.lit("")).alias("names"))
 
 
 def structured_results(docs: DataFrame, lexicon: Lexicon, n_examples: int = 3) -> DataFrame:
-    """One row per document and category found: mention_count, examples, importance_score."""
-    scored = importance(count_mentions(docs, lexicon))
-    passages = example_passages(docs, lexicon, n_examples).groupBy("doc_id", "category").agg(
-        F.array_sort(F.collect_list(F.struct("place", "passage"))).alias("p")
-    )
-    examples = passages.select("doc_id", "category", F.array_join(F.transform("p", lambda r: r["passage"]), "\n").alias("examples"))
-    return scored.join(examples, ["doc_id", "category"], "left").select(
+    """One row per document and category found: mention_count, examples, importance_score.
+
+    Grouping by every column, the examples too, lets one pass over the texts and
+    one shuffle of result rows serve both the scores and their histogram.
+    """
+    examples = F.array_join(F.transform(_best_passages("hits", n_examples), lambda p: p["passage"]), "\n")
+    found = _category_hits(docs, lexicon).withColumns({"mentions": _n_mentions("hits"), "examples": examples}).drop("hits")
+    grouped = found.groupBy("doc_id", "entity", "grp", "n_chars", "category", "examples").agg(F.sum("mentions").alias("mentions"))
+    return importance(grouped).select(
         "doc_id", "entity", "grp", "category", F.col("mentions").alias("mention_count"), "examples", F.col("score").alias("importance_score")
     )
 

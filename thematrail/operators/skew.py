@@ -45,13 +45,15 @@ def join_per_key(
 TASK_BYTES = 128 * 1024 * 1024
 
 
-def spread_small(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` hashed over all cores if its input is too small to fill them, else as it is.
+def spread_small(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its input is too small to fill them, else as it is.
 
     A small file of one row group is read by one task, which then would do all
     the text work. Spark's own size estimate decides; an input with a full
-    split for every core is never shuffled here.
+    split for every core is never shuffled here. Rows are dealt in turn, not by a
+    key, so that a later grouping still gets its own shuffle, which several uses
+    of the grouped rows can share.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores, *keys) if size < cores * TASK_BYTES else df
+    return df.repartition(cores) if size < cores * TASK_BYTES else df

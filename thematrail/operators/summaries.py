@@ -20,7 +20,7 @@ MIN_LETTERS = 5
 
 def key_terms(df: DataFrame, n_terms: int = KEY_TERMS) -> DataFrame:
     """The words found in most texts of a category, at most n_terms each; ties in word order."""
-    rows = spread_small(known(df, "category", "summary").select("category", "row_id", "summary"), "row_id")
+    rows = spread_small(known(df, "category", "summary").select("category", "row_id", "summary"))
     found = rows.select("category", F.explode(F.array_distinct(words(F.col("summary"), MIN_LETTERS))).alias("term"))
     counted = found.groupBy("category", "term").agg(F.count("*").alias("n_texts"))
     place = Window.partitionBy("category").orderBy(F.desc("n_texts"), "term")
@@ -36,7 +36,7 @@ def summarize_map(df: DataFrame, n: int = 3, n_terms: int = KEY_TERMS, n_categor
     the category's n best), so whole texts are never shuffled. ``n_categories`` is an upper bound, if the
     query knows one (see :func:`..skew.join_per_key`).
     """
-    rows = spread_small(known(df, "category", "summary").select("category", "row_id", "summary"), "row_id")
+    rows = spread_small(known(df, "category", "summary").select("category", "row_id", "summary"))
     terms = key_terms(rows, n_terms).groupBy("category").agg(F.collect_list("term").alias("terms"))
     scored = F.transform(
         F.array_distinct(sentences(F.col("summary"))),
