@@ -1,16 +1,20 @@
+import pytest
 from pyspark.sql import functions as F
 
 from thematrail.operators import skew
 
 
-def test_hot_key_is_spread_and_nothing_is_lost(spark):
+@pytest.mark.parametrize("few", [1, 10, 10_000])
+def test_hot_key_is_spread_and_nothing_is_lost(spark, few):
     rows = spark.range(3000).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("key"))
-    rows = rows.union(spark.sql("SELECT 5000L, CAST(NULL AS STRING)"))
-    sums = rows.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
-    plain = sorted(map(tuple, rows.join(sums, "key", "left").select("id", "n").collect()))
-    assert sorted(map(tuple, skew.salted_join(rows, sums, "key", ["id"]).select("id", "n").collect())) == plain
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(32))).filter("key = 'hot'").groupBy("salt").count()
-    assert salted.count() == 32 and salted.agg(F.max("count")).collect()[0][0] < 100
+    rows = rows.union(spark.sql("SELECT 5000L, CAST(NULL AS STRING)")).union(spark.sql("SELECT 5001L, 'without'"))
+    sums = rows.filter("key <> 'without'").groupBy("key").agg(F.count("*").alias("n"))
+    plain = sorted(map(tuple, rows.join(sums, "key", "left").select("id", "n").collect()), key=str)
+    found = skew.hot_join(rows, sums, "key", ["id"], few)
+    assert sorted(map(tuple, found.select("id", "n").collect()), key=str) == plain
+    assert found.columns == ["id", "key", "n"]
+    counted = skew.hot_join(rows, sums, "key", ["id"], few, sums.withColumnRenamed("n", "n_rows"))
+    assert sorted(map(tuple, counted.select("id", "n").collect()), key=str) == plain
 
 
 def test_small_inputs_are_spread_large_ones_are_left(spark, monkeypatch):

@@ -61,8 +61,10 @@ def group_category_share(df: DataFrame) -> DataFrame:
 
 def entity_row_share(df: DataFrame) -> DataFrame:
     """Share of every row in its entity's mentions; no share for a missing entity."""
-    sums = sum_by(df, ["entity"]).withColumnRenamed("mentions", "entity_mentions")
-    joined = join_per_key(df, sums, "entity", ["row_id", "category"], FEW_NUMBERS)
+    sums = known(df, "entity").groupBy("entity").agg(_sum("mentions").alias("entity_mentions"), F.count("*").alias("n_rows"))
+    joined = join_per_key(
+        df, sums.drop("n_rows"), "entity", ["row_id", "category"], FEW_NUMBERS, counts=sums.select("entity", "n_rows")
+    )
     return joined.withColumn("share", percent(F.col("mentions"), F.col("entity_mentions"))).drop("entity_mentions")
 
 

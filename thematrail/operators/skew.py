@@ -5,40 +5,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Keys whose values may be broadcast: with a few numbers each, with lists of
+# words, or with texts.
+FEW_NUMBERS = 100_000
+FEW_LISTS = 10_000
+FEW_TEXTS = 1000
+# Tasks that the rows of one hot key are spread over.
+SALTS = 1024
 
-def salted_join(rows: DataFrame, per_key: DataFrame, on: str, spread: list[str], salts: int = 32) -> DataFrame:
-    """Left join of ``rows`` to ``per_key`` (one row per key).
-
-    The rows of a key are spread over ``salts`` tasks by a hash of their
-    ``spread`` columns, and each ``per_key`` row is repeated once per salt.
-    Adaptive execution still turns this into a broadcast join when it measures
-    ``per_key`` to be small.
-    """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    repeated = per_key.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
-    return salted.join(repeated, [on, "_salt"], "left").drop("_salt")
 
+def hot_join(rows: DataFrame, per_key: DataFrame, on: str, spread: list[str], few: int, counts: DataFrame | None = None) -> DataFrame:
+    """Left join of ``rows`` to ``per_key`` (one row per key), whatever the rows of a key are.
 
-# Keys whose values are broadcast: with a few numbers each, or with lists of words.
-FEW_NUMBERS = 100_000
-FEW_LISTS = 1000
+    A key is hot if it has over 1/few of all rows, so there are fewer than
+    ``few`` hot keys and their values are broadcast. The rows of all other keys
+    are shuffled by key; hot rows and rows without a key travel with them under
+    a salt from their ``spread`` columns, which keeps them out of each other's
+    way. Nothing is repeated. ``counts`` (key, n_rows) saves a count of the rows.
+    """
+    if counts is None:
+        counts = rows.groupBy(on).agg(F.count("*").alias("n_rows"))
+    counts = counts.filter(F.col(on).isNotNull())
+    whole = counts.agg(F.sum("n_rows").alias("whole")).scalar()
+    hot_keys = F.broadcast(counts.filter(F.col("n_rows") * few > whole).select(on))
+    values = [c for c in per_key.columns if c != on]
+    hot = per_key.join(hot_keys, on, "left_semi").select(on, *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_is_hot"))
+    apart = F.col("_is_hot").isNotNull() | F.col(on).isNull()
+    salt = F.when(apart, F.pmod(F.xxhash64(*spread), F.lit(SALTS)) + 1).otherwise(0)
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt)
+    joined = salted.join(per_key.withColumn("_salt", F.lit(0).cast("bigint")), [on, "_salt"], "left")
+    return joined.select(*rows.columns, *[F.coalesce(f"_hot_{v}", v).alias(v) for v in values])
 
 
 def join_per_key(
-    rows: DataFrame, per_key: DataFrame, on: str, spread: list[str], few: int, n_keys: int | None = None
+    rows: DataFrame,
+    per_key: DataFrame,
+    on: str,
+    spread: list[str],
+    few: int,
+    n_keys: int | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Like :func:`salted_join`, but without shuffling the rows if there are few keys.
+    """Like :func:`hot_join`, but without shuffling the rows if there are few keys.
 
-    Up to ``few`` keys are broadcast, more are salted. ``n_keys`` is an upper
-    bound known from the query; without one the distinct keys of ``rows`` are
-    counted first (only that column is read, and they are counted only up to
-    the limit).
+    Up to ``few`` keys are broadcast. ``n_keys`` is an upper bound known from the
+    query; without one the distinct keys of ``rows`` are counted first (only
+    that column is read, and they are counted only up to the limit).
     """
     if n_keys is None:
         n_keys = rows.select(on).distinct().limit(few + 1).count()
     if n_keys <= few:
         return rows.join(F.broadcast(per_key), on, "left")
-    return salted_join(rows, per_key, on, spread)
+    return hot_join(rows, per_key, on, spread, few, counts)
 
 
 # A task's share of the input below which a scan may leave cores idle.
