@@ -17,6 +17,21 @@ def test_hot_key_is_spread_and_nothing_is_lost(spark, few):
     assert sorted(map(tuple, counted.select("id", "n").collect()), key=str) == plain
 
 
+def test_no_task_gets_a_whole_hot_key(spark):
+    rows = spark.range(20_000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, None).otherwise(F.concat(F.lit("k"), F.col("id"))).alias("key"))
+    sums = rows.groupBy("key").agg(F.count("*").alias("n"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = skew.hot_join(rows, sums, "key", ["id"], 10)
+        assert "SortMergeJoin [key" in joined._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 20_000 and max(sizes) < 2 * 20_000 / 4
+
+
 def test_small_inputs_are_spread_large_ones_are_left(spark, monkeypatch):
     df = spark.range(10).coalesce(1)
     assert "RoundRobinPartitioning" in skew.spread_small(df)._jdf.queryExecution().executedPlan().toString()

@@ -31,9 +31,11 @@ def hot_join(rows: DataFrame, per_key: DataFrame, on: str, spread: list[str], fe
     values = [c for c in per_key.columns if c != on]
     hot = per_key.join(hot_keys, on, "left_semi").select(on, *[F.col(v).alias(f"_hot_{v}") for v in values], F.lit(True).alias("_is_hot"))
     apart = F.col("_is_hot").isNotNull() | F.col(on).isNull()
-    salt = F.when(apart, F.pmod(F.xxhash64(*spread), F.lit(SALTS)) + 1).otherwise(0)
-    salted = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt)
-    joined = salted.join(per_key.withColumn("_salt", F.lit(0).cast("bigint")), [on, "_salt"], "left")
+    salt = F.when(apart, F.pmod(F.xxhash64(*spread), F.lit(SALTS)) + 1).otherwise(F.lit(0).cast("bigint"))
+    # The slot is a hash on both sides: a plain 0 on the right would be folded into
+    # a filter, and the rows be shuffled by the key alone.
+    salted = rows.join(F.broadcast(hot), on, "left").withColumn("_slot", F.xxhash64(on, salt))
+    joined = salted.join(per_key.withColumn("_slot", F.xxhash64(on, F.lit(0).cast("bigint"))), [on, "_slot"], "left")
     return joined.select(*rows.columns, *[F.coalesce(f"_hot_{v}", v).alias(v) for v in values])
 
 
