@@ -2,6 +2,7 @@ import pytest
 
 import __spark_entry__ as driver
 import check_oracle
+from thematrail import catalog
 
 FOLDER = "/root/testdata/sf0.001"
 ROWS_ONLY = {"tfidf_vectors", "tfidf_nearest"}
@@ -18,11 +19,11 @@ def connection():
 
 
 def test_every_query_but_the_hashed_vectors_has_sql():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == ROWS_ONLY
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == ROWS_ONLY
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
 
-@pytest.mark.parametrize("name", sorted(driver.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.queries()))
 def test_query_equals_sql(spark, connection, name):
     line = check_oracle.compare(spark, connection, FOLDER, name, driver.queries()[name], driver.oracle_sql().get(name))
     assert line.startswith("rows" if name in ROWS_ONLY else "ok"), line
