@@ -17,7 +17,7 @@ QUALITY_WEIGHTS = {1: 2.0, 0: 0.5, None: 1.0}
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Documents that are ordered together in one group of the prefix sum, on average.
-BIN_ROWS = 100_000
+BIN_ROWS = 10_000
 
 
 def draw(doc_id: Column, seed: int = 0) -> Column:
@@ -72,15 +72,14 @@ def mix_sources(
     """
     n_bins = docs.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(bin_rows))).cast("bigint")).scalar()
     quality = F.lit(None).cast("int")
-    rows = docs.select(*([F.struct("*").alias("row")] if carry else []), F.col("doc_id"), F.col("source").cast("string").alias("source"), F.col("text"))
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint"))
+    rows = docs.select(*([F.struct("*").alias("row")] if carry else []), "doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
     if labels is not None:
         best = labels.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality")).filter("labelled IS NOT NULL")
         rows, quality = rows.join(best, F.col("doc_id") == F.col("labelled"), "left"), F.col("quality")
     weight = F.when(quality == 1, QUALITY_WEIGHTS[1]).when(quality == 0, QUALITY_WEIGHTS[0]).otherwise(QUALITY_WEIGHTS[None])
     rows = rows.select(
-        *(["row"] if carry else []), "doc_id", "source",
-        F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)).cast("bigint"), F.lit(0).cast("bigint")).alias("size"),
-        (-F.ln(draw(F.col("doc_id"), seed)) / weight).alias("key"),
+        *(["row"] if carry else []), "doc_id", "source", "size", (-F.ln(draw(F.col("doc_id"), seed)) / weight).alias("key"),
     )
     rows = rows.withColumn("bin", F.least(F.floor(n_bins * (1 - F.exp(-F.col("key")))), n_bins - 1).cast("bigint"))
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
