@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
+from .bpe import encode_documents
 from .exact import exact_dedup
 from .mixing import mix_sources
 from .shards import shard_documents
@@ -23,6 +25,15 @@ def op4_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), 16)
 
@@ -33,7 +44,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op4_digest_index, op8_jump_shards, op10_source_mix)}
+    return {q.__name__: q for q in (op4_digest_index, op6_bpe_transducer, op8_jump_shards, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
