@@ -12,6 +12,7 @@ from . import oracle
 from .bpe import encode_documents
 from .exact import exact_dedup
 from .mixing import mix_sources
+from .setsketch import near_duplicates
 from .shards import shard_documents
 
 
@@ -34,6 +35,10 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), 16)
 
@@ -44,7 +49,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op4_digest_index, op6_bpe_transducer, op8_jump_shards, op10_source_mix)}
+    return {q.__name__: q for q in (op4_digest_index, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
