@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .bpe import encode_documents
+from .density import extract_text
 from .exact import exact_dedup
 from .mixing import mix_sources
 from .setsketch import near_duplicates
@@ -20,6 +21,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
@@ -49,7 +54,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op4_digest_index, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op10_source_mix)}
+    return {q.__name__: q for q in (op2_text_density, op4_digest_index, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
