@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .bpe import encode_documents
+from .collisions import near_vectors
 from .density import extract_text
 from .exact import exact_dedup
 from .mixing import mix_sources
@@ -21,6 +22,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_collision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), 0.93)
+
+
 def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
@@ -54,7 +59,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_text_density, op4_digest_index, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op10_source_mix)}
+    return {q.__name__: q for q in (op1_collision_counts, op2_text_density, op4_digest_index, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
