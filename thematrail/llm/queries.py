@@ -13,6 +13,7 @@ from .bpe import encode_documents
 from .collisions import near_vectors
 from .density import extract_text
 from .exact import exact_dedup
+from .language import identify_documents
 from .mixing import mix_sources
 from .setsketch import near_duplicates
 from .shards import shard_documents
@@ -53,13 +54,18 @@ def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"), 16)
 
 
+def op9_evidence_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = identify_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"))
+    return judged.select("doc_id", "identified", "confidence", F.col("accepted").alias("kept"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_collision_counts, op2_text_density, op4_digest_index, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op10_source_mix)}
+    return {q.__name__: q for q in (op1_collision_counts, op2_text_density, op4_digest_index, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op9_evidence_fusion, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
