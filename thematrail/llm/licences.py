@@ -116,7 +116,7 @@ def canonical_lines(text: Column) -> Column:
     value = F.regexp_replace(value, r"[^\p{L}\p{N}\n]+", " ")
     for pattern, one in SPELLINGS:
         value = F.regexp_replace(value, pattern, one)
-    return F.filter(F.transform(F.split(value, "\n"), F.trim), lambda line: line != "")
+    return F.filter(F.transform(F.split(value, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
 def canonical_digest(lines: Column) -> Column:
