@@ -12,8 +12,9 @@ from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -121,63 +122,79 @@ def page_evidence(pages: DataFrame) -> DataFrame:
     return best.select("of", "page.declared", "page.host")
 
 
-def _normalised(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs)
-    weights = [F.exp(x - top) for x in logs]
-    return [w / sum(weights[1:], weights[0]) for w in weights]
+def _shares(logs: np.ndarray) -> np.ndarray:
+    weights = np.exp(logs - logs.max(axis=1, keepdims=True))
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def _rows(column: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Array cells as a matrix, null cells as zeros, and which are there."""
+    there = column.notna().to_numpy()
+    values = np.zeros((len(column), width))
+    if there.any():
+        values[there] = np.stack(column[there].to_numpy())
+    return values, there
+
+
+def fuse(start: np.ndarray, likelihood: pd.Series, own: pd.Series, total: pd.Series, counts: dict[str, pd.Series], values: dict[str, pd.Series]) -> np.ndarray:
+    """Posteriors of rows: smoothed priors of collection, domain and host, times the factors of text, declaration and suffix.
+
+    ``counts`` are the sums of text posteriors over the rows with the same domain, host, declared language and suffix. What a
+    row has added to them itself is taken off first.
+    """
+    width = len(start)
+    log_text, mine = _rows(likelihood, width)[0], _rows(own, width)[0]
+    everything = np.maximum(_rows(total, width)[0] - mine, 0)
+    prior = (everything + PRIOR_COUNT * start) / (everything.sum(axis=1, keepdims=True) + PRIOR_COUNT)
+    others = {}
+    for key, column in counts.items():
+        held, there = _rows(column, width)
+        others[key] = np.maximum(held - mine, 0) * there[:, None], there
+    for key in ("domain", "host"):
+        held = others[key][0]
+        prior = (held + PRIOR_COUNT * prior) / (held.sum(axis=1, keepdims=True) + PRIOR_COUNT)
+    logs = np.log(prior) + log_text
+    for key in ("declared", "suffix"):
+        held, there = others[key]
+        share = (held + FACTOR_COUNT) / (everything + FACTOR_COUNT * (values[key].to_numpy(float)[:, None] + 1))
+        logs += np.where(there[:, None], np.log(share), 0)
+    return _shares(logs)
 
 
 def identify(evidence: DataFrame, languages: Sequence[str], accepted: float = ACCEPTED) -> DataFrame:
     """Fuse the evidence of rows (trigrams, likelihood, declared, host, ...) to (..., identified, confidence, accepted).
 
-    The factors that are null count for nothing. A text without letters is never accepted. Counts of a row's
-    own text are left out of its priors.
+    Evidence that is null counts for nothing. A text without letters is ``und`` and never accepted.
     """
-    names = [*languages, UNKNOWN]
-    n = len(names)
-    start = [np.log((1 - UNKNOWN_SHARE) / len(languages))] * len(languages) + [np.log(UNKNOWN_SHARE)]
-    own = [f"own_{i}" for i in range(n)]
-    label = F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1)
-    rows = evidence.withColumn("domain", F.when(F.col("host").isNotNull(), F.coalesce(F.nullif(label, F.lit("")), F.col("host"))))
+    names = np.array([*languages, UNKNOWN])
+    start = np.array([(1 - UNKNOWN_SHARE) / len(languages)] * len(languages) + [UNKNOWN_SHARE])
+
+    @F.pandas_udf("array<double>")
+    def alone(likelihood: pd.Series, trigrams: pd.Series) -> pd.Series:
+        shares = _shares(_rows(likelihood, len(start))[0] + np.log(start)) * (trigrams.to_numpy() > 0)[:, None]
+        return pd.Series(list(shares))
+
+    @F.pandas_udf("identified string, confidence double")
+    def judged(likelihood: pd.Series, own: pd.Series, total: pd.Series, domain: pd.Series, host: pd.Series, declared: pd.Series, suffix: pd.Series, n_declared: pd.Series, n_suffix: pd.Series) -> pd.DataFrame:
+        chances = fuse(
+            start, likelihood, own, total, {"domain": domain, "host": host, "declared": declared, "suffix": suffix}, {"declared": n_declared, "suffix": n_suffix}
+        )
+        return pd.DataFrame({"identified": names[chances.argmax(axis=1)], "confidence": chances.max(axis=1)})
+
+    rows = evidence.withColumn("domain", F.coalesce(F.nullif(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1), F.lit("")), F.col("host")))
     rows = rows.withColumn("suffix", F.nullif(F.regexp_extract("host", r"\.([^.]+)$", 1), F.lit("")))
-    alone = _normalised([F.col("likelihood")[i] + F.lit(float(start[i])) for i in range(n)])
-    lettered = F.col("trigrams") > 0
-    rows = written(rows.select("*", *[F.when(lettered, p).otherwise(0.0).alias(c) for c, p in zip(own, alone)]), "evidence")
-
-    def sums(key: str | None, prefix: str) -> DataFrame:
-        grouped = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{prefix}_key")) if key else rows.groupBy()
-        return grouped.agg(*[F.sum(c).alias(f"{prefix}_{i}") for i, c in enumerate(own)])
-
-    total = sums(None, "all")
-    joined = rows.crossJoin(F.broadcast(total))  # one row
-    for key in ("declared", "suffix", "domain", "host"):
-        joined = joined.join(sums(key, key), F.col(key) == F.col(f"{key}_key"), "left")
-    for key in ("declared", "suffix"):  # how many values there are
-        joined = joined.crossJoin(F.broadcast(rows.agg(F.count_distinct(key).alias(f"{key}_values"))))
-
-    def others(prefix: str, i: int) -> Column:
-        return F.greatest(F.coalesce(F.col(f"{prefix}_{i}"), F.lit(0.0)) - F.when(F.col(prefix).isNotNull(), F.col(own[i])).otherwise(0.0), F.lit(0.0))
-
-    everything = [F.greatest(F.coalesce(F.col(f"all_{i}"), F.lit(0.0)) - F.col(own[i]), F.lit(0.0)) for i in range(n)]
-    weight = sum(everything[1:], everything[0])
-    level = [(everything[i] + PRIOR_COUNT * float(np.exp(start[i]))) / (weight + PRIOR_COUNT) for i in range(n)]
-    for key in ("domain", "host"):
-        counts = [others(key, i) for i in range(n)]
-        joined = joined.withColumns({f"{key}_prior_{i}": (counts[i] + PRIOR_COUNT * level[i]) / (sum(counts[1:], counts[0]) + PRIOR_COUNT) for i in range(n)})
-        level = [F.col(f"{key}_prior_{i}") for i in range(n)]
-
-    def factor(key: str, i: int) -> Column:
-        share = (others(key, i) + FACTOR_COUNT) / (everything[i] + FACTOR_COUNT * (F.col(f"{key}_values") + 1))
-        return F.when(F.col(key).isNotNull(), F.ln(share)).otherwise(0.0)
-
-    logs = [F.ln(level[i]) + F.col("likelihood")[i] + factor("declared", i) + factor("suffix", i) for i in range(n)]
-    joined = joined.withColumns({f"log_{i}": x for i, x in enumerate(logs)})
-    chances = _normalised([F.col(f"log_{i}") for i in range(n)])
-    best = F.array_max(F.array(*[F.struct(p.alias("confidence"), F.lit(-i).alias("order"), F.lit(name).alias("identified")) for i, (p, name) in enumerate(zip(chances, names))]))
-    joined = joined.withColumn("best", best)
-    known = (F.col("best.identified") != UNKNOWN) & (F.col("best.confidence") >= accepted) & lettered
+    rows = written(rows.withColumn("own", alone("likelihood", "trigrams")), "evidence")
+    summed = F.array(*[F.sum(F.col("own")[i]) for i in range(len(start))])
+    joined = rows.crossJoin(F.broadcast(rows.agg(  # one row
+        summed.alias("all"), F.count_distinct("declared").alias("n_declared"), F.count_distinct("suffix").alias("n_suffix")
+    )))
+    for key in ("domain", "host", "declared", "suffix"):
+        sums = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"{key}_key")).agg(summed.alias(f"{key}_sums"))
+        joined = joined.join(sums, F.col(key) == F.col(f"{key}_key"), "left")
+    joined = joined.withColumn("best", judged("likelihood", "own", "all", "domain_sums", "host_sums", "declared_sums", "suffix_sums", "n_declared", "n_suffix"))
+    known = (F.col("best.identified") != UNKNOWN) & (F.col("best.confidence") >= accepted) & (F.col("trigrams") > 0)
     return joined.select(
-        *evidence.columns, F.when(lettered, F.col("best.identified")).otherwise(UNKNOWN).alias("identified"), F.col("best.confidence").alias("confidence"), known.alias("accepted"),
+        *evidence.columns, F.when(F.col("trigrams") > 0, F.col("best.identified")).otherwise(UNKNOWN).alias("identified"), F.col("best.confidence").alias("confidence"), known.alias("accepted"),
     )
 
 

@@ -92,7 +92,7 @@ NOTICES = [
 
 # Spellings that count as one, as patterns on the canonical form.
 SPELLINGS = [
-    (r"\b(sub|un)? ?licen[cs](e|es|ed|ing|ee|ees|able)\b", "$1licens$2"),
+    (r"\b(?:(sub|un) ?)?licen[cs](e|es|ed|ing|ee|ees|able)\b", "$1licens$2"),
     (r"\b([a-z]{3,})is(e|es|ed|ing|ation|ations)\b", "$1iz$2"),
     (r"\b(hon|fav|lab|col)our", "$1or"),
     (r"\bwhilst\b", "while"),

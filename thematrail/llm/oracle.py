@@ -4,7 +4,7 @@ from __future__ import annotations
 
 # every word stands between spaces of its own here, as RE2 knows word ends for ASCII only
 _SPELLINGS = [
-    (r" (sub|un)?( *)licen[cs](e|es|ed|ing|ee|ees|able) ", r" \1licens\3 "),
+    (r" (?:(sub|un) *)?licen[cs](e|es|ed|ing|ee|ees|able) ", r" \1licens\2 "),
     (r" ([a-z]{3,})is(e|es|ed|ing|ation|ations) ", r" \1iz\2 "),
     (r" (hon|fav|lab|col)our", r" \1or"),
     (r" whilst ", " while "),
