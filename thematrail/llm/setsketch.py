@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import components
 from .store import written
@@ -35,6 +36,9 @@ DEVIATIONS = 5.0
 #: Buckets of up to this many sets are compared pair by pair, larger ones by stars and then across components.
 SMALL_BUCKET = 8
 
+#: Members of a large bucket's main component, drawn by hash, that those outside it are compared with first.
+SPOKES = 16
+
 #: Bytes of text that are worked at a time.
 SLICE_BYTES = 1 << 20
 
@@ -162,12 +166,17 @@ def _estimated(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
     return pairs.filter(likely("n_a", "n_b", "r_a", "r_b")).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def _full_sets(ids: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """(rep, held) with all hashes of the sets of ``ids`` (rep, low, high).
+
+    The texts are joined by sort-merge whatever the number of ids, so that the plan is the same at every size.
+    """
+    texts = docs.join(ids.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    return sketch(texts, words, whole=True).join(ids.withColumnRenamed("rep", "doc_id"), ["doc_id", "low", "high"]).select(F.col("doc_id").alias("rep"), "held")
+
+
+def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     """Links among the pairs, by intersection and union of the full sets."""
-    ids = written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct().join(sets.select("rep", "low", "high"), "rep"), "candidates")
-    texts = docs.join(ids.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    full = sketch(texts, words, whole=True).join(ids.withColumnRenamed("rep", "doc_id"), ["doc_id", "low", "high"]).select("doc_id", "held")
-    full = written(full, "sets")
 
     @F.pandas_udf("boolean")
     def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -179,7 +188,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, words: int, pe
         return pd.Series([reaches(x, y) for x, y in zip(a, b)], dtype=bool)
 
     for side in "ab":
-        pairs = pairs.join(full.select(F.col("doc_id").alias(side), F.col("held").alias(f"s_{side}")), side)
+        pairs = pairs.join(full.select(F.col("rep").alias(side), F.col("held").alias(f"s_{side}")), side)
     return pairs.filter(linked("s_a", "s_b")).select("a", "b")
 
 
@@ -192,9 +201,10 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, doc_id:
     left out; an empty table gives none.
 
     Equal sets are one node from the start, so exact copies never meet. Buckets of a band are compared by pairs if
-    they are small. Larger ones are joined as a star first; then, within each of them, every pair of sets that is
-    not in one component yet is compared as well, so a large group of copies costs a link each and no link between
-    different components that share a band is lost. No bucket or set of candidates is capped.
+    they are small. The members of a larger one are compared with one of them, drawn by hash; then, while a bucket holds several
+    components, those outside its largest one with ``SPOKES`` drawn from it; and what still lies outside with every
+    member that is in another component. So a large group of copies costs a few pairs a member, and no link between sets that
+    share a band is lost. No bucket or set of candidates is capped.
     """
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketches = written(sketch(docs, words), "sketches")
@@ -203,31 +213,47 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, doc_id:
     sets = written(filled.groupBy(*name).agg(F.min("doc_id").alias("rep"), F.any_value("held").alias("held")), "nodes")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("held", 1 + i * BAND, BAND)) for i in range(BANDS)])
     bands = sets.select("rep", F.col("n_shingles").alias("n"), F.explode(keys).alias("key"))
-    buckets = bands.groupBy("key").agg(F.min("rep").alias("centre"), F.min_by("n", "rep").alias("centre_n"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    drawn = F.min_by(F.struct("rep", "n"), F.xxhash64("rep", "key"))
+    buckets = bands.groupBy("key").agg(drawn.alias("centre"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = written(bands.join(buckets, "key"), "buckets")
+    small, large = shared.filter(F.col("size") <= SMALL_BUCKET), shared.filter(F.col("size") > SMALL_BUCKET)
 
     def sized(x: str, y: str):
         return (F.col(x) * 100 >= F.col(y) * percent) & (F.col(y) * 100 >= F.col(x) * percent)
 
-    small, large = shared.filter(F.col("size") <= SMALL_BUCKET), shared.filter(F.col("size") > SMALL_BUCKET)
-    left, right = small.select("key", F.col("rep").alias("a"), F.col("n").alias("n_a")), small.select("key", F.col("rep").alias("b"), F.col("n").alias("n_b"))
-    pairs = left.join(right, "key").filter("a < b").filter(sized("n_a", "n_b")).select("a", "b")
-    stars = large.filter("rep <> centre").filter(sized("n", "centre_n")).select(F.col("centre").alias("a"), F.col("rep").alias("b"))
-    first = written(_estimated(pairs.union(stars).distinct(), sets, percent / 100), "pairs")
-    links = written(_verified(first, sets, docs, words, percent), "links")
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Pairs (x, n_x, y, n_y), each once, whose sizes and registers allow a link."""
+        pairs = pairs.filter("x <> y").filter(sized("n_x", "n_y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+        return written(_estimated(pairs.distinct(), sets, percent / 100), "pairs")
+
+    left, right = (small.select("key", F.col("rep").alias(x), F.col("n").alias(f"n_{x}")) for x in "xy")
+    stars = large.select(F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("centre.rep").alias("y"), F.col("centre.n").alias("n_y"))
+    tested = likely(left.join(right, "key").filter("x < y").drop("key").unionByName(stars))
+    ids = tested.select(F.col("a").alias("rep")).union(tested.select("b")).union(large.select("rep")).distinct()
+    full = written(_full_sets(written(ids.join(sets.select("rep", "low", "high"), "rep"), "candidates"), docs, words), "sets")
+    links = written(_verified(tested, full, percent), "links")
     groups = components(links)
 
-    placed = large.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("own"))
-    parts = placed.groupBy("key", "own").agg(F.count(F.lit(1)).alias("members")).groupBy("key").agg(
-        F.max_by("own", F.struct("members", "own")).alias("main"), F.count(F.lit(1)).alias("parts")
-    )
-    placed = placed.join(parts.filter("parts > 1"), "key")
-    others = placed.filter("own <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"))
-    across = others.join(placed, "key").filter("own <> own_x AND (own = main OR x < rep)").filter(sized("n", "n_x"))
-    across = across.select(F.least("x", "rep").alias("a"), F.greatest("x", "rep").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    second = written(_estimated(across, sets, percent / 100), "pairs")
-    if not second.isEmpty():
-        groups = components(links.union(_verified(second, sets, docs, words, percent)))
+    for spokes in (SPOKES, None):
+        placed = large.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("own"))
+        parts = placed.groupBy("key", "own").agg(F.count(F.lit(1)).alias("members")).groupBy("key").agg(
+            F.max_by("own", F.struct("members", "own")).alias("main"), F.count(F.lit(1)).alias("parts")
+        )
+        placed = written(placed.join(parts.filter("parts > 1"), "key").drop("parts"), "placed")
+        others = placed.filter("own <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"))
+        if spokes:
+            order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep", "key", F.lit(1))))
+            partners = placed.filter("own = main").withColumn("k", order).filter(F.col("k") <= spokes).drop("k")
+        else:
+            partners = placed
+        met = others.join(partners.withColumnsRenamed({"rep": "y", "n": "n_y"}), "key").filter("own <> own_x AND (own = main OR x < y)")
+        fresh = likely(met.select("x", "n_x", "y", "n_y")).join(tested, ["a", "b"], "left_anti")
+        fresh = written(fresh, "pairs")
+        if fresh.isEmpty():
+            continue
+        links = written(links.union(_verified(fresh, full, percent)), "links")
+        tested = tested.union(fresh)
+        groups = components(links)
 
     nodes = sets.select(*name, "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     nodes = nodes.select(*name, F.coalesce("component", "rep").alias("component_id"))
