@@ -67,6 +67,7 @@ class _Page:
     def __init__(self, html: str):
         self.tag, self.parent, self.pieces = ["body"], [-1], []  # pieces: (node, text or None for the start or end of a block)
         stack, open_tags, position, dropping = [0], ["body"], 0, 0
+        opened: dict[str, int] = {}  # how many of each are open
         inside = 0  # articles and mains that are open
         while position < len(html):
             found = _TAG.search(html, position)
@@ -81,9 +82,10 @@ class _Page:
                 continue
             tag = tag.lower()
             if closing:
-                if tag in open_tags[1:] and tag not in VOID:
+                if opened.get(tag) and tag not in VOID:
                     while True:
                         last = open_tags.pop()
+                        opened[last] -= 1
                         node = stack.pop()
                         inside -= last in ("article", "main")
                         dropping -= node < 0
@@ -98,7 +100,7 @@ class _Page:
             if tag in ("html", "body", "head") and tag != "head":
                 continue
             ends, until = SIBLINGS.get(tag, (("p",), ("button", "table", "td", "th", "caption", "object")) if tag in CLOSES_P else ((), ()))
-            if ends:
+            if any(opened.get(x) for x in ends):
                 deep = len(open_tags) - 1
                 target = 0
                 while deep > 0 and open_tags[deep] not in until:
@@ -108,6 +110,7 @@ class _Page:
                     deep -= 1
                 while target and len(open_tags) > target:
                     last, node = open_tags.pop(), stack.pop()
+                    opened[last] -= 1
                     inside -= last in ("article", "main")
                     dropping -= node < 0
                     if node >= 0 and last in BLOCKS and not dropping:
@@ -117,6 +120,7 @@ class _Page:
                     self.pieces.append((stack[-1], None))
                 if tag not in VOID:
                     open_tags.append(tag)
+                    opened[tag] = opened.get(tag, 0) + 1
                     stack.append(-1)
                     dropping += 1
                     inside += tag in ("article", "main")
@@ -127,6 +131,7 @@ class _Page:
                 self.pieces.append((len(self.tag) - 1, None))
             if tag not in VOID:
                 open_tags.append(tag)
+                opened[tag] = opened.get(tag, 0) + 1
                 stack.append(len(self.tag) - 1)
                 inside += tag in ("article", "main")
 
