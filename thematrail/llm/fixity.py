@@ -80,10 +80,10 @@ def audit(index: DataFrame) -> DataFrame:
     file_levels, ranges = 0, top["offset"] // RANGE_BYTES
     while ranges:
         file_levels, ranges = file_levels + 1, ranges // FANOUT
-    levels, low, high = file_levels, top["first"], top["file"]
-    while low != high:
-        levels, low, high = levels + 1, low // FANOUT, high // FANOUT
-    ours, theirs = (merkle_levels(index.select("file", "offset", F.col(c).alias("digest")), file_levels, levels) for c in ("digest", "replica_digest"))
+    levels, files = file_levels, top["file"] - top["first"]  # files are counted from the first
+    while files:
+        levels, files = levels + 1, files // FANOUT
+    ours, theirs = (merkle_levels(index.select((F.col("file") - top["first"]).alias("file"), "offset", F.col(c).alias("digest")), file_levels, levels) for c in ("digest", "replica_digest"))
     suspects = None
     for k in range(levels, -1, -1):
         a, b = (x[k].select("file", "node", F.col("digest").alias(name)) for x, name in ((ours, "a"), (theirs, "b")))
@@ -93,6 +93,6 @@ def audit(index: DataFrame) -> DataFrame:
         differ = a.join(b, ["file", "node"], "left").filter(~F.col("a").eqNullSafe(F.col("b"))).select("file", "node")
         suspects = written(differ, "suspects").select(F.col("file").alias("up_file"), F.col("node").alias("up_node"))
     suspects = suspects.select(F.col("up_file").alias("s_file"), F.col("up_node").alias("s_node"))
-    inside = (F.col("file") == F.col("s_file")) & (F.floor(F.col("offset") / RANGE_BYTES) == F.col("s_node"))
+    inside = (F.col("file") - top["first"] == F.col("s_file")) & (F.floor(F.col("offset") / RANGE_BYTES) == F.col("s_node"))
     status = F.when(F.col("s_file").isNull() | F.col("digest").eqNullSafe(F.col("replica_digest")), "intact").when(F.col("replica_digest").isNull(), "missing").otherwise("corrupt")
     return index.join(suspects, inside, "left").select("page_id", "file", "offset", "length", "digest", status.alias("status"))
