@@ -64,8 +64,8 @@ def test_importance_matches_brute_force(spark, seed):
     rows = [(i, rng.choice("xy"), rng.choice([1, 1, 2, 7]), rng.choice([100, 100, 1000, 333])) for i in range(90)]
     found = {r.doc_id: (r.rate, r.score) for r in extraction.importance(spark.createDataFrame(rows, "doc_id bigint, category string, mentions bigint, n_chars bigint")).collect()}
     for i, category, n, chars in rows:
-        rates = [m * 100000 // c for _, k, m, c in rows if k == category]
-        rate = n * 100000 // chars
+        rates = [m * 100000.0 / c for _, k, m, c in rows if k == category]
+        rate = n * 100000.0 / chars
         assert found[i] == (rate, 1 + 5 * sum(r < rate for r in rates) // len(rates))
 
 

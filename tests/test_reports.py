@@ -48,9 +48,9 @@ def test_answer_prompts(spark):
         "page_id bigint, page_number int, entity string, grp string, link string, text string, embedding array<float>",
     )
     turns = spark.createDataFrame([(7, 0, "user", "hello"), (7, 1, "assistant", "hi"), (7, 2, "user", "more")], "conv_id bigint, turn bigint, role string, text string")
-    queries = spark.createDataFrame([(7, [2.2, 0.0])], "query_id bigint, embedding array<float>")
+    queries = spark.createDataFrame([(7, 0, [2.2, 0.0]), (7, 2, [0.1, 0.0])], "conv_id bigint, turn bigint, embedding array<float>")
     prompts = reports.answer_prompts(turns, queries, pages, pages, "Use:\n{context}\n", k=2).orderBy("turn").collect()
     assert [tuple(p) for p in prompts] == [
-        (7, 0, 0, "Use:\npage 2\n\npage 3\n", "user: hello"),
-        (7, 2, 0, "Use:\npage 2\n\npage 3\n", "user: hello\nassistant: hi\nuser: more"),
+        (7, 0, "Use:\npage 2\n\npage 3\n\nuser: hello"),
+        (7, 2, "Use:\npage 0\n\npage 1\n\nuser: hello\nassistant: hi\nuser: more"),
     ]

@@ -76,13 +76,9 @@ def test_map_summary_matches_brute_force(mentions, seed):
     assert whole == brute_summary([("", c, s) for c, s in found.items()], 2, 4)[""]
 
 
-def test_many_categories_take_the_salted_join(mentions, monkeypatch):
-    from thematrail.operators import skew
-
-    rows = [("e", "g", c, 1, f"{c}word finance {i}. Other {c}word finance here") for i, c in enumerate("abcabcaaa")]
-    few = {r.category: r.summary for r in summaries.summarize_map(mentions(rows)).collect()}
-    monkeypatch.setattr(skew, "FEW_LISTS", 1)
-    assert {r.category: r.summary for r in summaries.summarize_map(mentions(rows)).collect()} == few
+def test_a_category_without_key_terms_keeps_its_summary(mentions):
+    rows = [("e", "g", "a", 1, "an ox is in it. so be it"), ("e", "g", "b", 1, "Public banks finance climate")]
+    assert {r.category: r.summary for r in summaries.summarize_map(mentions(rows)).collect()}["a"] == "an ox is in it. so be it"
 
 
 def test_summary_report(mentions):

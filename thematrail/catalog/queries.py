@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from ..operators import conversation, cooccurrence, extraction, filters, names, retrieval, shares, summaries, texts, vectors
 from ..plans import reports
 from ..session import shared_folder
-from ..sources import canonical, load_csv, load_pages, write_report
-from ..sources.delimited import NUMBERED_THEMES
+from ..sources import cached, canonical, load_csv, load_pages, write_report
+from ..sources.delimited import NUMBERED_THEMES, whole_numbers
 from . import inputs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,8 +152,9 @@ def _retrieval() -> dict[str, Query]:
     def lexical(spark: SparkSession, folder: str) -> DataFrame:
         pages = inputs.page_texts(spark, folder)
         model = vectors.tfidf_model(pages)
-        asked = inputs.turns(spark, folder).filter("role = 'user'").select(F.xxhash64("conv_id", "turn").alias("query_id"), "text")
-        return retrieval.knn(vectors.tfidf_vectors(model, asked), vectors.tfidf_vectors(model, pages))
+        asked = inputs.turns(spark, folder).filter("role = 'user'").select(F.struct("conv_id", "turn").alias("query_id"), "text")
+        hits = retrieval.knn(vectors.tfidf_vectors(model, asked), vectors.tfidf_vectors(model, pages))
+        return hits.select("query_id.conv_id", "query_id.turn", "page_id", "distance", "rank")
 
     def page_vectors(spark: SparkSession, folder: str) -> DataFrame:
         pages = inputs.page_texts(spark, folder)
@@ -222,7 +223,20 @@ def _files() -> dict[str, Query]:
     def pages(spark: SparkSession, folder: str) -> DataFrame:
         path = folder_for(spark)
         found = inputs.table(spark, folder, "embeddings").select(F.col("vec_id").alias("page_id"), "embedding")
-        write_report(inputs.page_texts(spark, folder).join(found, "page_id"), path)
-        return load_pages(spark, path).withColumn("width", F.size("embedding")).drop("embedding")
+        write_report(found.join(inputs.page_texts(spark, folder), "page_id", "left"), path)
+        micro = F.transform("embedding", lambda x: F.round(x.cast("double") * 1000000).cast("bigint").cast("string"))
+        return cached(load_pages(spark, path)).withColumn("components", F.array_join(micro, ",")).drop("embedding")
+
+    def large_numbers(spark: SparkSession, folder: str) -> DataFrame:
+        """Ids beyond 2^53 and missing counts, in two extracts with different orders of columns."""
+        paths = [folder_for(spark), folder_for(spark)]
+        rows = inputs.table(spark, folder, "documents").select(
+            (F.lit(9007199254740993) + F.col("doc_id")).alias("ODD number"), F.when(F.col("doc_id") % 7 != 0, F.col("n_chars").cast("string")).otherwise("None").alias("ODD count"),
+            F.col("source").alias("Entity"), F.col("lang").alias("Groupe"), (F.col("doc_id") % 2).alias("part"),
+        )
+        write_report(rows.filter("part = 0").drop("part"), paths[0], "csv")
+        write_report(rows.filter("part = 1").select("Groupe", "ODD count", "Entity", "ODD number"), paths[1], "csv")
+        schema = "Groupe string, Entity string, `ODD number` bigint, `ODD count` bigint"
+        return whole_numbers(canonical(load_csv(spark, paths, schema), NUMBERED_THEMES), "mentions")
 
-    return {"csv_round_trip": csv, "report_round_trip": parquet, "stored_pages": pages}
+    return {"csv_round_trip": csv, "report_round_trip": parquet, "stored_pages": pages, "csv_large_numbers": large_numbers}

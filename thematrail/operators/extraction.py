@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bound, grams, sentences, words
-from .skew import spread_small
 
 Lexicon = Mapping[str, Iterable[str]]
 
@@ -27,7 +26,7 @@ def split_pages(docs: DataFrame, max_chars: int = 3000) -> DataFrame:
     """
     pattern = r"(?s).{1,%d}(?:\n|\z)|.{%d}" % (max_chars, max_chars)
     parts = F.transform(F.split("text", "\f"), lambda part: F.regexp_extract_all(part, F.lit(pattern), F.lit(0)))
-    paged = spread_small(docs).select(*[c for c in docs.columns if c != "text"], F.posexplode(F.flatten(parts)).alias("at", "text"))
+    paged = docs.select(*[c for c in docs.columns if c != "text"], F.posexplode(F.flatten(parts)).alias("at", "text"))
     return paged.withColumn("page_number", F.col("at") + 1).drop("at")
 
 
@@ -72,7 +71,7 @@ def _category_hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
         _hits(F.col("text"), [t for own in terms.values() for t in own]),
         lambda hits: F.transform(table, lambda e: F.struct(e["category"].alias("category"), own_hits(e, hits).alias("hits"))),
     )
-    rows = spread_small(docs.select("doc_id", "entity", "grp", "text")).select(
+    rows = docs.select("doc_id", "entity", "grp", "text").select(
         "doc_id", "entity", "grp", F.length("text").cast("bigint").alias("n_chars"),
         F.explode(F.filter(found, lambda c: F.size(c["hits"]) > 0)).alias("c"),
     )
@@ -109,27 +108,29 @@ def example_passages(docs: DataFrame, lexicon: Lexicon, n: int = 3) -> DataFrame
     )
 
 
+#: Coarse ranges of rates for each doubling.
+RANGES = 4
+
+
 def importance(mentions: DataFrame) -> DataFrame:
     """Score 1 to 5 of each (document, category): the fifth of the category its mention rate falls in.
 
-    The rate is mentions per 100,000 characters, as a whole number; the score is
+    The rate is mentions per 100,000 characters, unrounded; the score is
     ``1 + floor(5 * rows with a lower rate / all rows)`` of the category, so equal
-    rates score alike. Only a count per (category, rate) is shuffled, at most
-    100,001 rows per category; its cuts, one row per lexicon category, go back to
-    the rows by broadcast.
+    rates score alike. Rates are counted in coarse ranges (quarters of a power of two) first, one row a
+    range; only the rows of one range are ever ranked together, and the ranges below add their counts.
     """
-    rated = mentions.withColumn("rate", F.expr("mentions * 100000 div n_chars"))
-    histogram = rated.groupBy("category", "rate").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("category").orderBy("rate").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    below = F.sum("n").over(upto) - F.col("n")
-    whole = F.sum("n").over(Window.partitionBy("category"))
-    scores = histogram.select("category", "rate", F.expr("1").cast("bigint").alias("one"), below.alias("below"), whole.alias("whole"))
-    scores = scores.select("category", "rate", F.expr("one + 5 * below div whole").alias("score"))
-    cuts = scores.groupBy("category", "score").agg(F.min("rate").alias("from_rate"))
-    cuts = cuts.groupBy("category").agg(F.collect_list(F.struct("from_rate", "score")).alias("cuts"))
-    reached = F.filter("cuts", lambda c: c["from_rate"] <= F.col("rate"))
-    scored = rated.join(F.broadcast(cuts), "category")
-    return scored.withColumn("score", F.array_max(F.transform(reached, lambda c: c["score"]))).drop("cuts")
+    rated = mentions.withColumn("rate", F.col("mentions") * 100000.0 / F.col("n_chars"))
+    rated = rated.withColumn("range", F.coalesce(F.floor(F.log2("rate") * RANGES), F.lit(-(2**40))).cast("bigint"))
+    ranges = rated.groupBy("category", "range").agg(F.count("*").alias("n"))
+    lower = Window.partitionBy("category").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranges.select(
+        "category", "range", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy("category")).alias("whole")
+    )
+    within = F.rank().over(Window.partitionBy("category", "range").orderBy("rate")) - 1
+    ranked = rated.join(starts, ["category", "range"]).withColumn("below", F.col("start") + within)
+    scored = ranked.withColumn("score", F.expr("1 + 5 * below div whole").cast("bigint"))
+    return scored.drop("range", "start", "whole", "below")
 
 
 def find_names(docs: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -141,7 +142,7 @@ def find_names(docs: DataFrame, names: Iterable[str]) -> DataFrame:
     table = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).alias("name")) for t, n in sorted(spelled.items(), key=lambda e: e[1])])
     found = F.array_distinct(F.flatten(F.transform(_hits(F.col("text"), spelled), lambda h: h["found"])))
     listed = bound(found, lambda f: F.transform(F.filter(table, lambda e: F.array_contains(f, e["term"])), lambda e: e["name"]))
-    rows = spread_small(docs.select("doc_id", "entity", "grp", "text"))
+    rows = docs.select("doc_id", "entity", "grp", "text")
     return rows.select("doc_id", "entity", "grp", F.nullif(F.array_join(listed, ", "), F.lit("")).alias("names"))
 
 

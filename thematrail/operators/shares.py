@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lead_rank, percent
-from .skew import FEW_NUMBERS, join_per_key
 
 
 def _sum(measure: str) -> Column:
@@ -61,10 +60,8 @@ def group_category_share(df: DataFrame) -> DataFrame:
 
 def entity_row_share(df: DataFrame) -> DataFrame:
     """Share of every row in its entity's mentions; no share for a missing entity."""
-    sums = known(df, "entity").groupBy("entity").agg(_sum("mentions").alias("entity_mentions"), F.count("*").alias("n_rows"))
-    joined = join_per_key(
-        df, sums.drop("n_rows"), "entity", ["row_id", "category"], FEW_NUMBERS, counts=sums.select("entity", "n_rows")
-    )
+    sums = known(df, "entity").groupBy("entity").agg(_sum("mentions").alias("entity_mentions"))
+    joined = df.join(sums, "entity", "left")
     return joined.withColumn("share", percent(F.col("mentions"), F.col("entity_mentions"))).drop("entity_mentions")
 
 

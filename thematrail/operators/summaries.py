@@ -10,9 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sentences, words
-from . import skew
 from .shares import known
-from .skew import join_per_key, spread_small
 
 KEY_TERMS = 50
 MIN_LETTERS = 5
@@ -20,30 +18,30 @@ MIN_LETTERS = 5
 
 def key_terms(df: DataFrame, n_terms: int = KEY_TERMS) -> DataFrame:
     """The words found in most texts of a category, at most n_terms each; ties in word order."""
-    rows = spread_small(known(df, "category", "summary").select("category", "row_id", "summary"))
+    rows = known(df, "category", "summary").select("category", "row_id", "summary")
     found = rows.select("category", F.explode(F.array_distinct(words(F.col("summary"), MIN_LETTERS))).alias("term"))
     counted = found.groupBy("category", "term").agg(F.count("*").alias("n_texts"))
     place = Window.partitionBy("category").orderBy(F.desc("n_texts"), "term")
     return counted.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= n_terms).drop("place")
 
 
-def summarize_map(df: DataFrame, n: int = 3, n_terms: int = KEY_TERMS, n_categories: int | None = None) -> DataFrame:
+def summarize_map(df: DataFrame, n: int = 3, n_terms: int = KEY_TERMS) -> DataFrame:
     """The n best sentences of every category in reading order: ``category, summary``.
 
     A sentence scores the number of different key terms in it; ties go to the
     earlier one, and copies of a sentence count once. Sentences are scored inside
     their row, and a row passes on only its own n best (no other can be among
-    the category's n best), so whole texts are never shuffled. ``n_categories`` is an upper bound, if the
-    query knows one (see :func:`..skew.join_per_key`).
+    the category's n best), so if the key terms are small enough to be sent to the rows, texts stay in place.
     """
-    rows = spread_small(known(df, "category", "summary").select("category", "row_id", "summary"))
+    rows = known(df, "category", "summary").select("category", "row_id", "summary")
     terms = key_terms(rows, n_terms).groupBy("category").agg(F.collect_list("term").alias("terms"))
     scored = F.transform(
         F.array_distinct(sentences(F.col("summary"))),
         lambda s, i: F.struct((-F.size(F.array_intersect(words(s, MIN_LETTERS), F.col("terms")))).alias("minus"), i.alias("at"), s.alias("sentence")),
     )
     best = F.slice(F.array_sort(scored), 1, n)
-    scored_rows = join_per_key(rows, terms, "category", ["row_id"], skew.FEW_LISTS, n_categories).filter(F.col("terms").isNotNull())
+    own_terms = F.coalesce("terms", F.array().cast("array<string>"))
+    scored_rows = rows.join(terms, "category", "left").withColumn("terms", own_terms)
     passed = scored_rows.select("category", "row_id", F.explode(best).alias("s"))
     position = F.struct("row_id", F.col("s.at").alias("at"))
     single = passed.groupBy("category", F.col("s.minus").alias("minus"), F.col("s.sentence").alias("sentence")).agg(F.min(position).alias("position"))
@@ -58,4 +56,4 @@ def summarize_map(df: DataFrame, n: int = 3, n_terms: int = KEY_TERMS, n_categor
 def summarize_reduce(texts: DataFrame, n: int = 3, order: str = "category", text: str = "summary", n_terms: int = KEY_TERMS) -> DataFrame:
     """One summary over all texts, read in the given order."""
     whole = texts.select(F.lit("").alias("category"), F.col(order).alias("row_id"), F.col(text).alias("summary"))
-    return summarize_map(whole, n, n_terms, 1).select("summary")
+    return summarize_map(whole, n, n_terms).select("summary")

@@ -7,7 +7,6 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 
-from .skew import spread_small
 
 
 def tfidf_model(pages: DataFrame, n_features: int = 1024) -> PipelineModel:
@@ -18,10 +17,10 @@ def tfidf_model(pages: DataFrame, n_features: int = 1024) -> PipelineModel:
         IDF(inputCol="_tf", outputCol="_tfidf"),
         Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0),
     ]
-    return Pipeline(stages=stages).fit(spread_small(pages.select("text")))
+    return Pipeline(stages=stages).fit(pages.select("text"))
 
 
 def tfidf_vectors(model: PipelineModel, texts: DataFrame) -> DataFrame:
     """``texts`` with an ``embedding``; use one model for pages and questions."""
-    vectors = model.transform(spread_small(texts)).withColumn("embedding", vector_to_array("_unit", "float32"))
+    vectors = model.transform(texts).withColumn("embedding", vector_to_array("_unit", "float32"))
     return vectors.drop("_words", "_tf", "_tfidf", "_unit")

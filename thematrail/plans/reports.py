@@ -62,7 +62,7 @@ def summary_report(mentions: DataFrame, top_k: int | None = 5, n: int = 3) -> di
     """Map and reduce summaries of the leading categories (of all with ``top_k=None``)."""
     if top_k is not None:
         mentions = keep_keys(mentions, top_keys(mentions, "category", "mentions", top_k), "category")
-    per_category = summarize_map(mentions, n, n_categories=top_k)
+    per_category = summarize_map(mentions, n)
     keys = mentions.select("category").distinct()
     return {"per_category": attach_by_key(keys, per_category), "whole": summarize_reduce(per_category, n)}
 
@@ -83,10 +83,10 @@ def answer_prompts(
 ) -> DataFrame:
     """Prompt of every user turn: retrieved context, history and question.
 
-    ``queries`` holds (query_id, embedding), query_id being the conversation's
-    id. ``vectors`` and ``page_texts`` may be the same table of pages.
+    Every question is searched on its own: ``queries`` holds (conv_id, turn, embedding).
+    ``vectors`` and ``page_texts`` may be the same table of pages.
     """
-    hits = knn(queries, vectors, k, where)
-    contexts = stuff_context(list_sources(hits, page_texts))
-    questions = history_before(turns).withColumn("query_id", F.col("conv_id"))
-    return assemble_prompt(questions, contexts, system_text)
+    asked = queries.select(F.struct("conv_id", "turn").alias("query_id"), "embedding")
+    contexts = stuff_context(list_sources(knn(asked, vectors, k, where), page_texts))
+    contexts = contexts.select("query_id.conv_id", "query_id.turn", "context")
+    return assemble_prompt(history_before(turns), contexts, system_text)

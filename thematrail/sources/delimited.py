@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ PAGES = {"Groupe": "grp", "Entity": "entity", "Page_Number": "page_number", "Lin
 def load_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | str, multi_line: bool = True) -> DataFrame:
     """Columns of ``schema`` out of CSV files, matched by header name.
 
+    Files of one path share one order of columns, as one writer gives them; extracts with other orders are other paths.
+
     Cells are read as text, the tokens for a missing value become NULL, and only
     then is each column cast; a cell that does not fit its type becomes NULL.
     With ``multi_line`` a file is one task, so large extracts should come as many
@@ -33,13 +36,17 @@ def load_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    raw = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"')
+    if not isinstance(path, str):
+        return reduce(DataFrame.unionByName, [load_csv(spark, p, schema, multi_line) for p in path])
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, quote='"', escape='"', enforceSchema=False)
     cells = []
     for field in schema:
         cell = F.col(f"`{field.name}`")
         text = F.when(~cell.isin(NULL_TOKENS), cell)
         whole = isinstance(field.dataType, (T.IntegerType, T.LongType))
-        value = text.try_cast("double").try_cast(field.dataType) if whole else text.try_cast(field.dataType)
+        value = text.try_cast(field.dataType)
+        if whole:  # digits as they are; anything else that is a number by way of a double
+            value = F.coalesce(F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), value), text.try_cast("double").try_cast(field.dataType))
         cells.append(value.alias(field.name))
     return raw.select(*cells)
 
