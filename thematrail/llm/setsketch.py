@@ -16,7 +16,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import components
 from .store import written
@@ -36,8 +35,8 @@ DEVIATIONS = 5.0
 #: Buckets of up to this many sets are compared pair by pair, larger ones by stars and then across components.
 SMALL_BUCKET = 8
 
-#: Members of a large bucket's main component, drawn by hash, that those outside it are compared with first.
-SPOKES = 16
+#: Sets of a block in the comparison across components, on average.
+BLOCK_SETS = 256
 
 #: Bytes of text that are worked at a time.
 SLICE_BYTES = 1 << 20
@@ -192,6 +191,47 @@ def _verified(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
     return pairs.filter(linked("s_a", "s_b")).select("a", "b")
 
 
+def _block_links(rows: pa.Table, percent: int) -> pa.Table:
+    """Links between the outside sets of a block and its other sets, one for each component that an outside set reaches."""
+    outside = np.asarray(rows.column("outside").combine_chunks().to_numpy(zero_copy_only=False))
+    rep, own = rows.column("rep").to_numpy(), rows.column("own").to_numpy()
+    sets = [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("held")]
+    sizes = np.array([len(x) for x in sets], np.float64)
+    x, y = np.flatnonzero(outside), np.flatnonzero(~outside)
+    both = np.zeros((len(x), len(y)))
+    if len(x) and len(y):
+        shared = np.unique(np.concatenate([sets[i] for i in x]))
+        for start in range(0, len(shared), 4096):  # intersections as products of incidence matrices
+            some = shared[start : start + 4096]
+            hold = [np.zeros((len(side), len(some)), np.float32) for side in (x, y)]
+            for matrix, side in zip(hold, (x, y)):
+                for k, i in enumerate(side):
+                    at = np.minimum(np.searchsorted(some, sets[i]), len(some) - 1)
+                    matrix[k, at[some[at] == sets[i]]] = 1
+            both += hold[0] @ hold[1].T
+    linked = 100 * both >= percent * (sizes[x][:, None] + sizes[y][None, :] - both)
+    u, v = np.nonzero(linked & (own[x][:, None] != own[y][None, :]))
+    _, first = np.unique(np.stack([u, own[y[v]]]), axis=1, return_index=True)
+    u, v = u[first], v[first]
+    return pa.table({"a": pa.array(rep[x[u]], pa.int64()), "b": pa.array(rep[y[v]], pa.int64())})
+
+
+def _across(placed: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Links of the sets that share a bucket with a large component but lie outside of it, with all the sets there.
+
+    ``placed`` (main, rep, n, own) holds the sets of buckets whose largest component is ``main``. Outside sets and all sets are
+    dealt to blocks of bounded size, and a block of the one is compared with a block of the other in one task.
+    """
+    block = lambda count: F.greatest(F.ceil(count / F.lit(BLOCK_SETS)), F.lit(1)).cast("int")
+    counts = placed.groupBy("main").agg(block(F.count(F.lit(1))).alias("all_blocks"), block(F.count_if(F.col("own") != F.col("main"))).alias("outside_blocks"))
+    rows = placed.join(counts, "main").join(full, "rep")
+    dealt = lambda blocks: F.pmod(F.xxhash64("rep"), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    outside = rows.filter("own <> main").select("main", dealt("outside_blocks").alias("i"), every("all_blocks").alias("j"), F.lit(True).alias("outside"), "rep", "own", "held")
+    others = rows.select("main", every("outside_blocks").alias("i"), dealt("all_blocks").alias("j"), F.lit(False).alias("outside"), "rep", "own", "held")
+    return outside.union(others).groupBy("main", "i", "j").applyInArrow(lambda rows: _block_links(rows, percent), "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Groups of documents whose shingle sets are linked: (doc_id, n_shingles, component_id, kept).
 
@@ -201,9 +241,9 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, doc_id:
     left out; an empty table gives none.
 
     Equal sets are one node from the start, so exact copies never meet. Buckets of a band are compared by pairs if
-    they are small. The members of a larger one are compared with one of them, drawn by hash; then, while a bucket holds several
-    components, those outside its largest one with ``SPOKES`` drawn from it; and what still lies outside with every
-    member that is in another component. So a large group of copies costs a few pairs a member, and no link between sets that
+    they are small. The members of a larger one are compared with one of them, drawn by hash; if a bucket then holds several
+    components, the sets outside its largest one are compared with all that share a bucket with it, in blocks that
+    pass on only links. So a large group of copies costs a few pairs a member, and no link between sets that
     share a band is lost. No bucket or set of candidates is capped.
     """
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -234,26 +274,14 @@ def near_duplicates(docs: DataFrame, words: int = 2, percent: int = 80, doc_id:
     links = written(_verified(tested, full, percent), "links")
     groups = components(links)
 
-    for spokes in (SPOKES, None):
-        placed = large.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("own"))
-        parts = placed.groupBy("key", "own").agg(F.count(F.lit(1)).alias("members")).groupBy("key").agg(
-            F.max_by("own", F.struct("members", "own")).alias("main"), F.count(F.lit(1)).alias("parts")
-        )
-        placed = written(placed.join(parts.filter("parts > 1"), "key").drop("parts"), "placed")
-        others = placed.filter("own <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("n_x"), F.col("own").alias("own_x"))
-        if spokes:
-            order = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("rep", "key", F.lit(1))))
-            partners = placed.filter("own = main").withColumn("k", order).filter(F.col("k") <= spokes).drop("k")
-        else:
-            partners = placed
-        met = others.join(partners.withColumnsRenamed({"rep": "y", "n": "n_y"}), "key").filter("own <> own_x AND (own = main OR x < y)")
-        fresh = likely(met.select("x", "n_x", "y", "n_y")).join(tested, ["a", "b"], "left_anti")
-        fresh = written(fresh, "pairs")
-        if fresh.isEmpty():
-            continue
-        links = written(links.union(_verified(fresh, full, percent)), "links")
-        tested = tested.union(fresh)
-        groups = components(links)
+    placed = large.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("own"))
+    parts = placed.groupBy("key", "own").agg(F.count(F.lit(1)).alias("members")).groupBy("key").agg(
+        F.max_by("own", F.struct("members", "own")).alias("main"), F.count(F.lit(1)).alias("parts")
+    )
+    placed = written(placed.join(parts.filter("parts > 1"), "key").select("main", "rep", "n", "own").distinct(), "placed")
+    more = written(_across(placed, full, percent), "links")
+    if not more.isEmpty():
+        groups = components(links.union(more))
 
     nodes = sets.select(*name, "rep").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     nodes = nodes.select(*name, F.coalesce("component", "rep").alias("component_id"))
