@@ -16,11 +16,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from .mixing import draw
 from .store import written
 
-#: Labelled documents of a language that the trigram model is fitted on at most; they are those of lowest id digest.
+#: Labelled documents of a language that the trigram model is fitted on, on average at most; an id's digest decides which.
 SAMPLE_PER_LANGUAGE = 1000
 
 #: Trigrams are counted in so many slots.
@@ -62,12 +62,10 @@ def fit_trigrams(labelled: DataFrame, languages: Sequence[str], per_language: in
 
     Only this model is fitted on a sample; it is SLOTS numbers a language, whatever the table holds.
     """
-    rows = labelled.filter(F.col("lang").isin(list(languages)) & (F.length("text") > 0)).withColumn("draw", F.md5(F.col("doc_id").cast("string")))
-    ranked = rows.select("lang", "draw").withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("draw")))
-    cuts = ranked.filter(F.col("k") <= per_language).groupBy("lang").agg(F.max("draw").alias("cut")).collect()  # a row a language
+    rows = labelled.filter(F.col("lang").isin(list(languages)) & (F.length("text") > 0) & F.col("doc_id").isNotNull())
     chosen = F.lit(False)
-    for row in cuts:
-        chosen = chosen | ((F.col("lang") == row["lang"]) & (F.col("draw") <= row["cut"]))
+    for row in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a language
+        chosen = chosen | ((F.col("lang") == row["lang"]) & (draw(F.col("doc_id"), 9) * row["n"] <= per_language))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {x: np.zeros(SLOTS) for x in languages}
