@@ -27,6 +27,43 @@ def _canonical(text: str) -> str:
 
 
 SQL = {
+    "op1_collision_counts": """
+        WITH RECURSIVE vectors AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), sized AS (
+            SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM vectors WHERE list_dot_product(v, v) > 0
+        ), links AS (
+            SELECT a.vec_id AS x, b.vec_id AS y FROM sized a JOIN sized b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93
+        ), reach AS (
+            SELECT vec_id AS node, vec_id AS r FROM embeddings UNION SELECT reach.node, links.y FROM reach JOIN links ON reach.r = links.x
+        ), least AS (
+            SELECT node, min(r) AS component_id FROM reach GROUP BY node
+        )
+        SELECT e.vec_id, (SELECT count(*) FROM links WHERE x = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+        FROM embeddings e JOIN least ON node = e.vec_id
+    """,
+    "op7_setsketch": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM words
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), links AS (
+            SELECT x, y FROM (
+                SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL)
+            JOIN sizes nx ON nx.doc_id = x JOIN sizes ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.n + ny.n - k)
+        ), reach AS (
+            SELECT doc_id AS node, doc_id AS r FROM documents UNION SELECT reach.node, links.y FROM reach JOIN links ON reach.r = links.x
+        ), least AS (
+            SELECT node, min(r) AS component_id FROM reach GROUP BY node
+        )
+        SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d JOIN least ON node = d.doc_id LEFT JOIN sizes ON sizes.doc_id = d.doc_id
+    """,
     # no document is a whole licence text: the notices that occur are looked up
     "op3_licence_digests": f"""
         WITH known AS (
