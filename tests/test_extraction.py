@@ -17,12 +17,11 @@ def docs_of(spark, texts):
 
 def brute_counts(text, lexicon):
     out = Counter()
-    for sentence in re.findall(r"[^.!?\n]+[.!?]*", text):
-        words = re.findall(r"[^\W_]+", sentence.lower())
-        for category, terms in lexicon.items():
-            for term in {" ".join(re.findall(r"[^\W_]+", t.lower())) for t in terms}:
-                want = term.split()
-                out[category] += sum(words[i:i + len(want)] == want for i in range(len(words)))
+    words = re.findall(r"[^\W_]+", text.lower())
+    for category, terms in lexicon.items():
+        for term in {" ".join(re.findall(r"[^\W_]+", t.lower())) for t in terms}:
+            want = term.split()
+            out[category] += sum(words[i:i + len(want)] == want for i in range(len(words)))
     return {c: n for c, n in out.items() if n}
 
 
@@ -73,8 +72,16 @@ def test_names_keep_documents_without_any(spark):
     docs = docs_of(spark, ["The World Bank and the imf", "The world banking", "IMF. World\nBank", "imf, WORLD BANK and imf"])
     lists = extraction.find_names(docs, ["World Bank", "IMF", "Bank"])
     found = {r.doc_id: r.names for r in lists.collect()}
-    assert found == {0: "Bank, IMF, World Bank", 1: None, 2: "Bank, IMF", 3: "Bank, IMF, World Bank"}
-    assert explode_names(lists).count() == 8
+    assert found == {0: "Bank, IMF, World Bank", 1: None, 2: "Bank, IMF, World Bank", 3: "Bank, IMF, World Bank"}
+    assert explode_names(lists).count() == 9
+
+
+def test_terms_cross_full_stops_and_line_ends(spark):
+    docs = docs_of(spark, ["St. Mary Bank and the U.N. issue a green\nbond. FUND", "U. ... N! ? St"])
+    found = extraction.find_names(docs, ["St. Mary Bank", "U.N.", "green bond", "fund", "FUND"])
+    assert [r.names for r in found.orderBy("doc_id").collect()] == ["FUND, St. Mary Bank, U.N., fund, green bond", "U.N."]
+    passages = extraction.example_passages(docs, {"x": ["Mary Bank", "the U.N."]}).filter("doc_id = 0").collect()
+    assert [r.passage for r in passages] == ["Mary Bank and the U."]
 
 
 def test_pages_hold_the_whole_text(spark):

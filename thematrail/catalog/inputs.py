@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Terms that occur in the given (invented) prose.
 THEMES = {
-    "theme 1": ["thatin", "ononst", "of the"],
+    "theme 1": ["thatin", "ononst", "of the", "and. the", "the\nand"],
     "theme 2": ["orantion", "inoran", "with and"],
     "theme 3": ["nicht", "enlich", "die und"],
     "theme 4": ["ément", "éelle", "ciónue"],

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
-from ..functions import WHITESPACE
-from ..operators.extraction import _sizes, _terms
+import re
+
 from . import inputs
 from .queries import BLOCK_TURNS, CATEGORIES, CHOSEN_NAMES, GROUPS, PAGE_CHARS, PAGE_GROUPS, ROWS_PER_CHUNK
 
 
+# white space that is stripped from names and sentences
+WHITESPACE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def _terms(lexicon: dict) -> dict:
+    return {category: sorted({" ".join(re.findall(r"[^\W_]+", t.lower())) for t in terms}) for category, terms in lexicon.items()}
+
+
+def _sizes(terms) -> list[int]:
+    return sorted({t.count(" ") + 1 for t in terms})
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -99,8 +111,8 @@ def _found(lexicon: dict, table: str) -> str:
     terms = _terms(lexicon)
     rows = ", ".join(f"({_quoted(c)}, {_quoted(t)})" for c, found in terms.items() for t in found)
     runs = " UNION ALL ".join(
-        f"SELECT doc_id, pos, array_to_string(w[i:i + {n - 1}], ' ') AS term FROM "
-        f"(SELECT doc_id, pos, w, unnest(range(1, len(w) - {n - 2})) AS i FROM {table}_sentences WHERE len(w) >= {n})"
+        f"SELECT doc_id, ps[i] AS pos, array_to_string(w[i:i + {n - 1}], ' ') AS term FROM "
+        f"(SELECT doc_id, ps, w, unnest(range(1, len(w) - {n - 2})) AS i FROM {table}_words WHERE len(w) >= {n})"
         for n in _sizes(t for found in terms.values() for t in found)
     )
     return rf"""{table}_lexicon(category, term) AS (VALUES {rows}),
@@ -108,6 +120,8 @@ def _found(lexicon: dict, table: str) -> str:
   SELECT doc_id, pos, passage, regexp_extract_all(lower(passage), '[\p{{L}}\p{{N}}]+') AS w FROM (
     SELECT doc_id, unnest(found) AS passage, generate_subscripts(found, 1) AS pos
     FROM (SELECT doc_id, {_split_sentences('text')} AS found FROM documents))),
+{table}_words AS (
+  SELECT doc_id, flatten(list(w ORDER BY pos)) AS w, flatten(list(list_transform(w, lambda x: pos) ORDER BY pos)) AS ps FROM {table}_sentences GROUP BY doc_id),
 {table}_runs AS ({runs}),
 {table}_hits AS (SELECT doc_id, pos, category, r.term FROM {table}_runs r JOIN {table}_lexicon l ON r.term = l.term),
 {table}_counts AS (

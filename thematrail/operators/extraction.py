@@ -1,8 +1,8 @@
 """From raw documents to pages, mention counts, passages, scores and names.
 
 A lexicon is a mapping from category to its terms, kept in the program: a term is
-one or more words, and is found as a run of whole words inside a sentence,
-without regard to case.
+one or more words, and is found as a run of whole words, without regard to case, full stops and
+line ends. A run counts for the sentence it begins in.
 """
 
 from __future__ import annotations
@@ -47,10 +47,21 @@ def _sizes(terms: Iterable[str]) -> list[int]:
 def _hits(text: Column, terms: Iterable[str]) -> Column:
     """Sentences that hold one of the terms: where they are, and every occurrence in them."""
     terms = sorted(set(terms))
-    cut = F.transform(sentences(text), lambda s, i: F.struct(
-        i.alias("at"), s.alias("passage"), F.filter(grams(words(s), _sizes(terms)), lambda run: run.isin(terms)).alias("found")
-    ))
-    return F.filter(cut, lambda s: F.size(s["found"]) > 0)
+    sizes = _sizes(terms)
+    more = max(sizes, default=1) - 1
+
+    def found(cut: Column) -> Column:
+        def runs(s: Column, i: Column) -> Column:
+            if not more:
+                return grams(s["words"], sizes)
+            # as many sentences hold at least as many words, since those without words have been left out
+            following = F.slice(F.flatten(F.transform(F.slice(cut, i + 2, F.lit(more)), lambda x: x["words"])), F.lit(1), F.lit(more))
+            return grams(F.concat(s["words"], following), sizes, F.size(s["words"]))
+
+        return F.transform(cut, lambda s, i: F.struct(i.alias("at"), s["passage"].alias("passage"), F.filter(runs(s, i), lambda run: run.isin(terms)).alias("found")))
+
+    cut = F.transform(sentences(text), lambda s: F.struct(s.alias("passage"), words(s).alias("words")))
+    return F.filter(bound(F.filter(cut, lambda s: F.size(s["words"]) > 0), found), lambda s: F.size(s["found"]) > 0)
 
 
 def _category_hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -134,13 +145,13 @@ def importance(mentions: DataFrame) -> DataFrame:
 
 
 def find_names(docs: DataFrame, names: Iterable[str]) -> DataFrame:
-    """Names found in each document as a list ``a, b, c``; NULL where none is. Done inside the row."""
-    spelled = {}
-    for name in sorted(names):
-        spelled.setdefault(_normal(name), name)
-    spelled.pop("", None)
-    table = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).alias("name")) for t, n in sorted(spelled.items(), key=lambda e: e[1])])
-    found = F.array_distinct(F.flatten(F.transform(_hits(F.col("text"), spelled), lambda h: h["found"])))
+    """Names found in each document as a list ``a, b, c``; NULL where none is. Done inside the row.
+
+    Names that differ in case or punctuation only are all reported.
+    """
+    spelled = [(name, _normal(name)) for name in sorted(set(names)) if _normal(name)]
+    table = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).alias("name")) for n, t in spelled])
+    found = F.array_distinct(F.flatten(F.transform(_hits(F.col("text"), [t for _, t in spelled]), lambda h: h["found"])))
     listed = bound(found, lambda f: F.transform(F.filter(table, lambda e: F.array_contains(f, e["term"])), lambda e: e["name"]))
     rows = docs.select("doc_id", "entity", "grp", "text")
     return rows.select("doc_id", "entity", "grp", F.nullif(F.array_join(listed, ", "), F.lit("")).alias("names"))
