@@ -173,7 +173,7 @@ nearest AS (
 
 
 SOURCES = """sources AS (
-  SELECT query_id, rank AS number, page_id, CAST(1 + doc_id % 9 AS VARCHAR) AS page_number, coalesce(source, 'N/A') AS entity, coalesce(lang, 'N/A') AS grp,
+  SELECT query_id, rank AS number, page_id, coalesce(CAST(1 + doc_id % 9 AS VARCHAR), 'N/A') AS page_number, coalesce(source, 'N/A') AS entity, coalesce(lang, 'N/A') AS grp,
          coalesce('doc:' || doc_id, 'N/A') AS link, text
   FROM (SELECT query_id, page_id, rank FROM nearest) LEFT JOIN documents ON page_id = doc_id),
 contexts AS (
