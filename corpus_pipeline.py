@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from thematrail.llm.bpe import encode_documents
 from thematrail.llm.exact import without_copies
@@ -34,8 +35,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, and the text decoded from them."""
-    return encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    """Token ids of every document of the mix, and the digest of the text decoded from them."""
+    encoded = encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return encoded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("tokenize", tokenize)]

@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Words and white-space-delimited pieces whose tokens a task remembers, in two generations of this size.
-REMEMBERED = 150_000
+REMEMBERED = 40_000
 
 #: Bytes of text that a task encodes before it hands rows on.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def byte_alphabet() -> list[str]:
