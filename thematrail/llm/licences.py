@@ -7,9 +7,15 @@ it is, and so is each of its lines.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from thematrail.functions import bound
+
+from .store import written
+
 # Public licence texts and common notices, by SPDX identifier.
 LICENCES = {
     "0BSD": """
@@ -90,21 +96,30 @@ NOTICES = [
     ("MPL-2.0", "Licensed under the Mozilla Public License, Version 2.0."),
 ]
 
-# Spellings that count as one, as patterns on the canonical form.
+# Spellings that count as one, as patterns on the canonical form, with strings of which a match holds one.
 SPELLINGS = [
-    (r"\b(?:(sub|un) ?)?licen[cs](e|es|ed|ing|ee|ees|able)\b", "$1licens$2"),
-    (r"\b([a-z]{3,})is(e|es|ed|ing|ation|ations)\b", "$1iz$2"),
-    (r"\b(hon|fav|lab|col)our", "$1or"),
-    (r"\bwhilst\b", "while"),
-    (r"\bper cent\b", "percent"),
-    (r"\b(acknowledg|judg)ement", "$1ment"),
-    (r"\bcopyright owner", "copyright holder"),
-    (r"\bnon (commercial|infringement|exclusive)", "non$1"),
-    (r"\b(program|catalog|analog)(me|ue)(s?)\b", "$1$3"),
-    (r"\bhttps?( www)?\b", "http"),
+    (r"\b(?:(sub|un) ?)?licen[cs](e|es|ed|ing|ee|ees|able)\b", "$1licens$2", ["licen"]),
+    (r"\b([a-z]{3,})is(e|es|ed|ing|ation|ations)\b", "$1iz$2", ["ise", "ising", "isation"]),
+    (r"\b(hon|fav|lab|col)our", "$1or", ["our"]),
+    (r"\bwhilst\b", "while", ["whilst"]),
+    (r"\bper cent\b", "percent", ["per cent"]),
+    (r"\b(acknowledg|judg)ement", "$1ment", ["gement"]),
+    (r"\bcopyright owner", "copyright holder", ["copyright owner"]),
+    (r"\bnon (commercial|infringement|exclusive)", "non$1", ["non "]),
+    (r"\b(program|catalog|analog)(me|ue)(s?)\b", "$1$3", ["program", "catalog", "analog"]),
+    (r"\bhttps?( www)?\b", "http", ["http"]),
 ]
 
 
+def _where(value: Column, signs: list[str], pattern: str, one: str) -> Column:
+    """Replace a pattern; texts without any of the signs hold no match and skip the search. The text is worked out once."""
+    def replaced(v: Column) -> Column:
+        some = reduce(lambda a, b: a | b, [F.contains(v, F.lit(s)) for s in signs])
+        return F.when(some, F.regexp_replace(v, pattern, one)).otherwise(v)
+
+    return bound(value, replaced)
+
+
 def canonical_lines(text: Column) -> Column:
     """The lines of a text in canonical form, blank ones left out.
 
@@ -112,10 +127,10 @@ def canonical_lines(text: Column) -> Column:
     becomes a single space; equivalent spellings become one.
     """
     value = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    value = F.regexp_replace(value, r"(?m)^[^\n\p{L}]*(?:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*$|^[^\n\p{L}]*(?:copyright \(c\)|©)[^\n]*$|^[^\n\p{L}]*all rights reserved[^\n\p{L}]*$", "")
+    value = _where(value, ["copyright", "(c)", "©", "all rights reserved"], r"(?m)^[^\n\p{L}]*(?:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*$|^[^\n\p{L}]*(?:copyright \(c\)|©)[^\n]*$|^[^\n\p{L}]*all rights reserved[^\n\p{L}]*$", "")
     value = F.regexp_replace(value, r"[^\p{L}\p{N}\n]+", " ")
-    for pattern, one in SPELLINGS:
-        value = F.regexp_replace(value, pattern, one)
+    for pattern, one, signs in SPELLINGS:
+        value = _where(value, signs, pattern, one)
     return F.filter(F.transform(F.split(value, "\n"), lambda line: F.trim(line)), lambda line: line != "")
 
 
@@ -143,10 +158,14 @@ def scan_licences(docs: DataFrame, licences: DataFrame | None = None, doc_id: st
     Only lines that are found are ever grouped.
     """
     known = known_digests(docs.sparkSession, licences)
-    lines = canonical_lines(F.col(text))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), canonical_digest(lines).alias("text_digest"), lines.alias("lines"))
-    found = rows.select("doc_id", "text_digest", F.posexplode(F.transform("lines", lambda x: F.sha2(x, 256))).alias("at", "known"))
-    found = found.join(known, "known").dropDuplicates(["doc_id", "text_digest", "at"])
+    digests = bound(
+        canonical_lines(F.col(text)),
+        lambda lines: F.struct(canonical_digest(lines).alias("whole"), F.transform(lines, lambda x: F.unhex(F.sha2(x, 256))).alias("lines")),
+    )
+    rows = docs.select(F.col(doc_id).alias("doc_id"), digests.alias("d"))
+    rows = written(rows.select("doc_id", F.col("d.whole").alias("text_digest"), F.col("d.lines").alias("lines")), "line-digests")
+    found = rows.select("doc_id", "text_digest", F.posexplode("lines").alias("at", "line"))
+    found = found.withColumn("known", F.lower(F.hex("line"))).drop("line").join(known, "known").dropDuplicates(["doc_id", "text_digest", "at"])
     found = found.groupBy("doc_id", "text_digest").agg(
         F.array_join(F.sort_array(F.collect_set("licence")), ",").alias("notices"), F.count(F.lit(1)).alias("n_notices")
     )
