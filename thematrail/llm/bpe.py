@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 #: Words and white-space-delimited pieces whose tokens a task remembers, in two generations of this size.
-REMEMBERED = 40_000
+REMEMBERED = 80_000
 
 #: Bytes of text that a task encodes before it hands rows on.
 BATCH_BYTES = 1 << 20
@@ -122,7 +122,7 @@ class BpeModel:
 class Remembered(dict):
     """A bounded cache that keeps what was used since the last two fillings."""
 
-    def __init__(self, make, size: int = REMEMBERED):
+    def __init__(self, make, size: int):
         super().__init__()
         self.make, self.size, self.older = make, size, {}
 
@@ -138,7 +138,7 @@ class Remembered(dict):
 
 
 class Encoder:
-    def __init__(self, model: BpeModel):
+    def __init__(self, model: BpeModel, remembered: int = REMEMBERED):
         self.lookahead = model.lookahead
         vocab, alphabet = model.vocab, byte_alphabet()
         self.inner = [vocab[c] for c in alphabet]
@@ -158,8 +158,8 @@ class Encoder:
         self.octet = {c: b for b, c in enumerate(alphabet)}
         self.special = model.special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(model.special, key=len, reverse=True))) + ")") if model.special else None
-        self.word_ids = Remembered(lambda word: tuple(self.word(word.encode())))
-        self.piece_ids = Remembered(self.piece)
+        self.word_ids = Remembered(lambda word: tuple(self.word(word.encode())), remembered)
+        self.piece_ids = Remembered(self.piece, remembered)
 
     def merged(self, ids: list[int]) -> list[int]:
         """Merge the pair of lowest rank, the leftmost of equals, until none is left."""
@@ -275,18 +275,18 @@ class Decoder:
         return text
 
 
-_built: dict[str, tuple[Encoder, Decoder]] = {}
+_built: dict[tuple[str, int], tuple[Encoder, Decoder]] = {}
 
 
-def _machines(model: BpeModel, name: str) -> tuple[Encoder, Decoder]:
-    if name not in _built:
+def _machines(model: BpeModel, name: str, remembered: int) -> tuple[Encoder, Decoder]:
+    if (name, remembered) not in _built:
         _built.clear()
-        _built[name] = (Encoder(model), Decoder(model))
-    return _built[name]
+        _built[name, remembered] = (Encoder(model, remembered), Decoder(model))
+    return _built[name, remembered]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], model, name: str, emit_text: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    encoder, decoder = _machines(model.value, name)
+def _batches(batches: Iterator[pa.RecordBatch], model, name: str, remembered: int, emit_text: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    encoder, decoder = _machines(model.value, name, remembered)
     for batch in batches:
         start = 0
         texts = batch.column("text")
@@ -317,20 +317,20 @@ def _batches(batches: Iterator[pa.RecordBatch], model, name: str, emit_text: boo
             yield pa.RecordBatch.from_arrays([*columns, ids, *([pa.array(decoded, pa.string())] if emit_text else [])], names=schema.names)
 
 
-def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decode: bool = True) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decode: bool = True, remembered: int = REMEMBERED) -> DataFrame:
     """Token ids of every whole text: (doc_id, ids array<int>) and, with ``decode``, the text decoded from the ids.
 
     As the ``tokenizers`` library encodes with add_special_tokens=False and decodes with skip_special_tokens=False.
     Null and empty texts have no ids and the empty decoded text; other columns are left out; repeated rows are
     encoded each. Rows stay in their partitions: there is no shuffle. A task holds one Arrow batch, a bounded
-    cache and ``BATCH_BYTES`` of output, and of a word twice the lookahead.
+    cache of ``remembered`` entries and ``BATCH_BYTES`` of output, and of a word twice the lookahead.
     """
     model = docs.sparkSession.sparkContext.broadcast(BpeModel(path))
     wanted = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = dict(wanted.dtypes)["doc_id"]
     out = f"doc_id {kind}, ids array<int>" + ", decoded string" * decode
     names = pa.schema([(c.split()[0], pa.null()) for c in out.split(", ")])
-    return wanted.mapInArrow(lambda batches: _batches(batches, model, path, decode, names), out)
+    return wanted.mapInArrow(lambda batches: _batches(batches, model, path, remembered, decode, names), out)
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", as_bytes: bool = True) -> DataFrame:
