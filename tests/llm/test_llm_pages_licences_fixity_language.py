@@ -35,6 +35,21 @@ def test_boilerplate_without_an_article_element():
     assert main_text(html) == "Tit le\nOne two three.\nFour five\na\nb\nc\nd\nx\ny"
 
 
+def test_names_are_weak_evidence():
+    long = "Some words of the main text. " * 20
+    text = f"<p>{long}</p><p>{long}</p>"
+    want = "\n".join([long.strip()] * 2)
+    for attributes in ("class=content-with-sidebar", "class='elementor-widget-text-editor x'", "class=et_pb_widget", "id=right-sidebar", "class=widget", "class='social-science'", "role=form"):
+        for page in (f"<div {attributes}>{text}</div>", f"<div {attributes}><article>{text}</article></div>", f"<main><div {attributes}>{text}</div></main>"):
+            assert main_text(f"<body class=nav-open>{page}</body>") == want, page
+    for page in (f"<form><div>{text}</div><label>Name</label><input></form>", f"<form><article>{text}</article></form>", f"<aside><main>{text}</main></aside>",
+                 f"<div class=widget><p>{long}</div><div class=widget><p>{long}</div><div class=widget><a href=1>one link</a></div>"):
+        assert main_text(page).startswith(want), page
+    assert main_text(f"<article><h1 class=page-header>Title</h1>{text}<div class=share><a>Share</a></div><form>Mail <input></form></article>") == "Title\n" + want
+    assert main_text(f"<article>{text}</article><div class=ad>{'Buy it. ' * 20}</div><div class=sidebar><p>More words</div><nav>x</nav>") == want
+    assert main_text(f"<article><p>Few words</article><div class=ad>{'Buy it. ' * 4}</div>") == "Few words"
+
+
 def test_odd_pages(spark):
     pages = [(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "just text &amp; more", "t"), (None, "u", "<p>a<p>b", "t"), (5, "u", "<nav>x</nav>", "t"),
              (6, "u", "<div>" * 3000 + "deep" + "</div>" * 3000, "t"), (7, "u", "<article><header><h1>H</h1></header><p>" + "long text " * 20000 + "</article><footer>f</footer>", "t"),

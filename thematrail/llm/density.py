@@ -1,6 +1,7 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree without the elements that are never main text. Every node has the characters and tags under it
+A page is read into a tree without the elements that are never main text. Class names and ids are weak evidence: a hinted
+element stays if it holds an article, main or h1 or a large share of the page's unlinked characters. Every node has the characters and tags under it
 and those under links; its density is characters per tag, adjusted by the share of links. Densities of
 children are summed up, the node with the largest sum is the core of the page, and the smallest density on
 its path to the body is the threshold that tells which neighbours of the path belong to it.
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("iframe noembed noframes noscript script style template textarea title xmp".split())
 DROPPED = RAW | frozenset(
-    "aside audio button canvas dialog footer form head header input label legend map math menu nav object select svg video".split()
+    "audio button canvas head input label legend map math object select svg video".split()
 )
+#: Elements beside the main text by their meaning, and roles that say the same.
+ASIDES = frozenset("aside dialog footer header menu nav".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption dialog menu option search".split()
@@ -34,14 +37,20 @@ SIBLINGS = {
     "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",)),
     "tbody": (("tbody", "thead", "tfoot", "tr"), ("table",)), "thead": (("tbody", "thead", "tfoot", "tr"), ("table",)), "tfoot": (("tbody", "thead", "tfoot", "tr"), ("table",)),
 }
-ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-WORDS = (
+ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
+#: Class names and ids that hint at boilerplate, as whole names (digits at the end aside).
+HINTS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header "
     "masthead menu modal nav navbar navigation newsletter notice notification pager pagination popup promo related replies respond share sharing sidebar "
-    "skip social sponsor sponsored subscribe toolbar widget"
+    "skip social sponsor sponsored subscribe toolbar widget "
+    "comment-form comment-list comments-area cookie-banner cookie-bar cookie-consent cookie-notice main-menu main-nav main-navigation nav-menu "
+    "related-articles related-posts share-buttons site-footer site-header site-nav site-navigation skip-link social-links social-share".split()
 )
+#: Shares of the unlinked characters of a page from which a hint counts for nothing: without and with an article elsewhere.
+LARGE, LARGE_BESIDE_ARTICLE = 0.5, 0.9
+#: Share that all hinted elements together may take away; beyond it only those made of links go.
+TOGETHER = 0.75
 
-_HINT = re.compile(r"(?:^|\s)(?!(?:has|is|no|with)[-_])(?:[^\s]*[-_])?(?:" + "|".join(WORDS.split()) + r")(?:[-_][^\s]*|\d*)(?=\s|$)", re.I)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,8192}"|'[^']{0,8192}'|["'])*+)(?:>|\Z)""", re.S
@@ -49,23 +58,31 @@ _TAG = re.compile(
 _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
-def _boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
+_KEPT, _ASIDE, _HINTED, _DROPPED = range(4)
+
+
+def _kind(tag: str, attributes: str, inside_article: bool) -> int:
     if tag in DROPPED:
-        return not (tag == "header" and inside_article)
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return _DROPPED
+    if tag in ("html", "body", "article", "main", "h1"):
+        return _KEPT
+    kind = _HINTED if tag == "form" else _ASIDE if tag in ASIDES and not (tag == "header" and inside_article) else _KEPT
+    if kind == _ASIDE or not attributes or tag == "header":
+        return kind
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        value = a or b or c
-        if value.lower() in ROLES if name.lower() == "role" else _HINT.search(value):
-            return True
-    return False
+        value = (a or b or c).lower()
+        if name.lower() == "role":
+            kind = max(kind, _ASIDE if value in ROLES else _HINTED if value == "form" else _KEPT)
+        elif any(x.rstrip("0123456789") in HINTS for x in value.split()):
+            kind = _HINTED
+    return kind
 
 
 class _Page:
     """The tree as columns, nodes in page order; node 0 is the root and stands for the body too."""
 
     def __init__(self, html: str):
-        self.tag, self.parent, self.pieces = ["body"], [-1], []  # pieces: (node, text or None for the start or end of a block)
+        self.tag, self.parent, self.kind, self.pieces = ["body"], [-1], [_KEPT], []  # pieces: (node, text or None for the start or end of a block)
         stack, open_tags, position, dropping = [0], ["body"], 0, 0
         opened: dict[str, int] = {}  # how many of each are open
         inside = 0  # articles and mains that are open
@@ -115,7 +132,8 @@ class _Page:
                     dropping -= node < 0
                     if node >= 0 and last in BLOCKS and not dropping:
                         self.pieces.append((node, None))
-            if dropping or _boilerplate(tag, attributes, inside > 0):
+            kind = _DROPPED if dropping else _kind(tag, attributes, inside > 0)
+            if kind == _DROPPED:
                 if not dropping:
                     self.pieces.append((stack[-1], None))
                 if tag not in VOID:
@@ -127,6 +145,7 @@ class _Page:
                 continue
             self.tag.append(tag)
             self.parent.append(stack[-1])
+            self.kind.append(kind)
             if tag in BLOCKS:
                 self.pieces.append((len(self.tag) - 1, None))
             if tag not in VOID:
@@ -134,10 +153,13 @@ class _Page:
                 opened[tag] = opened.get(tag, 0) + 1
                 stack.append(len(self.tag) - 1)
                 inside += tag in ("article", "main")
+        self._cut_asides()
+        self._cut_hinted()
 
-    def densities(self) -> list[float]:
+    def _measured(self) -> tuple[list[bool], list[int], list[int]]:
+        """Of every node: whether it lies in a link, its own characters, and those in links."""
         n = len(self.tag)
-        chars, links, tags, link_tags, linked = [0] * n, [0] * n, [0] * n, [0] * n, [False] * n
+        chars, links, linked = [0] * n, [0] * n, [False] * n
         for i in range(1, n):
             linked[i] = linked[self.parent[i]] or self.tag[i] in ("a", "button", "select")
         for node, text in self.pieces:
@@ -145,6 +167,68 @@ class _Page:
                 size = sum(map(len, text.split()))
                 chars[node] += size
                 links[node] += size * linked[node]
+        return linked, chars, links
+
+    def _holding(self, *tags: str) -> list[bool]:
+        """Whether a node is or holds one of these elements."""
+        held = [t in tags for t in self.tag]
+        for i in range(len(held) - 1, 0, -1):
+            held[self.parent[i]] |= held[i]
+        return held
+
+    def _cut_asides(self) -> None:
+        """Cut the elements whose meaning is not main text, unless they hold an article, main or h1."""
+        if _ASIDE in self.kind:
+            held = self._holding("article", "main", "h1")
+            self._cut([k == _ASIDE and not h for k, h in zip(self.kind, held)])
+
+    def _cut_hinted(self) -> None:
+        """Cut elements with a hint, unless they hold an article, main or h1 or a large share of the unlinked characters.
+
+        Hints that together would take a large share away are trusted for elements made of links only.
+        """
+        if _HINTED not in self.kind:
+            return
+        n = len(self.tag)
+        _, chars, links = self._measured()
+        held, articles = self._holding("article", "main", "h1"), [0] * n
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            articles[i] += chars[i] if self.tag[i] in ("article", "main") else 0
+            chars[up] += chars[i]
+            links[up] += links[i]
+            articles[up] += articles[i]
+        free = [c - k for c, k in zip(chars, links)]
+        large = (LARGE * free[0], LARGE_BESIDE_ARTICLE * free[0])
+        hinted, outer, beside = [False] * n, [False] * n, [articles[0] > 0] * n
+        taken = [0, 0]  # unlinked characters of outermost hinted elements, by whether an article is elsewhere
+        for i in range(1, n):
+            up = self.parent[i]
+            beside[i] = beside[up] and self.tag[i] not in ("article", "main")
+            hinted[i] = self.kind[i] == _HINTED and not held[i] and free[i] <= large[beside[i]]
+            outer[i] = outer[up] or hinted[i]
+            taken[beside[i]] += free[i] * (hinted[i] and not outer[up])
+        trusted = [taken[0] <= TOGETHER * free[0], taken[1] <= large[1]]
+        self._cut([h and (trusted[b] or 2 * k > c) for h, b, k, c in zip(hinted, beside, links, chars)])
+
+    def _cut(self, cut: list[bool]) -> None:
+        """Take nodes out with all they hold; a block ends where they were."""
+        place, size = [0] * len(cut), 1
+        for i in range(1, len(cut)):
+            up = place[self.parent[i]]
+            if cut[i] or up < 0:
+                place[i] = up if up < 0 else ~up
+            else:
+                place[i], size = size, size + 1
+        stay = [i for i, p in enumerate(place) if p >= 0]
+        self.pieces = [(place[node], text) if place[node] >= 0 else (~place[node], None) for node, text in self.pieces]
+        self.tag, self.kind = [self.tag[i] for i in stay], [self.kind[i] for i in stay]
+        self.parent = [place[self.parent[i]] if i else -1 for i in stay]
+
+    def densities(self) -> list[float]:
+        n = len(self.tag)
+        tags, link_tags = [0] * n, [0] * n
+        linked, chars, links = self._measured()
         for i in range(n - 1, 0, -1):
             up = self.parent[i]
             chars[up] += chars[i]
