@@ -50,6 +50,22 @@ def test_names_are_weak_evidence():
     assert main_text(f"<article><p>Few words</article><div class=ad>{'Buy it. ' * 4}</div>") == "Few words"
 
 
+def test_density_selects_inside_main_and_article():
+    long = "Some words of the main text. " * 20
+    text, want = f"<p>{long}</p>" * 3, "\n".join([long.strip()] * 3)
+    lists = "<ul>" + "<li><a href=1>Some other page</a></li>" * 12 + "</ul>"
+    teasers = "".join(f"<div><h3><a href={i}>Another page</a></h3><p>Few words <a href={i}>more</a></p></div>" for i in range(5))
+    for page in (f"<main><div>{lists}</div><article><h1>Title</h1>{text}</article><div>{teasers}</div></main>",
+                 f"<main><h1>Title</h1><div>{lists}</div><div>{text}</div><div>{teasers}</div></main>",
+                 f"<article><h1>Title</h1><div>{lists}</div><div>{text}</div><div>{teasers}</div></article>",
+                 f"<div><header><h1>Title</h1></header><main><div>{lists}</div><article><h1>Title</h1><div>{text}</div><div>{teasers}</div></article></main></div>"):
+        assert main_text(page) == "Title\n" + want, page
+    assert main_text(f"<main><div>{lists}</div><article><p>{long}</p></article><div>{teasers}</div></main>") == long.strip()
+    short = f"<article><h1>Title</h1><p>Lead.</p><section>{text}</section><section><h2>End</h2><p>Few words.</p></section></article>"
+    assert main_text(short) == f"Title\nLead.\n{want}\nEnd\nFew words."
+    assert main_text(f"<main><article>{text}</article><article>{text}</article></main>") == want + "\n" + want
+
+
 def test_odd_pages(spark):
     pages = [(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "just text &amp; more", "t"), (None, "u", "<p>a<p>b", "t"), (5, "u", "<nav>x</nav>", "t"),
              (6, "u", "<div>" * 3000 + "deep" + "</div>" * 3000, "t"), (7, "u", "<article><header><h1>H</h1></header><p>" + "long text " * 20000 + "</article><footer>f</footer>", "t"),

@@ -3,8 +3,8 @@
 A page is read into a tree without the elements that are never main text. Class names and ids are weak evidence: a hinted
 element stays if it holds an article, main or h1 or a large share of the page's unlinked characters. Every node has the characters and tags under it
 and those under links; its density is characters per tag, adjusted by the share of links. Densities of
-children are summed up, the node with the largest sum is the core of the page, and the smallest density on
-its path to the body is the threshold that tells which neighbours of the path belong to it.
+children are summed up, the container with the largest sum is the core of the page, also inside an article, and the smallest density
+on its path to the body is the threshold that tells which neighbours of the path belong to it.
 """
 
 from __future__ import annotations
@@ -30,6 +30,11 @@ BLOCKS = frozenset(
     "address article aside blockquote body br center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header "
     "hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption dialog menu option search".split()
 )
+#: Elements that are parts of a text and never its container.
+PARTS = frozenset(
+    "a abbr acronym address b bdi bdo big br caption cite code col data del dfn dt em figcaption font h1 h2 h3 h4 h5 h6 hr i img ins kbd mark p pre q rp rt "
+    "ruby s samp small span strike strong sub summary sup time tt u var wbr".split()
+)
 CLOSES_P = BLOCKS - frozenset("br body html td th tr tbody thead tfoot caption option legend li dd dt summary figcaption".split())
 #: Opening one of these ends an open one of the same list, up to the element that may hold them.
 SIBLINGS = {
@@ -50,6 +55,8 @@ HINTS = frozenset(
 LARGE, LARGE_BESIDE_ARTICLE = 0.5, 0.9
 #: Share that all hinted elements together may take away; beyond it only those made of links go.
 TOGETHER = 0.75
+#: Inside an article a sparse element is left out if more than one in so many of its characters is linked.
+UNLINKED = 10
 
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TAG = re.compile(
@@ -247,23 +254,57 @@ class _Page:
         return out
 
     def core(self) -> set[int]:
-        """The roots of the main text: the node with the largest sum of densities and dense neighbours of its path."""
+        """The roots of the main text: the container with the largest sum of densities, and what is dense beside its path.
+
+        A main or article under that container with most of its unlinked characters is searched instead, but nothing inside an
+        article. Elements beside the path count if they are as dense as the sparsest node on it. Outside the innermost article or main
+        around the core only articles do; inside an article sparse ones count too if almost nothing in them is linked. If no
+        h1 is found so, the last one before the core that is in no boilerplate is added as its title.
+        """
         n, density = len(self.tag), self.densities()
-        sums = [0.0] * n
-        for i in range(1, n):
-            sums[self.parent[i]] += density[i]
-        best = max(range(n), key=sums.__getitem__)
-        path = [best]
-        while path[-1]:
-            path.append(self.parent[path[-1]])
-        for i in reversed(path):  # an article around it is taken whole
-            if self.tag[i] in ("article", "main"):
-                best = i
+        _, chars, links = self._measured()
+        sums, end = [0.0] * n, list(range(1, n + 1))
+        for i in range(n - 1, 0, -1):
+            up = self.parent[i]
+            sums[up] += density[i]
+            chars[up] += chars[i]
+            links[up] += links[i]
+            end[up] = max(end[up], end[i])
+        free = [c - k for c, k in zip(chars, links)]
+        holders = [i for i in range(n) if self.tag[i] not in PARTS]
+        articles = [i for i in holders if self.tag[i] in ("article", "main")]
+
+        def path_of(node: int) -> list[int]:
+            path = [node]
+            while path[-1]:
+                path.append(self.parent[path[-1]])
+            return path
+
+        path = path_of(max(holders, key=sums.__getitem__))
+        while not any(self.tag[i] == "article" for i in path):
+            best = path[0]
+            inner = next((i for i in articles if best < i < end[best] and 2 * free[i] > free[best]), None)
+            if inner is None:
                 break
-        path = path[path.index(best) :]
+            path = path_of(max((i for i in holders if inner <= i < end[inner]), key=sums.__getitem__))
+        best, on_path = path[0], set(path)
+        scope = next((i for i in path if self.tag[i] in ("article", "main")), 0)
         threshold = min(density[i] for i in path)
-        on_path = set(path)
-        return {best} | {i for i in range(1, n) if self.parent[i] in on_path and self.parent[i] != best and i not in on_path and density[i] >= threshold > 0}
+        roots = {best}
+        for i in range(1, n):
+            up = self.parent[i]
+            if up == best or up not in on_path or i in on_path:
+                continue
+            dense = density[i] >= threshold > 0
+            if up >= scope:
+                dense = dense or self.tag[scope] == "article" and 0 < chars[i] >= UNLINKED * links[i]
+            elif self.tag[i] != "article":
+                dense = False
+            if dense:
+                roots.add(i)
+        if not any(self.tag[i] == "h1" for r in roots for i in range(r, end[r])):
+            roots |= set([i for i in range(1, best) if self.tag[i] == "h1" and not any(self.kind[j] for j in path_of(i))][-1:])
+        return roots
 
     def text(self) -> str:
         roots = self.core()
