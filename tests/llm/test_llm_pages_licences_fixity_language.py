@@ -66,6 +66,16 @@ def test_density_selects_inside_main_and_article():
     assert main_text(f"<main><article>{text}</article><article>{text}</article></main>") == want + "\n" + want
 
 
+def test_quoted_values_of_any_length():
+    for size in (4000, 9000, 300_000):
+        value = "x" * size + " a > b leaked <p class=sidebar> </div>"
+        for quote in "\"'":
+            assert main_text(f"<div><p data-state={quote}{value}{quote} class='a'>one<p>two</div>") == "one\ntwo"
+    assert main_text("""<p data-html=' class="sidebar" '>one<p title = "a>b">two<p x="y"">three<p a"b>four<p href=a?b="c>five""") == "one\ntwo\nthree\nfour\nfive"
+    assert main_text("<p>one<p title=\"never closed>two<p>it's") == "one\ntwo\nit's"
+    assert main_text("<p>one</p>" + "<p title='a\"'>two" * 3 + '<p title="' + "y" * 20000) == "one\ntwo\ntwo\ntwo"
+
+
 def test_odd_pages(spark):
     pages = [(1, "u", None, "t"), (2, None, "", "t"), (3, "u", "just text &amp; more", "t"), (None, "u", "<p>a<p>b", "t"), (5, "u", "<nav>x</nav>", "t"),
              (6, "u", "<div>" * 3000 + "deep" + "</div>" * 3000, "t"), (7, "u", "<article><header><h1>H</h1></header><p>" + "long text " * 20000 + "</article><footer>f</footer>", "t"),

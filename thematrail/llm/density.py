@@ -58,9 +58,11 @@ TOGETHER = 0.75
 #: Inside an article a sparse element is left out if more than one in so many of its characters is linked.
 UNLINKED = 10
 
-_ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+# quotes count after an equals sign only; one that is never closed is no quote, so the tag ends at the next '>'
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]{0,8192}"|'[^']{0,8192}'|["'])*+)(?:>|\Z)""", re.S
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)"""
+    r"""((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+)*+)(?:>|\Z)""", re.S
 )
 _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
@@ -78,9 +80,9 @@ def _kind(tag: str, attributes: str, inside_article: bool) -> int:
         return kind
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
-        if name.lower() == "role":
+        if (name := name.lower()) == "role":
             kind = max(kind, _ASIDE if value in ROLES else _HINTED if value == "form" else _KEPT)
-        elif any(x.rstrip("0123456789") in HINTS for x in value.split()):
+        elif name in ("class", "id") and any(x.rstrip("0123456789") in HINTS for x in value.split()):
             kind = _HINTED
     return kind
 
