@@ -1,3 +1,4 @@
+import hashlib
 import re
 from html import unescape
 
@@ -100,6 +101,27 @@ def test_licences_by_whole_text_and_by_line(spark):
     assert {r.doc_id: r.licence for r in scan_licences(docs, own).collect()}[5] == "OWN"
 
 
+def test_licence_files_with_titles_and_statements(spark):
+    from thematrail.llm.licences import FILES, TITLES, licence_texts
+
+    rows = [(f"{title}\n\nCopyright (c) 2020 X\n\n{LICENCES[name]}", name) for name in LICENCES for title in TITLES[name]]
+    rows += [(text, name) for name, text in licence_texts()]
+    assert {name for _, name in rows} == {*LICENCES, *FILES} and {"BSD-3-Clause", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= {n for _, n in rows}
+    for line in ("Copyright (c) 2020 X. Licensed under the MIT License.", "© 2015-2020, Foo Inc., all rights reserved. Licensed under the MIT License.",
+                 " * Copyright 2020 J. R. Smith and Co. Licensed under the MIT License.", "Copyright Foo Bar, 2020. Licensed under the MIT License.",
+                 "(c) 2019, 2020 Foo <a@foo.com>. All rights reserved. Licensed under the MIT License.", "Copyright (c) 2020 X. Copyright (c) 2021 Y Z. Licensed under the MIT License."):
+        rows.append((line, "MIT"))
+    for line in ("Copyright law of 1976 has four digits.", "Copyright (c) 2020 Foo Bar. See the file for what is allowed."):
+        rows.append((line, None))
+    blank = ["Copyright (c) 2020 A. Author", "Copyright 2020 Foo Inc. All rights reserved.", "© Foo Bar", "(c) 1999-2003 by Foo", "Copyright (C) Foo Bar 2020"]
+    docs = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(rows)] + [(1000 + i, x) for i, x in enumerate(blank)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in scan_licences(docs).collect()}
+    assert [(i, got[i].licence) for i in range(len(rows))] == [(i, name) for i, (_, name) in enumerate(rows)]
+    empty = hashlib.sha256(b"").hexdigest()
+    assert {got[1000 + i].text_digest for i in range(len(blank))} == {empty}
+    assert all(got[i].text_digest != empty for i in range(len(rows)))
+
+
 def test_audit_finds_all_damage_and_nothing_else(spark):
     pages = spark.range(5000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.col("id").cast("string"), 40).alias("html"), F.lit(1).alias("file"))
     n = F.col("page_id")

@@ -8,6 +8,7 @@ it is, and so is each of its lines.
 from __future__ import annotations
 
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -76,6 +77,24 @@ software in a product, an acknowledgment in the product documentation would be a
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
 }
+LICENCES["BSD-3-Clause"] = LICENCES["BSD-2-Clause"].replace("THIS SOFTWARE IS PROVIDED BY", """3. Neither the name of the copyright holder nor the names of its
+contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+THIS SOFTWARE IS PROVIDED BY""", 1)
+# Title lines that copies of these texts may start with.
+TITLES = {
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "0BSD License", "BSD 0-Clause License"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "ISC"],
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "BSD License"],
+    "Unlicense": ["The Unlicense", "Unlicense", "The Unlicense (Unlicense)"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License"],
+}
+# Long texts lie in files that start with so many title lines; an appendix on how to apply them starts with the line that holds these words.
+FILES = {
+    "Apache-2.0": (3, "APPENDIX: How to apply"), "CC0-1.0": (2, None), "GPL-2.0": (2, "How to Apply These Terms"), "GPL-3.0": (2, "How to Apply These Terms"),
+    "LGPL-2.1": (2, "How to Apply These Terms"), "LGPL-3.0": (2, None), "MPL-2.0": (2, "Exhibit A - "),
+}
 NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Released under the Apache License, Version 2.0."),
@@ -110,6 +129,15 @@ SPELLINGS = [
     (r"\bhttps?( www)?\b", "http", ["http"]),
 ]
 
+# A copyright statement at the start of a line, on lower case: the mark and years, then the holder up to the end of the sentence or
+# line or up to the words of a notice. A bare word "copyright" needs years right after it, or a short holder and a year that ends the statement.
+_YEARS = r"[0-9]{4}(?:[ \t]*(?:,|-|–|—|to|and)[ \t]*(?:[0-9]{4}|[0-9]{2}|present|now)\b)*[.,]?"
+_NOTICE = r"(?:(?:and |is |are )?(?:dual[- ])?(?:licen[cs]ed|released|distributed|published|provided)|permission|redistribution|this|all rights reserved)\b"
+_MARK = rf"(?:(?:copyright[ \t]*(?:\(c\)|©)|©|(?:copyright|\(c\))[ \t:,]*(?:by[ \t]+)?(?={_YEARS}))[ \t:,]*(?:{_YEARS})?|copyright[ \t:]+[^\n.;]{{1,80}}?[ \t,.]+{_YEARS}(?=[ \t.;]*(?:$|{_NOTICE})))"
+_ABBREVIATED = r"(?<!\b(?:\p{L}|inc|ltd|corp|co|llc|jr|sr|dr|st|prof|al))"
+_STATEMENT = rf"(?m)^[^\n\p{{L}}]*(?:{_MARK}[^\n]*?(?:$|[.,;:–-]*[ \t]+(?={_NOTICE})|{_ABBREVIATED}[.;](?=[ \t]+[^ \t\n]))[ \t]*(?:all rights reserved\b[.,;!]*[ \t]*)?)+"
+_RESERVED = r"(?m)^[^\n\p{L}]*all rights reserved[^\n\p{L}]*$"
+
 
 def _where(value: Column, signs: list[str], pattern: str, one: str) -> Column:
     """Replace a pattern; texts without any of the signs hold no match and skip the search. The text is worked out once."""
@@ -123,11 +151,12 @@ def _where(value: Column, signs: list[str], pattern: str, one: str) -> Column:
 def canonical_lines(text: Column) -> Column:
     """The lines of a text in canonical form, blank ones left out.
 
-    Lower case; lines that only state a copyright or reserve all rights are dropped; whatever is no letter or digit
-    becomes a single space; equivalent spellings become one.
+    Lower case; copyright statements at the start of a line and lines that only reserve all rights are dropped, what follows a statement
+    stays; whatever is no letter or digit becomes a single space; equivalent spellings become one.
     """
     value = F.lower(F.coalesce(text.cast("string"), F.lit("")))
-    value = _where(value, ["copyright", "(c)", "©", "all rights reserved"], r"(?m)^[^\n\p{L}]*(?:copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*$|^[^\n\p{L}]*(?:copyright \(c\)|©)[^\n]*$|^[^\n\p{L}]*all rights reserved[^\n\p{L}]*$", "")
+    value = _where(value, ["copyright", "(c)", "©"], _STATEMENT, "")
+    value = _where(value, ["all rights reserved"], _RESERVED, "")
     value = F.regexp_replace(value, r"[^\p{L}\p{N}\n]+", " ")
     for pattern, one, signs in SPELLINGS:
         value = _where(value, signs, pattern, one)
@@ -139,10 +168,23 @@ def canonical_digest(lines: Column) -> Column:
     return F.sha2(F.array_join(lines, " "), 256)
 
 
+def licence_texts() -> list[tuple[str, str]]:
+    """(licence, text) of every known text: with each of its titles and without, with and without its appendix."""
+    found = [(name, f"{title}\n{text}") for name, text in LICENCES.items() for title in ["", *TITLES[name]]]
+    for name, (titles, appendix) in FILES.items():
+        lines = [x for x in (Path(__file__).parent / "licence_texts" / name).read_text("utf-8").splitlines() if x.strip()]
+        ends = [len(lines)]
+        if appendix:
+            at = next(i for i, x in enumerate(lines) if appendix in x)
+            ends += [at, at - 1] if "END OF TERMS" in lines[at - 1] else [at]
+        found += [(name, "\n".join(lines[start:end])) for start in (0, titles) for end in ends]
+    return found
+
+
 def known_digests(spark: SparkSession, licences: DataFrame | None = None) -> DataFrame:
     """(known, licence) for (licence, text) rows; by default the licences and notices of this module."""
     if licences is None:
-        licences = spark.createDataFrame([*LICENCES.items(), *NOTICES], "licence string, text string")
+        licences = spark.createDataFrame([*licence_texts(), *NOTICES], "licence string, text string")
     return licences.select(canonical_digest(canonical_lines(F.col("text"))).alias("known"), "licence").groupBy("known").agg(F.min("licence").alias("licence"))
 
 
