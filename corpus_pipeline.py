@@ -35,9 +35,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document of the mix, and the digest of the text decoded from them."""
+    """Token ids of every document of the mix, the text decoded from them and its digest."""
     encoded = encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=40_000)
-    return encoded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), "decoded", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mix", mix), ("tokenize", tokenize)]

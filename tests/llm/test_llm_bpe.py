@@ -101,3 +101,14 @@ def test_query_digests(spark, library):
         r = got.pop(i)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest(" ".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False)))
     assert not got
+
+
+def test_the_pipeline_returns_the_decoded_text(spark):
+    from corpus_pipeline import tokenize
+
+    texts = {1: "Some words, twice. Some words.", 2: "", 3: "élan 12 \n\n x" * 50}
+    docs = spark.createDataFrame([(i, t, "s") for i, t in texts.items()], "doc_id bigint, text string, source string")
+    got = {r.doc_id: r for r in tokenize(spark, docs, "").collect()}
+    library = Tokenizer.from_file(PATH)
+    assert {i: r.decoded for i, r in got.items()} == {i: library.decode(r.ids, skip_special_tokens=False) for i, r in got.items()} and len(got) == 3
+    assert all(r.decoded_sha256 == hashlib.sha256(r.decoded.encode()).hexdigest() and r.n_tokens == len(r.ids) for r in got.values())
