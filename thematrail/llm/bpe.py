@@ -13,23 +13,30 @@ vocabulary, not data).
 from __future__ import annotations
 
 import codecs
+import hashlib
 import json
 import re
 import unicodedata
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Words and white-space-delimited pieces whose tokens a task remembers, in two generations of this size.
+from .merging import LONGEST, PairTable, Remembered, loads, merge_words, slices
+
+#: White-space-delimited pieces whose tokens a task remembers, in two generations of this size.
 REMEMBERED = 80_000
 
+#: Bytes of text whose unseen words are merged together.
+LOAD_BYTES = 1 << 19
+
 #: Bytes of text that a task encodes before it hands rows on.
 BATCH_BYTES = 1 << 20
 
@@ -119,66 +126,40 @@ class BpeModel:
         })
 
 
-class Remembered(dict):
-    """A bounded cache that keeps what was used since the last two fillings."""
-
-    def __init__(self, make, size: int):
-        super().__init__()
-        self.make, self.size, self.older = make, size, {}
-
-    def __missing__(self, key):
-        if len(self) >= self.size:
-            self.older = dict(self)
-            self.clear()
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
+def _lowered(text: str) -> str:
+    """Composed and lower-cased; no final form of sigma."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
 class Encoder:
     def __init__(self, model: BpeModel, remembered: int = REMEMBERED):
         self.lookahead = model.lookahead
         vocab, alphabet = model.vocab, byte_alphabet()
-        self.inner = [vocab[c] for c in alphabet]
-        self.last = [vocab[c + model.suffix] for c in alphabet]
+        self.inner = np.array([vocab[c] for c in alphabet], np.int32)
+        self.last = np.array([vocab[c + model.suffix] for c in alphabet], np.int32)
         self.width = len(vocab)
+        self.separator = max(*vocab.values(), *model.special.values()) + 1  # stands between pieces
         self.rank, self.result = {}, []
         for u, v in model.merges:
             self.rank[vocab[u] * self.width + vocab[v]] = len(self.result)
             self.result.append(vocab[u + v])
         self.none = len(self.result)
+        left, right = np.divmod(np.fromiter(self.rank, np.int64, len(self.rank)), self.width)
+        order = np.fromiter(self.rank.values(), np.int32, len(self.rank))
+        self.pairs = PairTable(left, right, order, np.array(self.result, np.int32)[order])
         self.size = [1] * self.width  # bytes of each token
         for token, i in vocab.items():
             self.size[i] = len(token) - len(model.suffix) if model.suffix and token.endswith(model.suffix) else len(token)
-        self.words = regex.compile(model.pattern)
+        self.words, self.lines = regex.compile(model.pattern), regex.compile(rf"\n|{model.pattern}")
         self.unknown = re.compile(f"[{model.unknown}]")
         self.rules = Tokenizer.from_str(model.rules)
         self.octet = {c: b for b, c in enumerate(alphabet)}
         self.special = model.special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(model.special, key=len, reverse=True))) + ")") if model.special else None
-        self.word_ids = Remembered(lambda word: tuple(self.word(word.encode())), remembered)
-        self.piece_ids = Remembered(self.piece, remembered)
+        self.pieces = Remembered(self.encoded, remembered)
 
     def merged(self, ids: list[int]) -> list[int]:
         """Merge the pair of lowest rank, the leftmost of equals, until none is left."""
-        return self._merged_short(ids) if len(ids) <= 64 else self._merged_long(ids)
-
-    def _merged_short(self, ids: list[int]) -> list[int]:
-        width, none, get, result = self.width, self.none, self.rank.get, self.result
-        ranks = [get(a * width + b, none) for a, b in zip(ids, ids[1:])]
-        while ranks and (best := min(ranks)) < none:
-            at = ranks.index(best)
-            ids[at] = result[best]
-            del ids[at + 1], ranks[at]
-            if at:
-                ranks[at - 1] = get(ids[at - 1] * width + ids[at], none)
-            if at < len(ranks):
-                ranks[at] = get(ids[at] * width + ids[at + 1], none)
-        return ids
-
-    def _merged_long(self, ids: list[int]) -> list[int]:
         width, none, get = self.width, self.none, self.rank.get
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
         heap = [(r, i) for i in range(len(ids) - 1) if (r := get(ids[i] * width + ids[i + 1], none)) < none]
@@ -203,7 +184,7 @@ class Encoder:
         window: list[int] = []
         end = len(octets) - 1
         for start in range(0, end, step):
-            window += [self.inner[b] for b in octets[start : min(start + step, end)]]
+            window += self.inner[np.frombuffer(octets, np.uint8, min(step, end - start), start)].tolist()
             if start + step < end and self.lookahead is not None and len(window) > self.lookahead:
                 stable, keep = len(window) - self.lookahead, 0
                 for token in self.merged(window[:]):
@@ -212,30 +193,76 @@ class Encoder:
                     keep += self.size[token]
                     yield token
                 del window[:keep]
-        yield from self.merged([*window, self.last[octets[end]]])
+        yield from self.merged([*window, int(self.last[octets[end]])])
 
-    def piece(self, octets: bytes) -> tuple[int, ...]:
-        """Token ids of a stretch of text without ASCII white space; special strings stand for their own id."""
+    def odd(self, octets: bytes) -> Iterator[str | bytes | int]:
+        """Words of a piece that may hold special strings (given as their ids) or characters younger than Python's tables."""
         text = octets.decode("utf-8", "replace")
-        found: list[int] = []
-        for part in self.cut.split(text) if self.cut and "<" in text else (text,):
+        for part in self.cut.split(text) if self.cut else (text,):
             if part in self.special:
-                found.append(self.special[part])
-                continue
-            if not part.isascii():
-                if self.unknown.search(part):  # younger than Python's tables: the file's own rules split it
-                    pieces = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(part))
-                    found.extend(chain.from_iterable(self.word(bytes(map(self.octet.__getitem__, p))) for p, _ in pieces))
-                    continue
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")  # no final form when lowered
-            for word in self.words.findall(part.lower()):
-                found.extend(self.word_ids[word] if len(word) <= 64 else self.word(word.encode()))
-        return tuple(found)
+                yield self.special[part]
+            elif self.unknown.search("".join(set(part))):  # the file's own rules split it
+                pieces = self.rules.pre_tokenizer.pre_tokenize_str(self.rules.normalizer.normalize_str(part))
+                yield from (bytes(map(self.octet.__getitem__, p)) for p, _ in pieces)
+            else:
+                yield from self.words.findall(_lowered(part))
+
+    def split(self, pieces: list[bytes]) -> Iterator[str | bytes | int]:
+        """Words of pieces without ASCII white space, a line feed after each piece, special strings as their ids."""
+        whole = b"\n".join(pieces).decode("utf-8", "replace")
+        if "<" not in whole and (whole.isascii() or not self.unknown.search("".join(set(whole)))):
+            yield from self.lines.findall(_lowered(whole))
+            yield "\n"
+        elif len(pieces) == 1:
+            yield from self.odd(pieces[0])
+            yield "\n"
+        else:  # narrow down to the pieces that hold such things
+            for k in range(0, len(pieces), step := max(1, len(pieces) // 16)):
+                yield from self.split(pieces[k : k + step])
+
+    def tokens(self, pieces: list[bytes]) -> np.ndarray:
+        """Token ids of pieces with ``separator`` after each; their distinct words are merged together, long ones streamed."""
+        words = list(self.split(pieces))
+        places = {word: k for k, word in enumerate(dict.fromkeys(words))}
+        octets = [w.encode() if type(w) is str else w for w in places if type(w) is not int]
+        short = np.fromiter((type(w) is not int and w != "\n" for w in places), bool, len(places))
+        sizes = np.ones(len(places), np.int64)
+        sizes[[k for k, w in enumerate(places) if type(w) is not int]] = list(map(len, octets))
+        short &= sizes <= LONGEST
+        if len(octets) < len(places) or not short.all():
+            octets = [w.encode() if type(w) is str else w for w in places]
+        joined = np.frombuffer(b"".join([w for w, s in zip(octets, short) if s]), np.uint8)
+        symbols, ends = self.inner[joined], np.cumsum(sizes[short]) - 1
+        symbols[ends] = self.last[joined[ends]]
+        found, sizes[short] = merge_words(self.pairs, symbols, sizes[short])
+        starts = np.zeros(len(places), np.int64)
+        starts[short] = np.cumsum(sizes[short]) - sizes[short]
+        others, at = [], len(found)
+        for k in np.flatnonzero(~short).tolist():
+            word = octets[k]
+            own = [word] if type(word) is int else [self.separator] if word == b"\n" else list(self.word(word))
+            starts[k], sizes[k] = at, len(own)
+            others += own
+            at += len(own)
+        found = np.concatenate([found, np.array(others, np.int32)])
+        codes = np.fromiter(map(places.__getitem__, words), np.int64, len(words))
+        own = sizes[codes]
+        return found[np.repeat(starts[codes] - np.cumsum(own) + own, own) + np.arange(own.sum())]
+
+    def encoded(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Token ids of each piece."""
+        if not pieces:
+            return []
+        tokens = self.tokens(pieces)
+        ends = np.flatnonzero(tokens == self.separator).tolist()
+        tokens = tokens.tolist()
+        return [tuple(tokens[a + 1 : b]) for a, b in zip([-1, *ends], ends)]
 
     def encode(self, octets: bytes) -> Iterable[int]:
         """Token ids of a whole text. No word, special string or composed character crosses ASCII white space."""
-        known, make = self.piece_ids, self.piece
-        return chain.from_iterable([known[p] if len(p) <= 64 else make(p) for p in octets.split()])
+        for part in slices(octets, LOAD_BYTES):
+            pieces = part.split()
+            yield from chain.from_iterable(map(self.pieces.get(pieces), pieces))
 
 
 class Decoder:
@@ -256,6 +283,9 @@ class Decoder:
             else:
                 self.bytes[i] = token.encode()
         self.bytes |= {i: s.encode() for s, i in model.special.items()}
+        ids = range(max(self.bytes) + 1)
+        self.shown = [*[self.bytes.get(i, b"") for i in ids], b"\n"]
+        self.decimal = [*[b"%d" % i for i in ids], b"\n"]
         self.restart()
 
     def restart(self) -> None:
@@ -263,9 +293,12 @@ class Decoder:
 
     def feed(self, ids: Iterable[int]) -> str:
         between = b"" if self.as_bytes else b" "
-        octets = between.join(map(self.bytes.__getitem__, ids))
-        if octets and not self.first:
-            octets = between + octets
+        return self.feed_bytes(between.join(map(self.bytes.__getitem__, ids)))
+
+    def feed_bytes(self, octets: bytes) -> str:
+        """The text that the joined bytes of further tokens complete."""
+        if octets and not self.first and not self.as_bytes:
+            octets = b" " + octets
         self.first = self.first and not octets
         return self.machine.decode(octets)
 
@@ -275,46 +308,111 @@ class Decoder:
         return text
 
 
-_built: dict[tuple[str, int], tuple[Encoder, Decoder]] = {}
+class Ids:
+    """Collects the ids of rows and, if asked for, the text decoded from them."""
+
+    def __init__(self, encoder: Encoder, decoder: Decoder, decode: bool):
+        self.pieces, self.decoder, self.decode = encoder.pieces, decoder, decode
+        self.flat, self.offsets, self.texts, self.text = array("i"), array("i", [0]), [], []
+
+    def feed(self, pieces: list[bytes], known: Callable) -> None:
+        start = len(self.flat)
+        self.flat.extend(chain.from_iterable(map(known, pieces)))
+        if self.decode:
+            self.text.append(self.decoder.feed(self.flat[start:]))
+
+    def finish(self) -> None:
+        self.offsets.append(len(self.flat))
+        if self.decode:
+            self.texts.append("".join(self.text) + self.decoder.finish())
+            self.text = []
+
+    def columns(self) -> list[pa.Array]:
+        ids = pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), pa.array(self.flat, pa.int32()))
+        return [ids, *([pa.array(self.texts, pa.string())] if self.decode else [])]
+
+
+class Digests:
+    """Digests of the ids and of the decoded text, fed piece by piece; neither is ever held as a whole.
+
+    Remembered of a piece are its ids in decimal and the bytes of its tokens, which the decoder turns into text.
+    """
+
+    def __init__(self, encoder: Encoder, decoder: Decoder):
+        def both(pieces: list[bytes]) -> Iterable[tuple[bytes, bytes]]:
+            if not pieces:
+                return []
+            tokens = encoder.tokens(pieces).tolist()
+            ids, octets = (b" ".join(map(names.__getitem__, tokens)) for names in (decoder.decimal, decoder.shown))
+            cut = lambda joined: [p.strip(b" ") for p in joined.split(b"\n")]  # noqa: E731  no token holds a line feed or begins or ends with a space
+            return zip(cut(ids), cut(octets))
 
+        encoder.pieces.make = both
+        self.pieces, self.decoder, self.rows = encoder.pieces, decoder, []
+        self._start()
 
-def _machines(model: BpeModel, name: str, remembered: int) -> tuple[Encoder, Decoder]:
-    if (name, remembered) not in _built:
+    def _start(self) -> None:
+        self.n, self.ids, self.text = 0, hashlib.sha256(), hashlib.sha256()
+
+    def feed(self, pieces: list[bytes], known: Callable) -> None:
+        both = [k for k in map(known, pieces) if k[0]]
+        if both:
+            ids, octets = map(b" ".join, zip(*both))
+            self.ids.update(b" " + ids if self.n else ids)
+            self.text.update(self.decoder.feed_bytes(octets).encode())
+            self.n += ids.count(b" ") + 1
+
+    def finish(self) -> None:
+        self.text.update(self.decoder.finish().encode())
+        self.rows.append((self.n, self.ids.hexdigest(), self.text.hexdigest()))
+        self._start()
+
+    def columns(self) -> list[pa.Array]:
+        n, ids, texts = zip(*self.rows)
+        return [pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())]
+
+
+_built: dict[tuple, tuple[Encoder, Decoder]] = {}
+
+
+def _machines(model: BpeModel, *key) -> tuple[Encoder, Decoder]:
+    """Encoder and decoder of this worker; what the encoder remembers depends on the sink, which is part of the key."""
+    if key not in _built:
         _built.clear()
-        _built[name, remembered] = (Encoder(model, remembered), Decoder(model))
-    return _built[name, remembered]
+        _built[key] = (Encoder(model, key[1]), Decoder(model))
+    return _built[key]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], model, name: str, remembered: int, emit_text: bool, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    encoder, decoder = _machines(model.value, name, remembered)
+def _batches(batches: Iterator[pa.RecordBatch], model, key: tuple, sink: Callable, names: list[str]) -> Iterator[pa.RecordBatch]:
+    encoder, decoder = _machines(model.value, *key)
     for batch in batches:
-        start = 0
-        texts = batch.column("text")
-        sizes = texts.cast(pa.binary()).cast(pa.large_binary())
-        ends = [0]
-        held = 0
-        for k, value in enumerate(sizes):  # cut the batch by bytes
+        texts = batch.column("text").cast(pa.binary()).cast(pa.large_binary())
+        ends, held = [0], 0
+        for k, value in enumerate(texts):  # cut the batch by bytes
             held += len(value.as_buffer()) if value.is_valid else 0
             if held >= BATCH_BYTES:
                 ends.append(k + 1)
                 held = 0
-        ends.append(batch.num_rows)
-        for start, stop in zip(ends, ends[1:]):
+        for start, stop in zip(ends, [*ends[1:], batch.num_rows]):
             if start == stop:
                 continue
-            flat, offsets, decoded = array("i"), array("i", [0]), []
-            for value in sizes.slice(start, stop - start):
-                first = len(flat)
-                if value.is_valid:
-                    flat.extend(encoder.encode(value.as_py()))
-                offsets.append(len(flat))
-                if emit_text:
-                    pieces = [decoder.feed(flat[i : min(i + 65536, len(flat))]) for i in range(first, len(flat), 65536)]
-                    decoded.append("".join(pieces) + decoder.finish())
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))
-            kept = batch.slice(start, stop - start)
-            columns = [kept.column(c) for c in schema.names if c in kept.schema.names and c not in ("text", "ids", "decoded")]
-            yield pa.RecordBatch.from_arrays([*columns, ids, *([pa.array(decoded, pa.string())] if emit_text else [])], names=schema.names)
+            out = sink(encoder, decoder)
+            for load in loads((value.as_py() or b"" for value in texts.slice(start, stop - start)), LOAD_BYTES):
+                found = [(part.split(), last) for _, part, last in load]
+                known = out.pieces.get([p for own, _ in found for p in own])
+                for own, last in found:
+                    out.feed(own, known)
+                    if last:
+                        out.finish()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, stop - start), *out.columns()], names=names)
+
+
+def _mapped(docs: DataFrame, path: str, doc_id: str, text: str, remembered: int, kind: str, sink: Callable, out: str) -> DataFrame:
+    model = docs.sparkSession.sparkContext.broadcast(BpeModel(path))
+    wanted = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    out = f"doc_id {dict(wanted.dtypes)['doc_id']}, {out}"
+    names = [c.split()[0] for c in out.split(", ")]
+    return wanted.mapInArrow(lambda batches: _batches(batches, model, (path, remembered, kind), sink, names), out)
 
 
 def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", decode: bool = True, remembered: int = REMEMBERED) -> DataFrame:
@@ -325,12 +423,17 @@ def encode_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: s
     encoded each. Rows stay in their partitions: there is no shuffle. A task holds one Arrow batch, a bounded
     cache of ``remembered`` entries and ``BATCH_BYTES`` of output, and of a word twice the lookahead.
     """
-    model = docs.sparkSession.sparkContext.broadcast(BpeModel(path))
-    wanted = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    kind = dict(wanted.dtypes)["doc_id"]
-    out = f"doc_id {kind}, ids array<int>" + ", decoded string" * decode
-    names = pa.schema([(c.split()[0], pa.null()) for c in out.split(", ")])
-    return wanted.mapInArrow(lambda batches: _batches(batches, model, path, remembered, decode, names), out)
+    out = "ids array<int>" + ", decoded string" * decode
+    return _mapped(docs, path, doc_id, text, remembered, "ids", lambda encoder, decoder: Ids(encoder, decoder, decode), out)
+
+
+def digest_documents(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """What ``encode_documents`` gives, as (doc_id, n_tokens, ids_sha256, decoded_sha256).
+
+    The digests (of the decimal ids joined by one space, and of the decoded text) are fed in the task slice by slice: beside the text itself a
+    text of any length takes the memory of ``LOAD_BYTES`` of it.
+    """
+    return _mapped(docs, path, doc_id, text, remembered, "digests", Digests, "n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
 
 def decode_ids(encoded: DataFrame, path: str, ids: str = "ids", as_bytes: bool = True) -> DataFrame:

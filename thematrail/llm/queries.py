@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle
-from .bpe import encode_documents
+from .bpe import digest_documents
 from .collisions import near_vectors
 from .density import extract_text
 from .exact import exact_dedup
@@ -52,12 +52,7 @@ def op5_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return encoded.select(
-        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return digest_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
