@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 
@@ -101,6 +102,26 @@ def merge_words(table: PairTable, symbols: np.ndarray, sizes: np.ndarray) -> tup
     return tokens, found_sizes
 
 
+def merge_long(ids: list[int], pairs: Mapping[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """Merge one word of any length, by a heap of its pairs: ``pairs`` gives rank and resulting symbol."""
+    after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
+    heap = [(found[0], i) for i in range(len(ids) - 1) if (found := pairs.get((ids[i], ids[i + 1])))]
+    heapify(heap)
+    while heap:
+        rank, at = heappop(heap)
+        nxt = after[at]
+        if ids[at] < 0 or nxt < 0 or not (found := pairs.get((ids[at], ids[nxt]))) or found[0] != rank:
+            continue  # one of the two has been merged meanwhile
+        ids[at], ids[nxt] = found[1], -1
+        after[at] = after[nxt]
+        if after[at] >= 0:
+            before[after[at]] = at
+        for left in (before[at], at):
+            if left >= 0 and after[left] >= 0 and (found := pairs.get((ids[left], ids[after[left]]))):
+                heappush(heap, (found[0], left))
+    return [i for i in ids if i >= 0]
+
+
 class Remembered:
     """A bounded cache that is filled for many keys at once and keeps what was used since the last two fillings."""
 

@@ -17,6 +17,7 @@ from .fixity import archive_index, audit
 from .language import identify_documents
 from .licences import scan_licences
 from .mixing import mix_sources
+from .pieces import digest_pieces
 from .setsketch import near_duplicates
 from .shards import shard_documents
 
@@ -73,8 +74,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_collision_counts, op2_text_density, op3_licence_digests, op4_digest_index, op5_merkle_audit, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op9_evidence_fusion, op10_source_mix)}
+    return {q.__name__: q for q in (op1_collision_counts, op2_text_density, op3_licence_digests, op4_digest_index, op5_merkle_audit, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op9_evidence_fusion, op10_source_mix, op11_offset_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
