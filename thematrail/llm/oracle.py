@@ -136,3 +136,33 @@ SQL = {
         FROM summed
     """,
 }
+
+
+def _clusters(rounds: int = 10) -> str:
+    """All rounds of the centroid clustering, one pair of tables each."""
+    nearest = """SELECT vec_id, whole, away AS distance, cluster FROM (
+  SELECT v.row, v.vec_id, v.whole, c.cluster, list_sum(list_transform(list_zip(v.whole, c.centroid), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS away
+  FROM whole v, c{0} c) QUALIFY row_number() OVER (PARTITION BY row ORDER BY away, cluster) = 1"""
+    steps = "".join(
+        f""", a{n} AS MATERIALIZED ({nearest.format(n)}),
+c{n + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(mean, centroid) AS centroid FROM c{n} LEFT JOIN (
+    SELECT cluster, list(floor_mean ORDER BY d) AS mean FROM (
+      SELECT cluster, d, ((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT AS floor_mean
+      FROM (SELECT cluster, unnest(whole) AS x, generate_subscripts(whole, 1) AS d FROM a{n}) GROUP BY cluster, d)
+    GROUP BY cluster) USING (cluster))"""
+        for n in range(rounds)
+    )
+    return f"""WITH whole AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS whole FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 AS MATERIALIZED (
+  SELECT (row_number() OVER (ORDER BY key, whole) - 1)::INTEGER AS cluster, whole AS centroid
+  FROM (SELECT sha256('3:' || coalesce(vec_id::VARCHAR, '')) AS key, whole FROM whole ORDER BY key, whole LIMIT 8)){steps},
+last AS MATERIALIZED ({nearest.format(rounds)})
+SELECT vec_id, cluster, distance, (sum(distance) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(distance) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(centroid, lambda x: x::VARCHAR), ',')) AS centroid_sha256
+FROM last JOIN c{rounds} USING (cluster)"""
+
+
+SQL["op12_vantage_centroids"] = _clusters()

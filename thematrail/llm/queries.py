@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import oracle
 from .bpe import digest_documents
+from .centroids import cluster_vectors
 from .collisions import near_vectors
 from .density import extract_text
 from .exact import exact_dedup
@@ -78,8 +79,12 @@ def op11_offset_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_vantage_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_collision_counts, op2_text_density, op3_licence_digests, op4_digest_index, op5_merkle_audit, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op9_evidence_fusion, op10_source_mix, op11_offset_pieces)}
+    return {q.__name__: q for q in (op1_collision_counts, op2_text_density, op3_licence_digests, op4_digest_index, op5_merkle_audit, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op9_evidence_fusion, op10_source_mix, op11_offset_pieces, op12_vantage_centroids)}
 
 
 def oracle_sql() -> dict[str, str]:
