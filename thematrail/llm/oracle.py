@@ -166,3 +166,56 @@ FROM last JOIN c{rounds} USING (cluster)"""
 
 
 SQL["op12_vantage_centroids"] = _clusters()
+
+
+#: The automaton of conversations: inserts that lead from a state to another, where a role leads, and what a row can be made to.
+_INSERTS = """inserts(p, mid, ins) AS (VALUES (0, 0, []), (0, 2, ['user:']), (0, 3, ['user:', 'assistant:']), (1, 1, []), (1, 2, ['user:']),
+  (1, 3, ['user:', 'assistant:']), (2, 2, []), (2, 3, ['assistant:']), (3, 3, []), (3, 2, ['user:'])),
+moves(mid, initial, nxt) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+reroles(mid, nxt, made) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+edits AS (
+  SELECT p, nxt, 'K' AS op, initial, NULL AS made, 0 AS price, ins FROM inserts JOIN moves USING (mid)
+  UNION ALL SELECT p, nxt, 'R', NULL, made, 2, ins FROM inserts JOIN reroles USING (mid)
+  UNION ALL SELECT p, mid, 'D', NULL, NULL, 3, ins FROM inserts)"""
+
+_LAST = r"right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1)"
+
+SQL["op13_grammar_repair"] = f"""WITH RECURSIVE crc AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, z: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS t FROM range(256) r(i)),
+ids AS (SELECT DISTINCT conv_id, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c FROM conversations),
+hit AS (
+  SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ord(x)::BIGINT)),
+      lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]))) % 20 AS hit
+  FROM conversations, crc),
+kept AS (
+  SELECT c, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role, CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN hit = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM hit WHERE hit <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS k, left(role, 1) AS initial, {_LAST} AS final FROM kept),
+told AS MATERIALIZED (
+  SELECT *, CASE WHEN final = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY k) > 1 THEN 'duplicate'
+    WHEN final NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS kind,
+    coalesce(lag(initial) OVER (PARTITION BY c ORDER BY k) || initial NOT IN ('su', 'ua', 'au'), FALSE) AS illegal
+  FROM placed),
+{_INSERTS},
+best AS (
+  SELECT c, 0::BIGINT AS k, 0 AS state, {{'cost': 0::BIGINT, 'audit': '', 'made': []::VARCHAR[]}} AS way FROM ids
+  UNION ALL
+  SELECT b.c, t.k, e.nxt, min({{'cost': b.way.cost + e.price + 2 * len(e.ins) + (t.kind = 'truncated' AND e.op <> 'D')::BIGINT,
+    'audit': b.way.audit || repeat('I', len(e.ins)) || e.op,
+    'made': list_concat(b.way.made, e.ins, CASE WHEN e.op = 'D' THEN [] ELSE [coalesce(e.made, t.role) || ':' || t.text] END)}})
+  FROM best b JOIN told t ON b.c = t.c AND t.k = b.k + 1
+  JOIN edits e ON e.p = b.state AND (e.op = 'D' OR t.kind NOT IN ('blank', 'duplicate') AND (e.op = 'R' OR e.initial = t.initial))
+  GROUP BY b.c, t.k, e.nxt),
+ends(state, ins) AS (VALUES (0, []), (1, ['user:', 'assistant:']), (2, ['assistant:']), (3, [])),
+figures AS (
+  SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 'blank') AS blank,
+    count(*) FILTER (kind = 'duplicate') AS duplicate, count(*) FILTER (kind = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM told GROUP BY c),
+ways AS (
+  SELECT b.c, min({{'cost': way.cost + 2 * len(ins), 'audit': way.audit || repeat('I', len(ins)), 'made': list_concat(way.made, ins)}}) AS way
+  FROM best b JOIN figures f ON b.c = f.c AND b.k = f.n JOIN ends USING (state) GROUP BY b.c)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0)::BIGINT AS cost, coalesce(way.audit, '') AS audit,
+  sha256(coalesce(array_to_string(way.made, chr(10)), '')) AS repaired_sha256
+FROM ids LEFT JOIN figures USING (c) LEFT JOIN ways USING (c)"""

@@ -12,6 +12,7 @@ from . import oracle
 from .bpe import digest_documents
 from .centroids import cluster_vectors
 from .collisions import near_vectors
+from .conversations import damaged, repair_conversations
 from .density import extract_text
 from .exact import exact_dedup
 from .fixity import archive_index, audit
@@ -83,8 +84,13 @@ def op12_vantage_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    return repair_conversations(damaged(turns), turns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op1_collision_counts, op2_text_density, op3_licence_digests, op4_digest_index, op5_merkle_audit, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op9_evidence_fusion, op10_source_mix, op11_offset_pieces, op12_vantage_centroids)}
+    return {q.__name__: q for q in (op1_collision_counts, op2_text_density, op3_licence_digests, op4_digest_index, op5_merkle_audit, op6_bpe_transducer, op7_setsketch, op8_jump_shards, op9_evidence_fusion, op10_source_mix, op11_offset_pieces, op12_vantage_centroids, op13_grammar_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
