@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import words
+
 # Terms that occur in the given (invented) prose.
 THEMES = {
     "theme 1": ["thatin", "ononst", "of the", "and. the", "the\nand"],
@@ -58,6 +60,17 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", F.col("source").alias("entity"), F.col("lang").alias("grp"), "text")
 
 
+def opening_lexicon(spark: SparkSession, folder: str) -> DataFrame:
+    """A lexicon that grows with the documents: the first two words of every document, by its source."""
+    opening = F.array_join(F.slice(words(F.col("text")), 1, 2), " ")
+    return table(spark, folder, "documents").select(F.col("source").alias("category"), opening.alias("term"))
+
+
+def benchmark_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names from a table: the first three words of every benchmark passage."""
+    return table(spark, folder, "benchmark").select(F.array_join(F.slice(words(F.col("text")), 1, 3), " ").alias("name")).distinct()
+
+
 def theme_texts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select(
         F.col("doc_id").alias("row_id"), F.col("lang").alias("entity"), F.col("lang").alias("grp"),

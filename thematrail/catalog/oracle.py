@@ -106,16 +106,16 @@ chosen AS (
 summaries AS (SELECT category, string_agg(sentence, ' ' ORDER BY row_id, pos) AS summary FROM chosen GROUP BY category)"""
 
 
-def _found(lexicon: dict, table: str) -> str:
-    """Sentences, word runs and term hits of every document."""
+def _found(lexicon: dict, table: str, rows: str = "", sizes: list[int] | None = None) -> str:
+    """Sentences, word runs and term hits of every document; instead of a lexicon, the SQL of its ``rows`` and the sizes of its terms."""
     terms = _terms(lexicon)
-    rows = ", ".join(f"({_quoted(c)}, {_quoted(t)})" for c, found in terms.items() for t in found)
+    rows = rows or "VALUES " + ", ".join(f"({_quoted(c)}, {_quoted(t)})" for c, found in terms.items() for t in found)
     runs = " UNION ALL ".join(
         f"SELECT doc_id, ps[i] AS pos, array_to_string(w[i:i + {n - 1}], ' ') AS term FROM "
         f"(SELECT doc_id, ps, w, unnest(range(1, len(w) - {n - 2})) AS i FROM {table}_words WHERE len(w) >= {n})"
-        for n in _sizes(t for found in terms.values() for t in found)
+        for n in sizes or _sizes(t for found in terms.values() for t in found)
     )
-    return rf"""{table}_lexicon(category, term) AS (VALUES {rows}),
+    return rf"""{table}_lexicon(category, term) AS ({rows}),
 {table}_sentences AS (
   SELECT doc_id, pos, passage, regexp_extract_all(lower(passage), '[\p{{L}}\p{{N}}]+') AS w FROM (
     SELECT doc_id, unnest(found) AS passage, generate_subscripts(found, 1) AS pos
@@ -322,7 +322,20 @@ FROM history LEFT JOIN contexts ON query_id = {{'conv_id': conv_id, 'turn': turn
 def _extraction() -> dict[str, str]:
     themes = _found(inputs.THEMES, "t")
     both = f"{themes}, {_found(inputs.AREAS, 'a')}"
+    words = r"array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')[1:%d], ' ')"
+    opening = _found({}, "o", f"SELECT DISTINCT source, term FROM (SELECT source, {words % 2} AS term FROM documents) WHERE term <> ''", [1, 2])
+    name = f"SELECT DISTINCT term, term FROM (SELECT {words % 3} AS term FROM benchmark) WHERE term <> ''"
+    named = _found({}, "b", name, [1, 2, 3])
+    opened = f"WITH {opening} SELECT doc_id, entity, grp, n_chars, category, mentions FROM o_counts"
+    shown = f"WITH {opening} SELECT doc_id, category, place, n_terms, passage FROM o_passages"
     return {
+        "lexicon_mentions": opened,
+        "lexicon_mentions_joined": opened,
+        "lexicon_passages": shown,
+        "lexicon_passages_joined": shown,
+        "lexicon_names": f"""WITH {named}, listed AS (
+  SELECT doc_id, string_agg(category, ', ' ORDER BY category) AS names FROM (SELECT DISTINCT doc_id, category FROM b_hits) GROUP BY doc_id)
+SELECT doc_id, source AS entity, lang AS grp, names FROM documents LEFT JOIN listed USING (doc_id)""",
         "split_pages": rf"""SELECT doc_id, entity, grp, unnest(parts) AS text, CAST(generate_subscripts(parts, 1) AS INTEGER) AS page_number FROM (
   SELECT doc_id, source AS entity, lang AS grp,
          regexp_extract_all(text, '(?s).{{1,{PAGE_CHARS}}}(?:\n|\z)|.{{{PAGE_CHARS}}}') AS parts FROM documents)""",

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import conversation, cooccurrence, extraction, filters, names, retrieval, shares, summaries, texts, vectors
+from ..operators import conversation, cooccurrence, extraction, filters, lexicon, names, retrieval, shares, summaries, texts, vectors
 from ..plans import reports
 from ..session import shared_folder
 from ..sources import cached, canonical, load_csv, load_pages, write_report
@@ -189,7 +189,18 @@ def _extraction() -> dict[str, Query]:
         found = [extraction.count_mentions(docs, lexicon) for lexicon in (inputs.THEMES, inputs.AREAS)]
         return shares.category_share(extraction.compile_mentions(*found))
 
+    def opening(found: Callable[[DataFrame], DataFrame], **options) -> Query:
+        return lambda spark, folder: found(lexicon.term_hits(inputs.documents(spark, folder), inputs.opening_lexicon(spark, folder), **options))
+
+    def table_names(spark: SparkSession, folder: str) -> DataFrame:
+        return lexicon.names_found(lexicon.term_hits(inputs.documents(spark, folder), lexicon.name_table(inputs.benchmark_names(spark, folder))))
+
     return {
+        "lexicon_mentions": opening(lexicon.mentions_found),
+        "lexicon_mentions_joined": opening(lexicon.mentions_found, automaton_bytes=0),
+        "lexicon_passages": opening(lexicon.passages_found),
+        "lexicon_passages_joined": opening(lexicon.passages_found, automaton_bytes=0),
+        "lexicon_names": table_names,
         "split_pages": documents(lambda d: extraction.split_pages(d, PAGE_CHARS)),
         "count_mentions": documents(lambda d: extraction.count_mentions(d, inputs.THEMES)),
         "example_passages": documents(lambda d: extraction.example_passages(d, inputs.THEMES)),

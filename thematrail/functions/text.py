@@ -22,26 +22,14 @@ def words(text: Column, min_length: int = 1) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
-def sentences(text: Column) -> Column:
-    """Sentences in reading order. A line feed ends a sentence too; blanks are dropped."""
-    found = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
-    return F.filter(F.transform(found, strip), lambda s: F.length(s) > 0)
-
+def raw_sentences(text: Column) -> Column:
+    """Sentences in reading order with the white space around them, blank ones too. A line feed ends a sentence."""
+    return F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
 
-def grams(tokens: Column, sizes: list[int], starts: Column | None = None) -> Column:
-    """All word runs of the given sizes, repeats kept, words joined by one blank.
 
-    Runs that would reach past the end are NULL. With ``starts`` only the runs that begin with one of so many first words.
-    """
-    def runs(t: Column) -> Column:
-        upto = [t]
-        for n in range(2, max(sizes) + 1):
-            following = F.slice(t, F.lit(n), F.size(t))
-            upto.append(F.zip_with(upto[-1], following, lambda a, b: F.concat(a, F.lit(" "), b)))
-        wanted = [upto[n - 1] if starts is None else F.slice(upto[n - 1], F.lit(1), starts) for n in sizes]
-        return wanted[0] if len(wanted) == 1 else F.concat(*wanted)
-
-    return bound(tokens, runs)
+def sentences(text: Column) -> Column:
+    """Sentences in reading order. A line feed ends a sentence too; blanks are dropped."""
+    return F.filter(F.transform(raw_sentences(text), strip), lambda s: F.length(s) > 0)
 
 
 def bound(value: Column, use: Callable[[Column], Column]) -> Column:

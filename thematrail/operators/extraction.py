@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import bound, grams, sentences, words
+from ..functions import bound, raw_sentences, strip, words
 
 Lexicon = Mapping[str, Iterable[str]]
 
@@ -45,31 +45,47 @@ def _sizes(terms: Iterable[str]) -> list[int]:
 
 
 def _hits(text: Column, terms: Iterable[str]) -> Column:
-    """Sentences that hold one of the terms: where they are, and every occurrence in them."""
+    """Sentences that hold one of the terms: where they are, and every occurrence in them.
+
+    Runs of words are put together only where a term's first word stands.
+    """
     terms = sorted(set(terms))
     sizes = _sizes(terms)
     more = max(sizes, default=1) - 1
+    firsts = sorted({t.split(" ")[0] for t in terms})
 
     def found(cut: Column) -> Column:
-        def runs(s: Column, i: Column) -> Column:
+        def reach(s: Column, i: Column) -> Column:
             if not more:
-                return grams(s["words"], sizes)
+                return s["words"]
             # as many sentences hold at least as many words, since those without words have been left out
-            following = F.slice(F.flatten(F.transform(F.slice(cut, i + 2, F.lit(more)), lambda x: x["words"])), F.lit(1), F.lit(more))
-            return grams(F.concat(s["words"], following), sizes, F.size(s["words"]))
+            following = F.flatten(F.transform(F.slice(cut, i + 2, F.lit(more)), lambda x: x["words"]))
+            return F.concat(s["words"], F.slice(following, F.lit(1), F.lit(more)))
+
+        def at(tokens: Column, j: Column) -> Column:
+            runs = F.array(*[F.when(F.size(tokens) >= j + n, F.array_join(F.slice(tokens, j + 1, F.lit(n)), " ") if n > 1 else tokens[j]) for n in sizes])
+            return F.filter(runs, lambda run: run.isin(terms))
+
+        def own(s: Column, i: Column) -> Column:
+            starts = F.filter(F.transform(s["words"], lambda w, j: F.when(w.isin(firsts), j)), lambda j: j.isNotNull())
+            runs = bound(reach(s, i), lambda tokens: F.flatten(F.transform(starts, lambda j: at(tokens, j))))
+            return F.when(F.arrays_overlap(s["words"], F.array(*[F.lit(f) for f in firsts])), runs)
 
-        return F.transform(cut, lambda s, i: F.struct(i.alias("at"), s["passage"].alias("passage"), F.filter(runs(s, i), lambda run: run.isin(terms)).alias("found")))
+        return F.transform(cut, lambda s, i: F.struct(i.alias("at"), s["passage"].alias("passage"), own(s, i).alias("found")))
 
-    cut = F.transform(sentences(text), lambda s: F.struct(s.alias("passage"), words(s).alias("words")))
-    return F.filter(bound(F.filter(cut, lambda s: F.size(s["words"]) > 0), found), lambda s: F.size(s["found"]) > 0)
+    if not terms:
+        return F.array().cast("array<struct<at:int,passage:string,found:array<string>>>")
+    cut = F.transform(raw_sentences(text), lambda s: F.struct(s.alias("passage"), words(s).alias("words")))
+    held = F.filter(bound(F.filter(cut, lambda s: F.size(s["words"]) > 0), found), lambda s: F.size(s["found"]) > 0)
+    return F.transform(held, lambda s: F.struct(s["at"].alias("at"), strip(s["passage"]).alias("passage"), s["found"].alias("found")))
 
 
 def _category_hits(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``hits`` of each (document, category) that has any; found inside the row, without a shuffle."""
     terms = _terms(lexicon)
     table = F.array(*[
-        F.struct(F.lit(category).alias("category"), F.array(*[F.lit(t) for t in own]).alias("terms")) for category, own in terms.items()
-    ])
+        F.struct(F.lit(category).alias("category"), F.array(*[F.lit(t) for t in own]).cast("array<string>").alias("terms")) for category, own in terms.items()
+    ]).cast("array<struct<category:string,terms:array<string>>>")
 
     def own_hits(entry: Column, hits: Column) -> Column:
         own = F.transform(hits, lambda h: F.struct(
@@ -128,20 +144,23 @@ def importance(mentions: DataFrame) -> DataFrame:
 
     The rate is mentions per 100,000 characters, unrounded; the score is
     ``1 + floor(5 * rows with a lower rate / all rows)`` of the category, so equal
-    rates score alike. Rates are counted in coarse ranges (quarters of a power of two) first, one row a
-    range; only the rows of one range are ever ranked together, and the ranges below add their counts.
+    rates score alike. Equal rates are counted first, so however many rows share a rate, it is ranked as one row; rates are summed up in coarse
+    ranges (quarters of a power of two), only those of one range are ever ranked together, and the ranges below add their counts.
+    Rows without a category are left out.
     """
     rated = mentions.withColumn("rate", F.col("mentions") * 100000.0 / F.col("n_chars"))
-    rated = rated.withColumn("range", F.coalesce(F.floor(F.log2("rate") * RANGES), F.lit(-(2**40))).cast("bigint"))
-    ranges = rated.groupBy("category", "range").agg(F.count("*").alias("n"))
+    rates = rated.groupBy("category", "rate").agg(F.count("*").alias("n"))
+    rates = rates.withColumn("range", F.coalesce(F.floor(F.log2("rate") * RANGES), F.lit(-(2**40))).cast("bigint"))
+    ranges = rates.groupBy("category", "range").agg(F.sum("n").alias("n"))
     lower = Window.partitionBy("category").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranges.select(
         "category", "range", F.coalesce(F.sum("n").over(lower), F.lit(0)).alias("start"), F.sum("n").over(Window.partitionBy("category")).alias("whole")
     )
-    within = F.rank().over(Window.partitionBy("category", "range").orderBy("rate")) - 1
-    ranked = rated.join(starts, ["category", "range"]).withColumn("below", F.col("start") + within)
-    scored = ranked.withColumn("score", F.expr("1 + 5 * below div whole").cast("bigint"))
-    return scored.drop("range", "start", "whole", "below")
+    below = Window.partitionBy("category", "range").orderBy("rate").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rates.withColumn("within", F.coalesce(F.sum("n").over(below), F.lit(0))).join(starts, ["category", "range"])
+    scores = placed.select("category", "rate", F.expr("1 + 5 * (start + within) div whole").cast("bigint").alias("score"))
+    same = rated["category"].eqNullSafe(scores["category"]) & rated["rate"].eqNullSafe(scores["rate"])
+    return rated.join(scores, same).drop(scores["category"], scores["rate"])
 
 
 def find_names(docs: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -150,7 +169,7 @@ def find_names(docs: DataFrame, names: Iterable[str]) -> DataFrame:
     Names that differ in case or punctuation only are all reported.
     """
     spelled = [(name, _normal(name)) for name in sorted(set(names)) if _normal(name)]
-    table = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).alias("name")) for n, t in spelled])
+    table = F.array(*[F.struct(F.lit(t).alias("term"), F.lit(n).alias("name")) for n, t in spelled]).cast("array<struct<term:string,name:string>>")
     found = F.array_distinct(F.flatten(F.transform(_hits(F.col("text"), [t for _, t in spelled]), lambda h: h["found"])))
     listed = bound(found, lambda f: F.transform(F.filter(table, lambda e: F.array_contains(f, e["term"])), lambda e: e["name"]))
     rows = docs.select("doc_id", "entity", "grp", "text")
