@@ -194,6 +194,41 @@ CONVERSATION_QUESTIONS = """questions AS (
   JOIN embeddings ON vec_id = (conv_id * 7 + turn) % (SELECT count(*) FROM embeddings) WHERE role = 'user')"""
 
 
+#: Whole-number weights of pages and questions, and every score of every pair that shares a term.
+WEIGHTS = r"""page_terms AS MATERIALIZED (SELECT doc_id AS page_id, term, count(*) AS n FROM (
+  SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS term FROM documents) GROUP BY ALL),
+idfs AS MATERIALIZED (SELECT term, CAST(round(ln(((SELECT count(*) FROM documents) + 1.0::DOUBLE) / (count(*) + 1)) * 1000) AS BIGINT) AS idf FROM page_terms GROUP BY term),
+weights AS MATERIALIZED (SELECT page_id, term, CAST(n * idf AS BIGINT) AS weight FROM page_terms JOIN idfs USING (term) WHERE idf > 0),
+squares AS (SELECT page_id, CAST(sum(weight * weight) AS BIGINT) AS square FROM weights GROUP BY page_id)"""
+
+
+def _question_weights(name: str, texts: str) -> str:
+    return rf"""{name} AS MATERIALIZED (SELECT conv_id, turn, term, CAST(count(*) * any_value(idf) AS BIGINT) AS weight FROM (
+  SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS term FROM {texts}) JOIN idfs USING (term) WHERE idf > 0 GROUP BY ALL)"""
+
+
+def _best_pages(name: str, asked: str, k: int) -> str:
+    return f"""{name} AS MATERIALIZED (
+  SELECT conv_id, turn, page_id, dot / (sqrt(CAST(asked_square AS DOUBLE)) * sqrt(CAST(square AS DOUBLE))) AS score,
+    CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, page_id) AS INTEGER) AS rank
+  FROM (SELECT conv_id, turn, page_id, CAST(sum(a.weight * w.weight) AS DOUBLE) AS dot FROM {asked} a JOIN weights w USING (term) GROUP BY ALL)
+  JOIN (SELECT conv_id, turn, CAST(sum(weight * weight) AS BIGINT) AS asked_square FROM {asked} GROUP BY ALL) USING (conv_id, turn)
+  JOIN squares USING (page_id) QUALIFY rank <= {k})"""
+
+
+EXPANDED = """added AS MATERIALIZED (
+  SELECT conv_id, turn, term, CASE WHEN weakest < w THEN weakest ELSE w END AS weight FROM (
+    SELECT conv_id, turn, term, CAST(sum(w) AS BIGINT) AS w FROM (
+      SELECT conv_id, turn, term, floor(weight / sqrt(CAST(square AS DOUBLE)) * 1000) AS w FROM first_hits JOIN weights USING (page_id) JOIN squares USING (page_id)
+      UNION ALL
+      SELECT conv_id, turn, term, floor(weight / sqrt(CAST(sum(weight * weight) OVER (PARTITION BY conv_id, turn) AS DOUBLE)) * 500) FROM told)
+    GROUP BY ALL)
+  ANTI JOIN asked USING (conv_id, turn, term)
+  LEFT JOIN (SELECT conv_id, turn, min(weight) AS weakest FROM asked GROUP BY ALL) USING (conv_id, turn)
+  WHERE w > 0 QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY w DESC, term) <= 10),
+more AS MATERIALIZED (SELECT * FROM asked UNION ALL SELECT conv_id, turn, term, weight FROM added)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: sql.strip() for name, sql in {**_tables(), **_texts(), **_retrieval(), **_extraction()}.items()}
 
@@ -296,6 +331,9 @@ def _retrieval() -> dict[str, str]:
     shown = "SELECT query_id, page_id, distance, rank FROM nearest"
     before, _, after = inputs.SYSTEM_TEXT.partition("{context}")
     blocks = f"turn // {BLOCK_TURNS}"
+    asked = _question_weights("asked", "conversations WHERE role = 'user'")
+    told = _question_weights("told", "(SELECT conv_id, turn, history AS text FROM history)")
+    found = "SELECT conv_id, turn, page_id, score, rank FROM"
     return {
         "knn_top10": f"WITH {_nearest(10)} {shown}",
         "knn_by_blocks": f"WITH {_nearest(10)} {shown}",
@@ -308,6 +346,9 @@ def _retrieval() -> dict[str, str]:
 SELECT query_id, page_id, distance, place AS rank FROM kept WHERE place <= 10""",
         "list_sources": f"WITH {_nearest(10)}, {SOURCES} SELECT query_id, number, page_id, page_number, entity, grp, link, text FROM sources",
         "stuff_context": f"WITH {_nearest(10)}, {SOURCES} SELECT query_id, context FROM contexts",
+        "tfidf_vectors": f"WITH {WEIGHTS} SELECT page_id, term, weight / sqrt(CAST(square AS DOUBLE)) AS weight FROM weights JOIN squares USING (page_id)",
+        "tfidf_nearest": f"WITH {WEIGHTS}, {asked}, {_best_pages('best', 'asked', 10)} {found} best",
+        "expanded_nearest": f"WITH {WEIGHTS}, {HISTORY}, {asked}, {told}, {_best_pages('first_hits', 'asked', 3)}, {EXPANDED}, {_best_pages('best', 'more', 10)} {found} best",
         "history_before": f"WITH {HISTORY} SELECT * FROM history",
         "history_before_in_blocks": f"WITH {HISTORY} SELECT * FROM history",
         "history_blocks": f"""SELECT conv_id, {blocks} AS block, CAST(count(*) AS INTEGER) AS n_messages,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import conversation, cooccurrence, extraction, filters, lexicon, names, retrieval, shares, summaries, texts, vectors
+from ..operators import conversation, cooccurrence, extraction, filters, lexicon, names, postings, retrieval, shares, summaries, texts
 from ..plans import reports
 from ..session import shared_folder
 from ..sources import cached, canonical, load_csv, load_pages, write_report
@@ -149,16 +149,21 @@ def _retrieval() -> dict[str, Query]:
             inputs.page_texts(spark, folder), inputs.SYSTEM_TEXT,
         )
 
+    def index(spark: SparkSession, folder: str) -> postings.LexicalIndex:
+        return postings.build_index(inputs.page_texts(spark, folder), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+
+    def asked(spark: SparkSession, folder: str) -> DataFrame:
+        return inputs.turns(spark, folder).filter("role = 'user'").select(F.struct("conv_id", "turn").alias("query_id"), "text")
+
+    def shown(hits: DataFrame) -> DataFrame:
+        return hits.select("query_id.conv_id", "query_id.turn", "page_id", "score", "rank")
+
     def lexical(spark: SparkSession, folder: str) -> DataFrame:
-        pages = inputs.page_texts(spark, folder)
-        model = vectors.tfidf_model(pages)
-        asked = inputs.turns(spark, folder).filter("role = 'user'").select(F.struct("conv_id", "turn").alias("query_id"), "text")
-        hits = retrieval.knn(vectors.tfidf_vectors(model, asked), vectors.tfidf_vectors(model, pages))
-        return hits.select("query_id.conv_id", "query_id.turn", "page_id", "distance", "rank")
+        return shown(postings.lexical_search(index(spark, folder), asked(spark, folder)))
 
-    def page_vectors(spark: SparkSession, folder: str) -> DataFrame:
-        pages = inputs.page_texts(spark, folder)
-        return vectors.tfidf_vectors(vectors.tfidf_model(pages), pages).select("page_id", "embedding")
+    def expanded(spark: SparkSession, folder: str) -> DataFrame:
+        history = conversation.history_before(inputs.turns(spark, folder)).select(F.struct("conv_id", "turn").alias("query_id"), F.col("history").alias("text"))
+        return shown(postings.expanded_search(index(spark, folder), asked(spark, folder), history))
 
     return {
         "knn_top10": nearest(),
@@ -173,8 +178,9 @@ def _retrieval() -> dict[str, Query]:
         "history_before_in_blocks": lambda spark, folder: conversation.history_before(inputs.turns(spark, folder), BLOCK_TURNS),
         "history_blocks": lambda spark, folder: conversation.history_blocks(inputs.turns(spark, folder), BLOCK_TURNS),
         "assemble_prompt": prompts,
-        "tfidf_vectors": page_vectors,
+        "tfidf_vectors": lambda spark, folder: postings.page_weights(index(spark, folder)),
         "tfidf_nearest": lexical,
+        "expanded_nearest": expanded,
     }
 
 
