@@ -178,3 +178,14 @@ def test_language_rejects_what_has_no_language_and_keeps_rows(spark):
     assert 10**6 + 3 in ids and not {10**6, 10**6 + 1, 10**6 + 2, None} & set(ids)
     assert len(ids) == docs.count() + 1
     assert in_known_language(both.limit(0), pages).count() == 0
+
+
+def test_lines_of_very_many_statements_and_years_do_not_overflow(spark):
+    from pyspark.sql import functions as F
+
+    from thematrail.llm.licences import canonical_lines
+
+    hard = ["© 2020 Aa Bb; " * 20000, "© " + ", ".join(["2020"] * 20000) + " Foo", "copyright (c) 2020 " + "." * 100000, "© 2020 " + " " * 100000 + "x", "© 2020 foo. Licensed under the MIT License. " * 3]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(hard)], "i int, text string").select("i", canonical_lines(F.col("text")).alias("lines"))
+    found = {r.i: r.lines for r in rows.collect()}
+    assert [found[i] for i in range(4)] == [[]] * 4 and found[4][0].startswith("licensed under the mit license")

@@ -131,11 +131,16 @@ SPELLINGS = [
 
 # A copyright statement at the start of a line, on lower case: the mark and years, then the holder up to the end of the sentence or
 # line or up to the words of a notice. A bare word "copyright" needs years right after it, or a short holder and a year that ends the statement.
-_YEARS = r"[0-9]{4}(?:[ \t]*(?:,|-|–|—|to|and)[ \t]*(?:[0-9]{4}|[0-9]{2}|present|now)\b)*[.,]?"
+_YEARS = r"[0-9]{4}(?:[ \t]*(?:,|-|–|—|to|and)[ \t]*(?:[0-9]{4}|[0-9]{2}|present|now)\b)*+[.,]?"
 _NOTICE = r"(?:(?:and |is |are )?(?:dual[- ])?(?:licen[cs]ed|released|distributed|published|provided)|permission|redistribution|this|all rights reserved)\b"
 _MARK = rf"(?:(?:copyright[ \t]*(?:\(c\)|©)|©|(?:copyright|\(c\))[ \t:,]*(?:by[ \t]+)?(?={_YEARS}))[ \t:,]*(?:{_YEARS})?|copyright[ \t:]+[^\n.;]{{1,80}}?[ \t,.]+{_YEARS}(?=[ \t.;]*(?:$|{_NOTICE})))"
 _ABBREVIATED = r"(?<!\b(?:\p{L}|inc|ltd|corp|co|llc|jr|sr|dr|st|prof|al))"
-_STATEMENT = rf"(?m)^[^\n\p{{L}}]*(?:{_MARK}[^\n]*?(?:$|[.,;:–-]*[ \t]+(?={_NOTICE})|{_ABBREVIATED}[.;](?=[ \t]+[^ \t\n]))[ \t]*(?:all rights reserved\b[.,;!]*[ \t]*)?)+"
+# Groups repeat possessively: Java goes through such a loop without recursion, so the number of years or statements on a line is not bounded
+# by the stack. Runs of punctuation or blanks are entered at their beginning only, so a long run is not searched again from each of its places.
+_RUN = "[.,;:–-]"
+_BEFORE = rf"(?:(?<!{_RUN}){_RUN}++[ \t]++|(?<![ \t.,;:–-])[ \t]++)(?={_NOTICE})"
+_END = rf"(?:{_RUN}*+[ \t]++(?={_NOTICE})|[^\n]*?(?:$|{_BEFORE}|{_ABBREVIATED}[.;](?=[ \t]+[^ \t\n])))"
+_STATEMENT = rf"(?m)^[^\n\p{{L}}]*(?:{_MARK}{_END}[ \t]*(?:all rights reserved\b[.,;!]*[ \t]*)?)++"
 _RESERVED = r"(?m)^[^\n\p{L}]*all rights reserved[^\n\p{L}]*$"
 
 
