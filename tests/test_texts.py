@@ -40,9 +40,9 @@ def test_role_paragraphs(spark):
     assert "r1" in role_summary(df).collect()[0].summary or "Rôle" in role_summary(df).collect()[0].summary
 
 
-def brute_summary(rows, n, n_terms=50):
+def brute_summary(rows, n, one_in=20):
     def words(s):
-        return [w for w in re.findall(r"[^\W_]+", s.lower()) if len(w) >= 5]
+        return re.findall(r"[^\W_]+", s.lower())
 
     def split(s):
         return [p for p in (m.strip() for m in re.findall(r"[^.!?\n]+[.!?]*", s)) if p]
@@ -51,7 +51,7 @@ def brute_summary(rows, n, n_terms=50):
     for category in {c for c, _, _ in rows}:
         own = [(i, s) for c, i, s in rows if c == category]
         counts = Counter(w for _, s in own for w in set(words(s)))
-        terms = {w for w, _ in sorted(counts.items(), key=lambda e: (-e[1], e[0]))[:n_terms]}
+        terms = {w for w, found in counts.items() if found * one_in >= len(own)}
         best = {}
         for i, s in own:
             for at, p in enumerate(split(s)):
@@ -70,10 +70,10 @@ def test_map_summary_matches_brute_force(mentions, seed):
     sentence = lambda: " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(1, 7))) + rng.choice([". ", "! ", "\n", ".\n"])
     rows = [("e", "g", rng.choice("xyz"), 1, "".join(sentence() for _ in range(rng.randrange(1, 6)))) for _ in range(25)]
     rows += rows[:8]  # copies
-    found = {r.category: r.summary for r in summaries.summarize_map(mentions(rows), 3, 4).collect()}
-    assert found == brute_summary([(c, i, s) for i, (_, _, c, _, s) in enumerate(rows)], 3, 4)
-    whole = summaries.summarize_reduce(summaries.summarize_map(mentions(rows), 3, 4), 2, n_terms=4).collect()[0].summary
-    assert whole == brute_summary([("", c, s) for c, s in found.items()], 2, 4)[""]
+    found = {r.category: r.summary for r in summaries.summarize_map(mentions(rows), 3, 2).collect()}
+    assert found == brute_summary([(c, i, s) for i, (_, _, c, _, s) in enumerate(rows)], 3, 2)
+    whole = summaries.summarize_reduce(summaries.summarize_map(mentions(rows), 3, 2), 2, one_in=2).collect()[0].summary
+    assert whole == brute_summary([("", c, s) for c, s in found.items()], 2, 2)[""]
 
 
 def test_a_category_without_key_terms_keeps_its_summary(mentions):
@@ -91,3 +91,11 @@ def test_summary_report(mentions):
 def test_only_the_best_sentences_are_shuffled(mentions, plan):
     text = plan(summaries.summarize_map(mentions([("e", "g", "x", 1, "some words here")])))
     assert "WindowGroupLimit" in text and "Python" not in text
+
+
+def test_texts_stay_where_they_are_while_key_terms_are_few(mentions, plan, monkeypatch):
+    df = mentions([("e", "g", c, 1, f"some words here {c}") for c in "xyxyz"])
+    assert "BroadcastHashJoin" in plan(summaries.summarize_map(df))
+    monkeypatch.setattr(summaries, "TERM_BYTES", 0)
+    moved = summaries.summarize_map(df)
+    assert {r.category for r in moved.collect()} == {"x", "y", "z"}

@@ -84,13 +84,13 @@ def _split_sentences(text: str) -> str:
 
 def _summary(rows: str, n: int = 3) -> str:
     """Summary of each category of ``rows`` (category, row_id, summary)."""
-    words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]{{5,}}')"
+    words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
     return f"""term_counts AS (
   SELECT category, term, count(*) AS n_texts FROM (
     SELECT DISTINCT category, row_id, unnest({words.format('summary')}) AS term FROM {rows})
   GROUP BY ALL),
-key_terms AS (SELECT category, term, n_texts FROM term_counts
-  QUALIFY row_number() OVER (PARTITION BY category ORDER BY n_texts DESC, term) <= 50),
+key_terms AS (SELECT category, term, n_texts FROM term_counts JOIN (SELECT category, count(*) AS n FROM {rows} GROUP BY category) USING (category)
+  WHERE n_texts * 20 >= n),
 cut AS (
   SELECT category, row_id, unnest(found) AS sentence, generate_subscripts(found, 1) AS pos
   FROM (SELECT category, row_id, {_split_sentences('summary')} AS found FROM {rows})),

@@ -10,38 +10,48 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sentences, words
+from ..sources import cached
 from .shares import known
 
-KEY_TERMS = 50
-MIN_LETTERS = 5
+#: A key term is a word found in at least one of so many texts of its category.
+ONE_IN = 20
 
+#: Bytes of key terms up to which they are sent to the tasks.
+TERM_BYTES = 64 << 20
 
-def key_terms(df: DataFrame, n_terms: int = KEY_TERMS) -> DataFrame:
-    """The words found in most texts of a category, at most n_terms each; ties in word order."""
+
+def key_terms(df: DataFrame, one_in: int = ONE_IN) -> DataFrame:
+    """The words, of any length, found in at least one of ``one_in`` texts of a category: category, term, n_texts.
+
+    There are at most ``one_in`` times as many as a text of the category has words on average.
+    """
     rows = known(df, "category", "summary").select("category", "row_id", "summary")
-    found = rows.select("category", F.explode(F.array_distinct(words(F.col("summary"), MIN_LETTERS))).alias("term"))
+    sizes = rows.groupBy("category").agg(F.count("*").alias("n"))
+    found = rows.select("category", F.explode(F.array_distinct(words(F.col("summary")))).alias("term"))
     counted = found.groupBy("category", "term").agg(F.count("*").alias("n_texts"))
-    place = Window.partitionBy("category").orderBy(F.desc("n_texts"), "term")
-    return counted.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= n_terms).drop("place")
+    return counted.join(sizes, "category").filter(F.col("n_texts") * one_in >= F.col("n")).drop("n")
 
 
-def summarize_map(df: DataFrame, n: int = 3, n_terms: int = KEY_TERMS) -> DataFrame:
+def summarize_map(df: DataFrame, n: int = 3, one_in: int = ONE_IN) -> DataFrame:
     """The n best sentences of every category in reading order: ``category, summary``.
 
     A sentence scores the number of different key terms in it; ties go to the
-    earlier one, and copies of a sentence count once. Sentences are scored inside
-    their row, and a row passes on only its own n best (no other can be among
-    the category's n best), so if the key terms are small enough to be sent to the rows, texts stay in place.
+    earlier one, and copies of a sentence count once. Key terms are worked out first; up to ``TERM_BYTES`` they are sent to the texts,
+    which then stay in place. Sentences are scored inside their row, and a row passes on only its own n best (no other can be among
+    the category's n best).
     """
     rows = known(df, "category", "summary").select("category", "row_id", "summary")
-    terms = key_terms(rows, n_terms).groupBy("category").agg(F.collect_list("term").alias("terms"))
+    terms = cached(key_terms(rows, one_in).groupBy("category").agg(F.collect_list("term").alias("terms")))
+    size = terms.agg(F.sum(F.length(F.array_join("terms", "  ")))).first()[0] or 0
+    if size <= TERM_BYTES:
+        terms = F.broadcast(terms)
+    own_terms = F.array_intersect(words(F.col("summary")), F.coalesce("terms", F.array().cast("array<string>")))
     scored = F.transform(
         F.array_distinct(sentences(F.col("summary"))),
-        lambda s, i: F.struct((-F.size(F.array_intersect(words(s, MIN_LETTERS), F.col("terms")))).alias("minus"), i.alias("at"), s.alias("sentence")),
+        lambda s, i: F.struct((-F.size(F.array_intersect(words(s), F.col("own")))).alias("minus"), i.alias("at"), s.alias("sentence")),
     )
     best = F.slice(F.array_sort(scored), 1, n)
-    own_terms = F.coalesce("terms", F.array().cast("array<string>"))
-    scored_rows = rows.join(terms, "category", "left").withColumn("terms", own_terms)
+    scored_rows = rows.join(terms, "category", "left").withColumn("own", own_terms)
     passed = scored_rows.select("category", "row_id", F.explode(best).alias("s"))
     position = F.struct("row_id", F.col("s.at").alias("at"))
     single = passed.groupBy("category", F.col("s.minus").alias("minus"), F.col("s.sentence").alias("sentence")).agg(F.min(position).alias("position"))
@@ -53,7 +63,7 @@ def summarize_map(df: DataFrame, n: int = 3, n_terms: int = KEY_TERMS) -> DataFr
     )
 
 
-def summarize_reduce(texts: DataFrame, n: int = 3, order: str = "category", text: str = "summary", n_terms: int = KEY_TERMS) -> DataFrame:
+def summarize_reduce(texts: DataFrame, n: int = 3, order: str = "category", text: str = "summary", one_in: int = ONE_IN) -> DataFrame:
     """One summary over all texts, read in the given order."""
     whole = texts.select(F.lit("").alias("category"), F.col(order).alias("row_id"), F.col(text).alias("summary"))
-    return summarize_map(whole, n, n_terms).select("summary")
+    return summarize_map(whole, n, one_in).select("summary")
