@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import sentences, words
+from ..functions import bound, sentences, words
 from ..sources import cached
 from .shares import known
 
@@ -46,12 +46,11 @@ def summarize_map(df: DataFrame, n: int = 3, one_in: int = ONE_IN) -> DataFrame:
     if size <= TERM_BYTES:
         terms = F.broadcast(terms)
     own_terms = F.array_intersect(words(F.col("summary")), F.coalesce("terms", F.array().cast("array<string>")))
-    scored = F.transform(
+    best = F.slice(F.array_sort(bound(own_terms, lambda own: F.transform(
         F.array_distinct(sentences(F.col("summary"))),
-        lambda s, i: F.struct((-F.size(F.array_intersect(words(s), F.col("own")))).alias("minus"), i.alias("at"), s.alias("sentence")),
-    )
-    best = F.slice(F.array_sort(scored), 1, n)
-    scored_rows = rows.join(terms, "category", "left").withColumn("own", own_terms)
+        lambda s, i: F.struct((-F.size(F.array_intersect(words(s), own))).alias("minus"), i.alias("at"), s.alias("sentence")),
+    ))), 1, n)
+    scored_rows = rows.join(terms, "category", "left")
     passed = scored_rows.select("category", "row_id", F.explode(best).alias("s"))
     position = F.struct("row_id", F.col("s.at").alias("at"))
     single = passed.groupBy("category", F.col("s.minus").alias("minus"), F.col("s.sentence").alias("sentence")).agg(F.min(position).alias("position"))
