@@ -290,6 +290,9 @@ SELECT l.category AS a, r.category AS b, count(*) AS n FROM held l JOIN held r O
         "graph_degree": f"""WITH {EDGES}, nodes AS (SELECT category FROM lead_categories UNION SELECT category FROM ({ends}))
 SELECT n.category, count(e.category) AS degree, count(e.category) * 5 AS marker_size
 FROM nodes n LEFT JOIN ({ends}) e ON n.category = e.category GROUP BY n.category""",
+        "domain_list_groups": domain.format(m=NAME_LISTS, c="grp").replace("FROM mentions", "FROM lists"),
+        "domain_name_entities": domain.format(m=NAME_LISTS, c="entity").replace("FROM mentions", "FROM names"),
+        "domain_names": domain.format(m=NAME_LISTS, c="name").replace("FROM mentions", "FROM names"),
         "explode_names": f"WITH {NAME_LISTS} SELECT row_id, entity, grp, name FROM names",
         "filter_name_list": f"WITH {NAME_LISTS} SELECT row_id, entity, grp, names FROM lists WHERE row_id IN (SELECT row_id FROM names WHERE name IN ({_listed(CHOSEN_NAMES)}))",
         "count_by_name": f"WITH {NAME_LISTS} SELECT name, count(*) AS n FROM names GROUP BY ALL",
@@ -320,6 +323,9 @@ FROM theme_texts {{}} GROUP BY ALL"""
         "summary_by_category": f"""WITH {THEME_TEXTS}, kept AS (SELECT * FROM theme_texts WHERE category IN ({top5})),
 {_summary('kept')} SELECT category, summary, '**' || category || '** : ' || summary AS entry FROM summaries""",
         "summarize_reduce": f"""WITH {THEME_TEXTS}, first AS (WITH {_summary('theme_texts')} SELECT * FROM summaries),
+whole AS (SELECT '' AS category, category AS row_id, summary FROM first), {_summary('whole')} SELECT summary FROM summaries""",
+        "summary_of_leading": f"""WITH {THEME_TEXTS}, kept AS (SELECT * FROM theme_texts WHERE category IN ({top5})),
+first AS (WITH {_summary('kept')} SELECT * FROM summaries),
 whole AS (SELECT '' AS category, category AS row_id, summary FROM first), {_summary('whole')} SELECT summary FROM summaries""",
         "role_summary": f"""WITH whole AS (SELECT '' AS category, doc_id AS row_id, {paragraph} AS summary FROM documents),
 {_summary('whole')} SELECT summary FROM summaries""",

@@ -102,6 +102,9 @@ def _names() -> dict[str, Query]:
 
     return {
         "filtered_name_group_share": filtered,
+        "domain_list_groups": lambda spark, folder: filters.domain_values(inputs.name_lists(spark, folder), "grp"),
+        "domain_name_entities": _on_names(lambda n: filters.domain_values(n, "entity")),
+        "domain_names": _on_names(lambda n: filters.domain_values(n, "name")),
         "explode_names": _on_names(lambda n: n),
         "filter_name_list": lambda spark, folder: filters.filter_name_list(inputs.name_lists(spark, folder), "names", CHOSEN_NAMES),
         "count_by_name": _on_names(lambda n: shares.count_by(n, ["name"])),
@@ -127,6 +130,7 @@ def _texts() -> dict[str, Query]:
         "summarize_map": lambda spark, folder: summaries.summarize_map(inputs.theme_texts(spark, folder)),
         "summarize_reduce": reduced,
         "summary_by_category": by_category,
+        "summary_of_leading": lambda spark, folder: reports.summary_report(inputs.theme_texts(spark, folder))["whole"],
         "role_summary": lambda spark, folder: reports.role_summary(inputs.roles(spark, folder)),
     }
 
