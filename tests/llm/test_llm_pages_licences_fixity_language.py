@@ -67,6 +67,76 @@ def test_density_selects_inside_main_and_article():
     assert main_text(f"<main><article>{text}</article><article>{text}</article></main>") == want + "\n" + want
 
 
+def paragraphs(name, n):
+    return "".join(f"<p>{name}{i} {'some words of the text. ' * 8}</p>" for i in range(n))
+
+
+def first_words(html):
+    return [line.split()[0] for line in main_text(html).split("\n")]
+
+
+def test_every_section_and_part_of_a_text_stays():
+    page = f"<main><h1>T</h1><section><h2>One</h2>{paragraphs('a', 1)}</section><section><h2>Two</h2>{paragraphs('b', 4)}</section></main>"
+    assert first_words(page) == ["T", "One", "a0", "Two", "b0", "b1", "b2", "b3"]
+    page = f"<body><div>{paragraphs('a', 2)}</div><div>{paragraphs('b', 4)}</div><div><p>End.</p></div><div>Imprint</div><div><p>© 2020 X</p></div></body>"
+    assert first_words(page) == ["a0", "a1", "b0", "b1", "b2", "b3", "End."]
+    page = f"<div><article>{paragraphs('a', 4)}</article><article>{paragraphs('b', 1)}</article><article><h2><a href=1>Other</a></h2>{paragraphs('t', 1)}</article></div>"
+    assert first_words(page) == ["a0", "a1", "a2", "a3", "b0"]
+    assert first_words(f"<body><header><h1>Title</h1></header><main>{paragraphs('a', 2)}</main></body>") == ["Title", "a0", "a1"]
+    assert first_words(f"<body><header><h1><a href=/>Site</a></h1></header><main>{paragraphs('a', 2)}</main></body>") == ["a0", "a1"]
+
+
+def test_inline_elements_leave_their_block_whole():
+    assert main_text("<p>Let <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>tex</annotation></math> be a number, <svg><title>t</title></svg>and <button>b</button>so <label>l</label>on.") == "Let x+1 be a number, and so on."
+    assert main_text(f"<article><p>One <span class=ad>buy</span>two <script>x</script>three.</p>{paragraphs('a', 3)}</article>").split("\n")[0] == "One two three."
+    assert main_text("<p>One <select><option>a<option>b</select>two.") == "One two."
+
+
+def test_comments_and_adverts_inside_an_article():
+    added = "".join(f"<div class={c}><p>Not this one.</p></div>" for c in ("comment-section", "post-comments", "ad-slot", "advert-box", "newsletter-form", "sponsored_post-2"))
+    nested = "<section class=comments><article class=comment><p>Nor this.</p></article><article><p>Nor that.</p></article></section>"
+    assert first_words(f"<article>{paragraphs('a', 2)}{added}{paragraphs('b', 1)}{nested}</article>") == ["a0", "a1", "b0"]
+    for name in ("content-with-comments-off", "no-ads", "post-text", "ad-hoc-analysis", "page-block"):
+        assert first_words(f"<article>{paragraphs('a', 3)}<div class={name}><p>Kept.</p></div></article>")[-1] == "Kept."
+
+
+def test_densities_equal_a_plain_recursion_over_the_tree():
+    """Trees of random elements, measured again from their definition node by node."""
+    from math import e, log
+    from random import Random
+
+    from thematrail.llm.density import _Page
+
+    def grown(rng, depth):
+        children = [grown(rng, depth - 1) for _ in range(rng.randint(0, 4))] if depth else []
+        return rng.choice(["div", "section", "a", "span"]), "word " * rng.randint(0, 9), children
+
+    def shown(node):
+        return f"<{node[0]}>{node[1]}{''.join(map(shown, node[2]))}</{node[0]}>"
+
+    def measured(node, linked):
+        """(characters, in links, tags below, of these in links) and those of all nodes in page order"""
+        own = len("".join(node[1].split()))
+        total, below = [own, own * linked, 0, 0], []
+        for child in node[2]:
+            link = linked or child[0] == "a"
+            got = measured(child, link)
+            below += got
+            total = [total[0] + got[0][0], total[1] + got[0][1], total[2] + got[0][2] + 1, total[3] + got[0][3] + link]
+        return [tuple(total), *below]
+
+    for seed in range(40):
+        root = ("body", "some text ", [grown(Random(seed), 4) for _ in range(3)])
+        nodes = measured(root, False)
+        c0, l0 = nodes[0][:2]
+        want = []
+        for c, lc, t, lt in nodes:
+            base = log(c / max(c - lc, 1) * max(lc, 1) + l0 / max(c0, 1) * c + e)
+            want.append(c / max(t, 1) * max(log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1)) / log(base), 0) if c else 0)
+        got = _Page(root[1] + "".join(map(shown, root[2]))).densities()
+        assert np.allclose(got, want)
+
+
 def test_quoted_values_of_any_length():
     for size in (4000, 9000, 300_000):
         value = "x" * size + " a > b leaked <p class=sidebar> </div>"

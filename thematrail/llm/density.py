@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 from math import e, log
 
@@ -22,7 +23,14 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("iframe noembed noframes noscript script style template textarea title xmp".split())
 DROPPED = RAW | frozenset(
-    "audio button canvas head input label legend map math object select svg video".split()
+    "annotation annotation-xml audio button canvas head input label legend map object select svg video".split()
+)
+#: Dropped elements that end a block; the others stand inside a line.
+DROPPED_BLOCKS = frozenset("head legend title".split())
+#: Parts of a formula; they are read as the text of their math element.
+FORMULA = frozenset(
+    "maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle "
+    "msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
 )
 #: Elements beside the main text by their meaning, and roles that say the same.
 ASIDES = frozenset("aside dialog footer header menu nav".split())
@@ -32,7 +40,7 @@ BLOCKS = frozenset(
 )
 #: Elements that are parts of a text and never its container.
 PARTS = frozenset(
-    "a abbr acronym address b bdi bdo big br caption cite code col data del dfn dt em figcaption font h1 h2 h3 h4 h5 h6 hr i img ins kbd mark p pre q rp rt "
+    "a abbr acronym address b bdi bdo big br caption cite code col data del dfn dt em figcaption font h1 h2 h3 h4 h5 h6 hr i img ins kbd mark math p pre q rp rt "
     "ruby s samp small span strike strong sub summary sup time tt u var wbr".split()
 )
 CLOSES_P = BLOCKS - frozenset("br body html td th tr tbody thead tfoot caption option legend li dd dt summary figcaption".split())
@@ -51,12 +59,21 @@ HINTS = frozenset(
     "comment-form comment-list comments-area cookie-banner cookie-bar cookie-consent cookie-notice main-menu main-nav main-navigation nav-menu "
     "related-articles related-posts share-buttons site-footer site-header site-nav site-navigation skip-link social-links social-share".split()
 )
+#: Reader comments and adverts have many compound names: every part is in one of these lists and at least one in the first.
+ADDED = frozenset("ad ads advert adverts advertisement advertisements comment comments disqus newsletter promo sponsor sponsored".split())
+PLACES = frozenset(
+    "area banner block bottom box container content form inner item items label list outer panel post posts reader readers section sections side slot "
+    "text thread threads top unit user wrap wrapper".split()
+)
 #: Shares of the unlinked characters of a page from which a hint counts for nothing: without and with an article elsewhere.
 LARGE, LARGE_BESIDE_ARTICLE = 0.5, 0.9
 #: Share that all hinted elements together may take away; beyond it only those made of links go.
 TOGETHER = 0.75
 #: Inside an article a sparse element is left out if more than one in so many of its characters is linked.
 UNLINKED = 10
+#: Elements that make a sparse neighbour of the path a part of a text where no article or main says where the text ends.
+PARAGRAPHS = frozenset("blockquote dd dt h1 h2 h3 h4 h5 h6 li p pre".split())
+_COPYRIGHT = re.compile(r"\s*(?:copyright\b|©|\(c\))", re.I)
 
 # quotes count after an equals sign only; one that is never closed is no quote, so the tag ends at the next '>'
 _ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"'][^\s>]*+))?+)?+""")
@@ -70,19 +87,30 @@ _END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _KEPT, _ASIDE, _HINTED, _DROPPED = range(4)
 
 
-def _kind(tag: str, attributes: str, inside_article: bool) -> int:
+@lru_cache(maxsize=1 << 14)
+def _hinted(name: str) -> bool:
+    """Whether a class name or id hints at boilerplate."""
+    name = name.rstrip("0123456789")
+    if name in HINTS:
+        return True
+    parts = re.split("[-_]+", name)
+    return any(x in ADDED for x in parts) and all(x in ADDED or x in PLACES or x.isdigit() for x in parts)
+
+
+def _kind(tag: str, attributes: str, inside_article: bool, inside: bool) -> int:
+    """The kind of an element; an article inside another may be a reader's comment, so its names count."""
     if tag in DROPPED:
         return _DROPPED
-    if tag in ("html", "body", "article", "main", "h1"):
+    if tag in ("html", "body", "main", "h1") or tag == "article" and not inside_article:
         return _KEPT
-    kind = _HINTED if tag == "form" else _ASIDE if tag in ASIDES and not (tag == "header" and inside_article) else _KEPT
+    kind = _HINTED if tag == "form" else _ASIDE if tag in ASIDES and not (tag == "header" and inside) else _KEPT
     if kind == _ASIDE or not attributes or tag == "header":
         return kind
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         value = (a or b or c).lower()
         if (name := name.lower()) == "role":
             kind = max(kind, _ASIDE if value in ROLES else _HINTED if value == "form" else _KEPT)
-        elif name in ("class", "id") and any(x.rstrip("0123456789") in HINTS for x in value.split()):
+        elif name in ("class", "id") and any(map(_hinted, value.split())):
             kind = _HINTED
     return kind
 
@@ -107,6 +135,8 @@ class _Page:
             if tag is None:
                 continue
             tag = tag.lower()
+            if tag in FORMULA and opened.get("math"):
+                continue
             if closing:
                 if opened.get(tag) and tag not in VOID:
                     while True:
@@ -141,9 +171,9 @@ class _Page:
                     dropping -= node < 0
                     if node >= 0 and last in BLOCKS and not dropping:
                         self.pieces.append((node, None))
-            kind = _DROPPED if dropping else _kind(tag, attributes, inside > 0)
+            kind = _DROPPED if dropping else _kind(tag, attributes, opened.get("article", 0) > 0, inside > 0)
             if kind == _DROPPED:
-                if not dropping:
+                if not dropping and tag in DROPPED_BLOCKS:
                     self.pieces.append((stack[-1], None))
                 if tag not in VOID:
                     open_tags.append(tag)
@@ -179,8 +209,11 @@ class _Page:
         return linked, chars, links
 
     def _holding(self, *tags: str) -> list[bool]:
-        """Whether a node is or holds one of these elements."""
-        held = [t in tags for t in self.tag]
+        """Whether a node is or holds one of these elements; articles inside an article do not count."""
+        held, inside = [t in tags for t in self.tag], [False] * len(self.tag)
+        for i in range(1, len(held)):
+            inside[i] = inside[self.parent[i]] or self.tag[self.parent[i]] == "article"
+            held[i] = held[i] and not (inside[i] and self.tag[i] == "article")
         for i in range(len(held) - 1, 0, -1):
             held[self.parent[i]] |= held[i]
         return held
@@ -221,7 +254,7 @@ class _Page:
         self._cut([h and (trusted[b] or 2 * k > c) for h, b, k, c in zip(hinted, beside, links, chars)])
 
     def _cut(self, cut: list[bool]) -> None:
-        """Take nodes out with all they hold; a block ends where they were."""
+        """Take nodes out with all they hold; a block ends where a block was."""
         place, size = [0] * len(cut), 1
         for i in range(1, len(cut)):
             up = place[self.parent[i]]
@@ -230,7 +263,14 @@ class _Page:
             else:
                 place[i], size = size, size + 1
         stay = [i for i, p in enumerate(place) if p >= 0]
-        self.pieces = [(place[node], text) if place[node] >= 0 else (~place[node], None) for node, text in self.pieces]
+        ends = [False] * len(cut)  # cut nodes that are or hold a block
+        for i in range(len(cut) - 1, 0, -1):
+            ends[i] = ends[i] or self.tag[i] in BLOCKS
+            ends[self.parent[i]] |= ends[i]
+        self.pieces = [
+            (place[node], text) if place[node] >= 0 else (~place[node], None)
+            for node, text in self.pieces if place[node] >= 0 or ends[node]
+        ]
         self.tag, self.kind = [self.tag[i] for i in stay], [self.kind[i] for i in stay]
         self.parent = [place[self.parent[i]] if i else -1 for i in stay]
 
@@ -259,12 +299,14 @@ class _Page:
         """The roots of the main text: the container with the largest sum of densities, and what is dense beside its path.
 
         A main or article under that container with most of its unlinked characters is searched instead, but nothing inside an
-        article. Elements beside the path count if they are as dense as the sparsest node on it. Outside the innermost article or main
-        around the core only articles do; inside an article sparse ones count too if almost nothing in them is linked. If no
-        h1 is found so, the last one before the core that is in no boilerplate is added as its title.
+        article. Elements beside the path count if they are as dense as the sparsest node on it. Density grows with the size of a
+        node, so short parts of a text would fall below: sparse elements count too if almost nothing in them is linked, inside the
+        innermost article or main around the core any, where there is neither those with a paragraph, list item or heading that does not
+        begin with a copyright mark. Outside that article or main only further articles count whose heading is no link. If no
+        h1 is found so, the last one before the core that is no link and in no boilerplate but a header is added as its title.
         """
         n, density = len(self.tag), self.densities()
-        _, chars, links = self._measured()
+        linked, chars, links = self._measured()
         sums, end = [0.0] * n, list(range(1, n + 1))
         for i in range(n - 1, 0, -1):
             up = self.parent[i]
@@ -293,19 +335,30 @@ class _Page:
         scope = next((i for i in path if self.tag[i] in ("article", "main")), 0)
         threshold = min(density[i] for i in path)
         roots = {best}
+        heads = [t in ("h1", "h2", "h3", "h4", "h5", "h6") for t in self.tag]
+        first = {}  # first text of a node
+        for node, text in self.pieces:
+            if text and not text.isspace():
+                first.setdefault(node, text)
         for i in range(1, n):
             up = self.parent[i]
             if up == best or up not in on_path or i in on_path:
                 continue
-            dense = density[i] >= threshold > 0
-            if up >= scope:
-                dense = dense or self.tag[scope] == "article" and 0 < chars[i] >= UNLINKED * links[i]
-            elif self.tag[i] != "article":
-                dense = False
-            if dense:
+            dense, sparse = density[i] >= threshold > 0, 0 < chars[i] >= UNLINKED * links[i]
+            under = range(i, end[i])
+            if up < scope:
+                teaser = any(heads[j] and any(linked[k] for k in range(j, end[j])) for j in under)
+                sparse = sparse and self.tag[i] == "article" and not teaser
+                dense = dense and self.tag[i] == "article"
+            elif not scope and sparse:
+                begin = next((first[j] for j in under if j in first), "")
+                sparse = any(self.tag[j] in PARAGRAPHS for j in under) and not _COPYRIGHT.match(begin)
+            if dense or sparse:
                 roots.add(i)
         if not any(self.tag[i] == "h1" for r in roots for i in range(r, end[r])):
-            roots |= set([i for i in range(1, best) if self.tag[i] == "h1" and not any(self.kind[j] for j in path_of(i))][-1:])
+            titles = [i for i in range(1, best) if self.tag[i] == "h1" and not any(linked[j] for j in range(i, end[i]))]
+            beside = lambda i: any(self.kind[j] and self.tag[j] != "header" for j in path_of(i))
+            roots |= set([i for i in titles if not beside(i)][-1:])
         return roots
 
     def text(self) -> str:
