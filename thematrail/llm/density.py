@@ -93,8 +93,8 @@ def _hinted(name: str) -> bool:
     name = name.rstrip("0123456789")
     if name in HINTS:
         return True
-    parts = re.split("[-_]+", name)
-    return any(x in ADDED for x in parts) and all(x in ADDED or x in PLACES or x.isdigit() for x in parts)
+    parts = [x for x in re.split("[-_]+", name) if x and not x.isdigit()]
+    return any(x in ADDED for x in parts) and all(x in ADDED or x in PLACES for x in parts)
 
 
 def _kind(tag: str, attributes: str, inside_article: bool, inside: bool) -> int:
