@@ -48,6 +48,58 @@ def test_later_loads_lose_to_the_index(spark):
     assert index.read().count() == 3
 
 
+def decisions(df):
+    return sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in df.collect())
+
+
+def test_a_repeated_load_gives_the_same_rows(spark):
+    index = DigestIndex(spark, buckets=4)
+    index.load(docs_of(spark, [(5, "old", "x")]), load_id="first").count()
+    docs = docs_of(spark, [(1, "a", "x"), (2, "a", "x"), (2, "a", "x"), (3, "b", "x"), (4, "old", "x"), (6, None, "x")])
+    want = [(1, 2, 3, False), (2, 2, 3, False), (2, 2, 3, True), (3, 3, 1, True), (4, 5, 1, False), (6, 6, 1, True)]
+    assert decisions(index.load(docs, load_id="second")) == want
+    assert decisions(index.load(docs, load_id="second")) == want  # its rows were lost after the append
+    assert index.read().count() == 4
+    assert {r[3] for r in decisions(index.load(docs, load_id="third"))} == {False}
+    assert {r[3] for r in decisions(index.load(docs))} == {False} and index.read().count() == 4
+
+
+def test_a_load_cut_off_within_its_append_is_completed(spark):
+    docs = docs_of(spark, [(i, f"text {i % 7}", "x") for i in range(20)])
+    index = DigestIndex(spark, buckets=4)
+    append = index.append
+
+    def lost(fresh):
+        append(fresh.filter("keep_id % 2 = 0"))
+        raise RuntimeError("lost")
+
+    index.append = lost
+    with pytest.raises(RuntimeError):
+        index.load(docs, load_id="x")
+    assert 0 < index.read().count() < 7
+    index.append = append
+    got = decisions(index.load(docs, load_id="x"))
+    assert got == sorted((i, i % 7 + 7 * ((19 - i % 7) // 7), sum(j % 7 == i % 7 for j in range(20)), i >= 13) for i in range(20))
+    assert index.read().count() == 7
+
+
+def test_an_index_is_opened_by_its_path_and_compacted(spark, tmp_path, plan):
+    path = str(tmp_path / "index")
+    index = DigestIndex(spark, path, buckets=4)
+    for n in range(3):
+        index.load(docs_of(spark, [(i, f"text {i}", "x") for i in range(10 * n, 10 * n + 20)]), load_id=str(n)).count()
+    before = sorted(index.read().collect())
+    index.close()
+    other = DigestIndex(spark, path, buckets=64)
+    assert other.buckets == 4 and sorted(other.read().collect()) == before and len(before) == 40
+    other.compact(8)
+    assert other.buckets == 8 and sorted(other.read().collect()) == before
+    assert 0 < len(list((tmp_path / "index").glob(f"{other.folder.split('/')[-1]}/*.parquet"))) <= 8
+    again = DigestIndex(spark, path)
+    assert again.buckets == 8 and sorted(again.read().collect()) == before
+    assert [r.kept for r in again.load(docs_of(spark, [(1, "text 5", "x"), (2, "new", "x")])).orderBy("doc_id").collect()] == [False, True]
+
+
 def test_index_is_read_without_a_shuffle(spark, plan):
     index = DigestIndex(spark, buckets=8)
     index.load(docs_of(spark, ROWS)).count()
