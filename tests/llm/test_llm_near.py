@@ -134,3 +134,28 @@ def test_a_long_list_is_cut_into_parts(spark, monkeypatch):
     monkeypatch.setattr(collisions, "PART", 40)
     assert sorted(map(tuple, near_vectors(df).collect())) == whole
     assert whole[0][1] == 149
+
+
+def test_outermost_in_blocks_equals_one_product_in_bounded_memory():
+    import tracemalloc
+
+    from thematrail.llm.collisions import DIRECTIONS, ENTRIES, _directions, outermost
+
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(50, 16))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    for projections in (ENTRIES, 1000, DIRECTIONS, 5 * DIRECTIONS - 7):
+        whole = np.concatenate([_directions(16, b) for b in range(5)], axis=1)[:, :projections]
+        at = vectors @ whole
+        order = np.argsort(-np.abs(at), axis=1)[:, :ENTRIES]
+        want = [sorted(zip(o * 2 + (a[o] < 0), np.abs(a[o]).astype(np.float32))) for o, a in zip(order, at)]
+        lists, value = outermost(vectors, projections)
+        assert [[x for x, _ in sorted(zip(r, v))] for r, v in zip(lists, value)] == [[x for x, _ in w] for w in want]
+        assert np.allclose([[x for _, x in sorted(zip(r, v))] for r, v in zip(lists, value)], [[x for _, x in w] for w in want])
+    peaks = []
+    for projections in (16 * DIRECTIONS, 64 * DIRECTIONS):
+        tracemalloc.start()
+        outermost(vectors, projections)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]

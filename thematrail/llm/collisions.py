@@ -30,19 +30,35 @@ RECALL = 0.995
 PART = 1024
 
 #: Vectors for which ``MIN_PROJECTIONS`` are used; twice the vectors get twice the projections.
+#: Beyond the most, lists grow with the table and are cut into more parts.
 BASE_VECTORS, MIN_PROJECTIONS, MAX_PROJECTIONS = 1_000_000, 1024, 1 << 18
 
+#: Directions that are projected on at once.
+DIRECTIONS = 1024
 
-@lru_cache(maxsize=4)
-def _directions(dim: int, projections: int) -> np.ndarray:
-    return np.random.default_rng([dim, projections]).normal(size=(dim, projections))
+
+@lru_cache(maxsize=8)
+def _directions(dim: int, block: int) -> np.ndarray:
+    """One block of directions, drawn anew where it is needed."""
+    return np.random.default_rng([dim, DIRECTIONS + block]).normal(size=(dim, DIRECTIONS))
 
 
 def outermost(vectors: np.ndarray, projections: int) -> tuple[np.ndarray, np.ndarray]:
-    """Lists (two for a direction, one for each sign) in which each unit vector lies farthest out, and where."""
-    at = vectors @ _directions(vectors.shape[1], projections)
-    lists = np.argpartition(-np.abs(at), ENTRIES - 1, axis=1)[:, :ENTRIES]
-    value = np.take_along_axis(at, lists, 1)
+    """Lists (two for a direction, one for each sign) in which each unit vector lies farthest out, and where.
+
+    Directions come in blocks, of which only the outermost so far are held, so the memory needed does not grow with
+    their number.
+    """
+    lists, value = np.empty((len(vectors), 0), np.int64), np.empty((len(vectors), 0))
+    for block in range(-(-projections // DIRECTIONS)):
+        start = block * DIRECTIONS
+        at = vectors @ _directions(vectors.shape[1], block)[:, : projections - start]
+        chosen = np.argpartition(-np.abs(at), min(ENTRIES, at.shape[1]) - 1, axis=1)[:, :ENTRIES]
+        lists = np.concatenate([lists, chosen + start], axis=1)
+        value = np.concatenate([value, np.take_along_axis(at, chosen, 1)], axis=1)
+        if lists.shape[1] > ENTRIES:
+            best = np.argpartition(-np.abs(value), ENTRIES - 1, axis=1)[:, :ENTRIES]
+            lists, value = np.take_along_axis(lists, best, 1), np.take_along_axis(value, best, 1)
     return (lists * 2 + (value < 0)).astype(np.int32), np.abs(value).astype(np.float32)
 
 
