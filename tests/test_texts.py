@@ -32,6 +32,22 @@ def test_chunks_in_order_are_the_whole_text(mentions):
         assert whole == " ".join(s for _, _, c, _, s in rows if c == category)
 
 
+@pytest.mark.parametrize("chunk_chars, block_rows", [(1, 2), (7, 3), (40, 10), (10_000, 10_000)])
+def test_chunks_are_cut_by_characters_whatever_the_texts(spark, chunk_chars, block_rows):
+    rng = random.Random(chunk_chars)
+    words = ["", "a", "é€", "\U0001f600", "long text " * 12, None]
+    rows = [(rng.choice(["x", "x", "x", "y", None]), i, rng.choice(words), "c", 1) for i in rng.sample(range(300), 60)] + [("empty", 5, "", "c", 1), ("x", None, "lost", "c", 1)]
+    df = spark.createDataFrame(rows, "category string, row_id bigint, text string, chunk string, size int")
+    got = texts.text_chunks(df, "; ", ["category"], chunk_chars, block_rows).collect()
+    for category in {r[0] for r in rows}:
+        whole = "; ".join(t for c, i, t, _, _ in sorted(rows, key=lambda r: (r[1] is None, r[1])) if c == category and t is not None and i is not None)
+        found = {r.chunk: r.text for r in got if r.category == category}
+        assert found == {k: whole[k * chunk_chars : (k + 1) * chunk_chars] for k in range(-(-len(whole) // chunk_chars))}
+    assert all(r.n_chars == len(r.text) <= chunk_chars for r in got)
+    assert [r.text for r in texts.text_chunks(df.filter("row_id IS NULL OR category = 'empty'"), "; ", [], chunk_chars).collect()] == []
+    assert texts.text_chunks(df.limit(0), "; ", ["category"]).count() == 0
+
+
 def test_role_paragraphs(spark):
     df = spark.createDataFrame([(0, "A", "r1"), (1, None, None)], "row_id bigint, entity string, role_summary string")
     lead = "Rôle des Banques Publiques de Développement dans le fichier "

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from . import inputs
-from .queries import BLOCK_TURNS, CATEGORIES, CHOSEN_NAMES, GROUPS, PAGE_CHARS, PAGE_GROUPS, ROWS_PER_CHUNK
+from .queries import BLOCK_TURNS, CATEGORIES, CHOSEN_NAMES, CHUNK_CHARS, GROUPS, PAGE_CHARS, PAGE_GROUPS, ROWS_PER_CHUNK
 
 
 # white space that is stripped from names and sentences
@@ -313,7 +313,14 @@ FROM theme_texts {{}} GROUP BY ALL"""
     paragraph = "'Rôle des Banques Publiques de Développement dans le fichier ' || source || ' :' || chr(10) || text || chr(10) || chr(10)"
     top5 = "SELECT category FROM theme_texts GROUP BY category ORDER BY sum(mentions) DESC, category LIMIT 5"
     mapped = f"WITH {THEME_TEXTS}, {_summary('theme_texts')}"
+    cut = f"""SELECT * EXCLUDE (whole), CAST(length(text) AS BIGINT) AS n_chars FROM (
+  SELECT *, substr(whole, chunk * {CHUNK_CHARS} + 1, {CHUNK_CHARS}) AS text FROM (
+    SELECT *, unnest(range((length(whole) + {CHUNK_CHARS - 1}) // {CHUNK_CHARS})) AS chunk FROM ({{}})))"""
+    joined = "SELECT category, string_agg(summary, ' ' ORDER BY row_id) AS whole FROM theme_texts {} GROUP BY category"
     return {
+        "category_chunks": f"WITH {THEME_TEXTS} {cut.format(joined.format(''))}",
+        "category_chunks_top5": f"WITH {THEME_TEXTS} {cut.format(joined.format(f'WHERE category IN ({top5})'))}",
+        "context_chunks": cut.format(f"SELECT string_agg({paragraph}, chr(10) ORDER BY doc_id) AS whole FROM documents"),
         "text_by_category_all": f"WITH {THEME_TEXTS} {rolled.format('')}",
         "text_by_category_top5": f"WITH {THEME_TEXTS} {rolled.format(f'WHERE category IN ({top5})')}",
         "entity_context": f"""SELECT doc_id // {ROWS_PER_CHUNK} AS chunk, count(*) AS n_rows,

@@ -20,6 +20,7 @@ CATEGORIES = ["Brand#1", "Brand#3", "Brand#7", "Brand#12"]
 CHOSEN_NAMES = ["red gear", "cold ring"]
 PAGE_GROUPS = ["fr", "de"]
 ROWS_PER_CHUNK = 250
+CHUNK_CHARS = 100_000
 BLOCK_TURNS = 4
 PAGE_CHARS = 500
 
@@ -125,6 +126,9 @@ def _texts() -> dict[str, Query]:
     return {
         "text_by_category_top5": lambda spark, folder: texts.text_by_category(inputs.theme_texts(spark, folder), 5, ROWS_PER_CHUNK),
         "text_by_category_all": lambda spark, folder: texts.text_by_category(inputs.theme_texts(spark, folder), None, ROWS_PER_CHUNK),
+        "category_chunks": lambda spark, folder: texts.category_chunks(inputs.theme_texts(spark, folder), None, CHUNK_CHARS),
+        "category_chunks_top5": lambda spark, folder: texts.category_chunks(inputs.theme_texts(spark, folder), 5, CHUNK_CHARS),
+        "context_chunks": lambda spark, folder: texts.context_chunks(inputs.roles(spark, folder), CHUNK_CHARS),
         "entity_context": lambda spark, folder: texts.entity_context(inputs.roles(spark, folder), ROWS_PER_CHUNK),
         "summary_key_terms": lambda spark, folder: summaries.key_terms(inputs.theme_texts(spark, folder)),
         "summarize_map": lambda spark, folder: summaries.summarize_map(inputs.theme_texts(spark, folder)),
