@@ -134,6 +134,17 @@ def test_jump_equals_the_scalar_loop_and_moves_only_to_the_new_shard():
     assert set(jump(octets, 1)) == {0}
 
 
+def test_a_repeated_key_or_row_is_never_one_group(spark):
+    rows = [(7, f"text {i % 150}", "x") for i in range(300)] + [(7, "same", "x")] * 200 + [(None, "same", "x")] * 90 + [(i, "b", "y") for i in range(300)]
+    got = shard_documents(docs_of(spark, rows), 4, block_rows=20).collect()
+    want = sorted((-1 if i is None else i, len(t) + 1, zlib.crc32(t.encode())) for i, t, _ in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size, r.text_crc32) for r in got) == want
+    for shard in range(4):
+        slots = sorted(r.slot for r in got if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert {r.shard for r in got if r.doc_id == 7} == {int(jump_reference(7, 4))}
+
+
 def test_shards_have_gapless_slots(spark):
     rows = [*ROWS, *((i, f"t{i}", "x") for i in range(100, 400))]
     got = shard_documents(docs_of(spark, rows), 16, block_rows=7).collect()

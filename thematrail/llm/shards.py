@@ -52,23 +52,34 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
     key 0 goes. Repeated rows each get a slot of their own. Other columns are left out,
     an empty table gives none.
 
-    Slots are numbered in blocks whose number grows with the table: counts per block
-    are summed up to offsets, so no shard is ever sorted as one group.
+    Rows alike in all these columns are counted first and become rows again at the end, in runs
+    of at most ``block_rows``, so neither a repeated key nor a repeated row is one group. Slots are
+    numbered in blocks whose number grows with the table: counts per block are summed up to
+    offsets, so no shard is ever sorted as one group.
     """
     counted = docs.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("bigint")).scalar()
-    placed = docs.select(F.col(key), F.col(text), stable_key(docs, key).alias("key"))
-    placed = placed.withColumn("shard", shard_column(F.col("key"), shards)).withColumn("grown_shard", shard_column(F.col("key"), shards + 1))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("key"), counted))
-    sizes = placed.groupBy("shard", "block").agg(F.count(F.lit(1)).alias("n"))
+    octets = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
+    rows = docs.select(
+        F.col(key), stable_key(docs, key).alias("stable"), (F.octet_length(octets).cast("bigint") + 1).alias("size"), F.crc32(octets).alias("text_crc32"),
+    )
+    alike = [key, "stable", "size", "text_crc32"]
+    kinds = rows.groupBy(*alike).agg(F.count(F.lit(1)).alias("n"))
+    kinds = kinds.withColumn("shard", shard_column(F.col("stable"), shards)).withColumn("grown_shard", shard_column(F.col("stable"), shards + 1))
+    kinds = kinds.withColumn("block", F.pmod(F.xxhash64("stable", "size", "text_crc32"), counted))
+    sizes = kinds.groupBy("shard", "block").agg(F.sum("n").alias("n"))
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    octets = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rows = placed.select(
-        F.col(key), "key", "shard", "grown_shard", "block",
-        (F.octet_length(octets).cast("bigint") + 1).alias("size"), F.crc32(octets).alias("text_crc32"),
+    inside = Window.partitionBy("shard", "block").orderBy("stable", "size", "text_crc32", F.col(key).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    placed = kinds.join(offsets, ["shard", "block"]).withColumn("start", F.col("start") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    placed = placed.select(key, "size", "text_crc32", "shard", "grown_shard", "start", "n")
+    # many rows alike: their runs are dealt out before they become rows
+    runs = placed.filter(F.col("n") > block_rows).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(n - 1) div {int(block_rows)}"))).alias("run"))
+    runs = runs.select(
+        key, "size", "text_crc32", "shard", "grown_shard", (F.col("start") + F.col("run") * block_rows).alias("start"),
+        F.least(F.col("n") - F.col("run") * block_rows, F.lit(block_rows)).alias("n"),
     )
-    inside = Window.partitionBy("shard", "block").orderBy("key", "size", "text_crc32")
-    return rows.join(offsets, ["shard", "block"]).select(
-        F.col(key), "size", "text_crc32", F.lit("key").alias("law"), "shard",
-        (F.col("start") + F.row_number().over(inside) - 1).alias("slot"), "grown_shard",
+    placed = placed.filter(F.col("n") <= block_rows).unionByName(runs.repartition("shard", "start"))
+    return placed.select(
+        key, "size", "text_crc32", F.lit("key").alias("law"), "shard",
+        F.explode(F.sequence("start", F.col("start") + F.col("n") - 1)).alias("slot"), "grown_shard",
     )
