@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from thematrail.llm.density import extract_text, main_text
-from thematrail.llm.fixity import archive_index, audit
+from thematrail.llm.fixity import archive_index, audit, audit_replicas, record_table
 from thematrail.llm.language import fit_trigrams, identify_documents, in_known_language, trigram_slots
 from thematrail.llm.licences import LICENCES, scan_licences
 
@@ -210,6 +210,50 @@ def test_audit_of_odd_rows(spark):
     assert audit(archive_index(pages.limit(0))).count() == 0
 
 
+def brute_audit(ours, theirs):
+    """What differs between two sets of (file, offset, digest), record by record."""
+    out = []
+    for file in {f for f, _, _ in ours | theirs}:
+        a, b = ([(o, d) for f, o, d in sorted(x - y) if f == file] for x, y in ((ours, theirs), (theirs, ours)))
+        for digest in {d for _, d in a} & {d for _, d in b}:
+            pairs = list(zip([r for r in a if r[1] == digest], [r for r in b if r[1] == digest]))
+            out += [(file, "moved", x[0], y[0], digest, digest) for x, y in pairs]
+            a, b = ([r for r in side if r not in {p[k] for p in pairs}] for k, side in enumerate((a, b)))
+        a, b = dict(a), dict(b)
+        for offset in a.keys() | b.keys():
+            status = "surplus" if offset not in a else "missing" if offset not in b else "corrupt"
+            out.append((file, status, offset if offset in a else None, offset if offset in b else None, a.get(offset), b.get(offset)))
+    return sorted(out, key=str)
+
+
+def test_two_replicas_with_offsets_of_their_own(spark):
+    kind = "page_id bigint, url string, html string, offset string"
+    pages = [(i, "u", f"{i % 11} " * (i % 300), "x") for i in range(2500)] + [(None, "u", "y", "x")] * 5 + [(40, "u", "z" * 90_000, "x")]
+    lost = [p for p in pages if p[0] not in (3, 1999, 2400)] + [(2400, "u", "other", "x"), (2700, "u", "new", "x"), (9999, "u", "far", "x")]
+    lost = [(i, u, h + "!" if i in (100, 1500) else h, o) for i, u, h, o in lost]
+    a, b = (record_table(spark.createDataFrame(x, kind), file_records=200) for x in (pages, lost))
+    sides = [{(r.file, r.offset, r.digest) for r in x.collect()} for x in (a, b)]
+    for one, two, left, right in ((a, b, 0, 1), (b, a, 1, 0), (a, a.limit(0), 0, None)):
+        got = sorted(((r.file, r.status, r.offset, r.replica_offset, r.digest, r.replica_digest) for r in audit_replicas(one, two).collect()), key=str)
+        assert got == brute_audit(sides[left], sides[right] if right is not None else set())
+        assert right is None or {g[1] for g in got} == {"moved", "missing", "surplus"} or "corrupt" in {g[1] for g in got}
+    assert audit_replicas(a, a).count() == 0 and audit_replicas(a.limit(0), a.limit(0)).count() == 0
+
+
+def test_only_the_replica_has_a_range(spark):
+    kind = "file bigint, offset bigint, digest string"
+    ours = [(0, 0, "a"), (0, 10, "b"), (5, 0, "c")]
+    theirs = [*ours, (0, 10**7, "d"), (77, 0, "e"), (None, 0, "f"), (3, None, "f")]
+    got = audit_replicas(spark.createDataFrame(ours, kind), spark.createDataFrame(theirs, kind)).collect()
+    assert sorted((r.file, r.status, r.offset, r.replica_offset) for r in got) == [(0, "surplus", None, 10**7), (77, "surplus", None, 0)]
+
+
+def test_records_without_an_id_are_dealt_to_files_of_bounded_size(spark):
+    pages = spark.range(3000).select(F.lit(None).cast("bigint").alias("page_id"), F.col("id").cast("string").alias("url"), F.lit("x").alias("html"))
+    sizes = [r["count"] for r in archive_index(pages, file_records=100).groupBy("file").count().collect()]
+    assert len(sizes) == 30 and max(sizes) < 200
+
+
 def test_languages_of_held_out_documents(spark):
     docs, pages = (spark.read.parquet(f"{FOLDER}/{t}.parquet") for t in ("documents", "pages"))
     held_out = F.col("doc_id") % 2 == 0
