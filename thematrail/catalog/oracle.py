@@ -350,6 +350,8 @@ def _retrieval() -> dict[str, str]:
     return {
         "knn_top10": f"WITH {_nearest(10)} {shown}",
         "knn_by_blocks": f"WITH {_nearest(10)} {shown}",
+        "knn_by_cells": f"WITH {_nearest(10)} {shown}",
+        "knn_by_cells_filtered": f"WITH {_nearest(10, groups)} {shown}",
         "knn_empty_selection": f"WITH {_nearest(10)} {shown}",
         "knn_filtered_pre": f"WITH {_nearest(10, groups)} {shown}",
         "knn_group_replaces_entity": f"WITH {_nearest(10, groups)} {shown}",

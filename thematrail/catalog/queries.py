@@ -3,10 +3,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import conversation, cooccurrence, extraction, filters, lexicon, names, postings, retrieval, shares, summaries, texts
+from ..operators import cells, conversation, cooccurrence, extraction, filters, lexicon, names, postings, retrieval, shares, summaries, texts
 from ..plans import reports
 from ..session import shared_folder
 from ..sources import cached, canonical, load_csv, load_pages, write_report
@@ -148,6 +148,10 @@ def _retrieval() -> dict[str, Query]:
             **{name: value() if callable(value) else value for name, value in options.items()},
         )
 
+    def by_cells(spark: SparkSession, folder: str, wanted: Column | None = None) -> DataFrame:
+        index = cells.build_cells(inputs.vectors(spark, folder), f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}")
+        return cells.cell_search(index, inputs.label_queries(spark, folder), where=wanted)
+
     def sources(spark: SparkSession, folder: str) -> DataFrame:
         return retrieval.list_sources(nearest()(spark, folder), inputs.page_texts(spark, folder))
 
@@ -180,6 +184,8 @@ def _retrieval() -> dict[str, Query]:
         "knn_group_replaces_entity": nearest(where=lambda: where(entities=["src1"], groups=PAGE_GROUPS), mode="pre"),
         "knn_empty_selection": nearest(where=lambda: where(entities=[], groups=[])),
         "knn_by_blocks": nearest(max_queries=3),
+        "knn_by_cells": by_cells,
+        "knn_by_cells_filtered": lambda spark, folder: by_cells(spark, folder, where(groups=PAGE_GROUPS)),
         "list_sources": sources,
         "stuff_context": lambda spark, folder: retrieval.stuff_context(sources(spark, folder)),
         "history_before": lambda spark, folder: conversation.history_before(inputs.turns(spark, folder)),
