@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from . import inputs
-from .queries import BLOCK_TURNS, CATEGORIES, CHOSEN_NAMES, CHUNK_CHARS, GROUPS, PAGE_CHARS, PAGE_GROUPS, ROWS_PER_CHUNK
+from .queries import BLOCK_TURNS, CATEGORIES, CHOSEN_NAMES, CHUNK_CHARS, GRAPH_ROUNDS, GROUPS, PAGE_CHARS, PAGE_GROUPS, ROWS_PER_CHUNK
 
 
 # white space that is stripped from names and sentences
@@ -106,6 +106,30 @@ chosen AS (
 summaries AS (SELECT category, string_agg(sentence, ' ' ORDER BY row_id, pos) AS summary FROM chosen GROUP BY category)"""
 
 
+def _sentence_graph(rows: str, rounds: int) -> str:
+    """Scores of the sentences of each category of ``rows`` by power iteration over their shared words."""
+    steps = "".join(f""",
+scaled{i} AS MATERIALIZED (
+  SELECT category, term, w * y AS wy, max(w * y) OVER (PARTITION BY category) // 1000000 + 1 AS d FROM strengths{i}),
+valued{i + 1} AS MATERIALIZED (
+  SELECT category, row_id, pos, sum(wy) // (any_value(n_terms) + 8) // any_value(d) AS x FROM links JOIN scaled{i} USING (category, term) GROUP BY ALL),
+strengths{i + 1} AS MATERIALIZED (
+  SELECT category, term, any_value(w) AS w, sum(x) AS y FROM links JOIN valued{i + 1} USING (category, row_id, pos) GROUP BY ALL)""" for i in range(rounds))
+    return rf"""nodes AS MATERIALIZED (
+  SELECT *, list_distinct(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}]+')) AS terms FROM (
+    SELECT category, row_id, unnest(found) AS sentence, generate_subscripts(found, 1) AS pos
+    FROM (SELECT category, row_id, {_split_sentences('summary')} AS found FROM {rows}))
+  QUALIFY row_number() OVER (PARTITION BY category, sentence ORDER BY row_id, pos) = 1),
+held AS MATERIALIZED (SELECT category, row_id, pos, len(terms) AS n_terms, unnest(terms) AS term FROM nodes),
+weights AS MATERIALIZED (
+  SELECT category, term, n, length(bin(n_all // n)) - 1 AS w FROM (SELECT category, term, count(*) AS n FROM held GROUP BY ALL)
+  JOIN (SELECT category, count(*) AS n_all FROM nodes GROUP BY ALL) USING (category) WHERE n * 2 <= n_all),
+links AS MATERIALIZED (SELECT * FROM held JOIN weights USING (category, term)),
+strengths0 AS MATERIALIZED (SELECT category, term, w, n * 1000000 AS y FROM weights){steps},
+scored AS (
+  SELECT category, row_id, pos, sentence, CAST(coalesce(x, 0) AS BIGINT) AS score FROM nodes LEFT JOIN valued{rounds} USING (category, row_id, pos))"""
+
+
 def _found(lexicon: dict, table: str, rows: str = "", sizes: list[int] | None = None) -> str:
     """Sentences, word runs and term hits of every document; instead of a lexicon, the SQL of its ``rows`` and the sizes of its terms."""
     terms = _terms(lexicon)
@@ -317,7 +341,11 @@ FROM theme_texts {{}} GROUP BY ALL"""
   SELECT *, substr(whole, chunk * {CHUNK_CHARS} + 1, {CHUNK_CHARS}) AS text FROM (
     SELECT *, unnest(range((length(whole) + {CHUNK_CHARS - 1}) // {CHUNK_CHARS})) AS chunk FROM ({{}})))"""
     joined = "SELECT category, string_agg(summary, ' ' ORDER BY row_id) AS whole FROM theme_texts {} GROUP BY category"
+    graph = f"WITH {THEME_TEXTS}, {_sentence_graph('theme_texts', GRAPH_ROUNDS)}"
     return {
+        "sentence_ranks": f"{graph} SELECT category, row_id, sentence, score FROM scored",
+        "graph_summaries": f"""{graph} SELECT category, string_agg(sentence, ' ' ORDER BY row_id, pos) AS summary FROM (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY category ORDER BY score DESC, row_id, pos) <= 3) GROUP BY category""",
         "category_chunks": f"WITH {THEME_TEXTS} {cut.format(joined.format(''))}",
         "category_chunks_top5": f"WITH {THEME_TEXTS} {cut.format(joined.format(f'WHERE category IN ({top5})'))}",
         "context_chunks": cut.format(f"SELECT string_agg({paragraph}, chr(10) ORDER BY doc_id) AS whole FROM documents"),

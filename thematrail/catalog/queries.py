@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cells, conversation, cooccurrence, extraction, filters, lexicon, names, postings, retrieval, shares, summaries, texts
+from ..operators import cells, conversation, cooccurrence, extraction, filters, lexicon, names, postings, retrieval, sentence_graph, shares, summaries, texts
 from ..plans import reports
 from ..session import shared_folder
 from ..sources import cached, canonical, load_csv, load_pages, write_report
@@ -21,6 +21,7 @@ CHOSEN_NAMES = ["red gear", "cold ring"]
 PAGE_GROUPS = ["fr", "de"]
 ROWS_PER_CHUNK = 250
 CHUNK_CHARS = 100_000
+GRAPH_ROUNDS = 5
 BLOCK_TURNS = 4
 PAGE_CHARS = 500
 
@@ -123,7 +124,13 @@ def _texts() -> dict[str, Query]:
     def reduced(spark: SparkSession, folder: str) -> DataFrame:
         return summaries.summarize_reduce(summaries.summarize_map(inputs.theme_texts(spark, folder)))
 
+    def ranked(spark: SparkSession, folder: str) -> DataFrame:
+        graph = sentence_graph.SentenceGraph(inputs.theme_texts(spark, folder), f"{shared_folder(spark)}/sentences-{uuid.uuid4().hex}")
+        return graph.scores(GRAPH_ROUNDS, None)  # so many rounds as the SQL
+
     return {
+        "sentence_ranks": lambda spark, folder: ranked(spark, folder).drop("at"),
+        "graph_summaries": lambda spark, folder: sentence_graph.graph_summaries(ranked(spark, folder)),
         "text_by_category_top5": lambda spark, folder: texts.text_by_category(inputs.theme_texts(spark, folder), 5, ROWS_PER_CHUNK),
         "text_by_category_all": lambda spark, folder: texts.text_by_category(inputs.theme_texts(spark, folder), None, ROWS_PER_CHUNK),
         "category_chunks": lambda spark, folder: texts.category_chunks(inputs.theme_texts(spark, folder), None, CHUNK_CHARS),
