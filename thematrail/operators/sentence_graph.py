@@ -14,12 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sentences, words
-from ..sources import write_report
 from .shares import known
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -30,7 +30,7 @@ SCALE = 1_000_000
 #: Words added to the length of every sentence.
 MORE_WORDS = 8
 
-#: Words of all categories whose strengths are sent to the tasks (24 bytes each); of more, strengths are joined.
+#: Words of all categories that are sent to the tasks with their numbers, and then with their strengths; more are joined.
 MAX_TERMS = 2_000_000
 
 NODE = ["category", "row_id", "at"]
@@ -51,7 +51,7 @@ class SentenceGraph:
         nodes = single.select("category", "place.row_id", "place.at", "sentence", F.array_distinct(words(F.col("sentence"))).alias("terms"))
         self.nodes = self._kept("nodes", nodes)
         sizes = self.nodes.groupBy("category").agg(F.count("*").alias("n_all"))
-        held = self.nodes.select(*NODE, F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+        held = self.nodes.select(*NODE, F.explode("terms").alias("term"))
         counted = held.groupBy("category", "term").agg(F.count("*").alias("n")).join(sizes, "category").filter("n * 2 <= n_all")
         weighed = counted.select("category", "term", "n", F.expr("length(bin(n_all div n)) - 1").cast("bigint").alias("w"))
         # numbered without gaps: places within the files, after the sizes of the files before
@@ -62,16 +62,50 @@ class SentenceGraph:
         starts = files.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
         numbered = placed.join(starts, file == F.col("file")).select((F.col("start") + within).alias("id"), "category", "term", "n", "w")
         self.terms = self._kept("terms", numbered)
-        links = held.join(self.terms.select("category", "term", "id", "w"), ["category", "term"])
-        self.links = self._kept("links", links.groupBy(*NODE).agg(F.first("n_terms").alias("n_terms"), F.collect_list("id").alias("ids")))
         n_terms, n_nodes = self.terms.count(), self.nodes.count()
-        longest = self.links.agg(F.max(F.size("ids"))).first()[0] or 0
+        longest = self.nodes.agg(F.max(F.size("terms"))).first()[0] or 0
         # a word's weight times its strength is at most half of all nodes times SCALE; sums in 64 bits must hold that for every word of a sentence
         self.sent = n_terms <= max_terms and SCALE * n_nodes // 2 * longest < 2**63
         self.n_terms, self.spark = n_terms, spark
+        if self.sent:
+            links = self._numbered_in_place()
+        else:
+            grouped = held.join(self.terms, ["category", "term"]).groupBy(*NODE).agg(F.collect_list("id").alias("ids"))
+            sized = self.nodes.select(*NODE, "sentence", F.size("terms").alias("n_terms"))
+            links = sized.join(grouped, NODE, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
+        self.links = self._kept("links", links)
+
+    def _numbered_in_place(self) -> DataFrame:
+        """Every sentence with the ids of its words that weigh; at most MAX_TERMS words are sent to the tasks, and no row moves."""
+        table = self.terms.select("id", "category", "term").orderBy("category", "id").toArrow()
+        sets = {}
+        for category, rows in table.to_pandas().groupby("category", sort=False):
+            sets[category] = pa.array(rows["term"], pa.string()), rows["id"].to_numpy()
+        shared = self.spark.sparkContext.broadcast(sets)
+
+        def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                terms, own = batch.column("terms"), batch.column("category").dictionary_encode()
+                sizes = terms.value_lengths().to_numpy().astype(np.int64)
+                flat, node = terms.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+                of, ids = own.indices.to_numpy()[node], np.full(len(node), -1, np.int64)
+                for at, category in enumerate(own.dictionary.to_pylist()):
+                    if category in shared.value:
+                        names, numbers = shared.value[category]
+                        held = np.flatnonzero(of == at)
+                        found = pc.index_in(flat.take(pa.array(held)), value_set=names).to_numpy(zero_copy_only=False)
+                        ids[held] = np.where(np.isnan(found), -1, numbers[np.nan_to_num(found).astype(np.int64)])
+                ends = np.concatenate(([0], np.cumsum(np.bincount(node[ids >= 0], minlength=len(sizes)))))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[ids >= 0]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(name) for name in [*NODE, "sentence"]), pa.array(sizes, pa.int32()), lists], names=[*NODE, "sentence", "n_terms", "ids"]
+                )
+
+        kinds = dict(self.nodes.dtypes)
+        return self.nodes.mapInArrow(numbered, ", ".join(f"{name} {kinds[name]}" for name in [*NODE, "sentence"]) + ", n_terms int, ids array<bigint>")
 
     def _kept(self, name: str, table: DataFrame) -> DataFrame:
-        write_report(table, f"{self.folder}/{name}")
+        table.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
         return table.sparkSession.read.schema(table.schema).parquet(f"{self.folder}/{name}")
 
     def scores(self, rounds: int = 30, tolerance: float | None = 0.001) -> DataFrame:
@@ -85,9 +119,7 @@ class SentenceGraph:
                 moved = strengths.join(old, "id").agg(F.max(F.abs(F.col("share") - F.col("old")))).first()[0]
                 if moved is None or moved <= tolerance:
                     break
-        found = self._valued(strengths)
-        joined = self.nodes.join(found, NODE, "left")
-        return joined.select("category", "row_id", "at", "sentence", F.coalesce("x", F.lit(0)).cast("bigint").alias("score"))
+        return self._valued(strengths).select(*NODE, "sentence", F.col("x").alias("score"))
 
     def _strengths(self, sums: DataFrame) -> DataFrame:
         """Strengths y of all words, with the divisor d that keeps the next values of sentences below SCALE."""
@@ -109,7 +141,7 @@ class SentenceGraph:
         """Sums of the sentences' next values by word: ``id, y``."""
         if not self.sent:
             valued = self._valued(strengths)
-            return self.links.join(valued, NODE).select(F.explode("ids").alias("id"), "x").groupBy("id").agg(F.sum("x").alias("y"))
+            return valued.select(F.explode("ids").alias("id"), "x").groupBy("id").agg(F.sum("x").alias("y"))
         shared, n_terms = self._sent(strengths), self.n_terms
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,33 +159,35 @@ class SentenceGraph:
         return self.terms.select("id").join(found, "id", "left").select("id", F.coalesce("y", F.lit(0)).alias("y"))
 
     def _valued(self, strengths: DataFrame) -> DataFrame:
-        """The next value x of every sentence that has a word which weighs."""
+        """The next value x of every sentence; 0 where no word weighs."""
         if not self.sent:
             links = self.links.select(*NODE, "n_terms", F.explode("ids").alias("id")).join(strengths, "id")
             summed = links.groupBy(*NODE).agg(
                 F.sum(F.col("w").cast("decimal(10,0)") * F.col("y").cast("decimal(20,0)")).alias("z"), F.first("n_terms").alias("n"), F.first("d").alias("d")
             )
-            return summed.select(*NODE, F.expr(f"z div (n + {MORE_WORDS}) div d").alias("x"))
+            found = self.links.drop("n_terms").join(summed.select(*NODE, F.expr(f"z div (n + {MORE_WORDS}) div d").alias("x")), NODE, "left")
+            return found.withColumn("x", F.coalesce("x", F.lit(0)).cast("bigint"))
         shared = self._sent(strengths)
 
         def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = _values(batch, *shared.value)[0]
-                yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in NODE), pa.array(x)], names=[*NODE, "x"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in [*NODE, "sentence"]), pa.array(x)], names=[*NODE, "sentence", "x"])
 
         kinds = dict(self.links.dtypes)
-        return self.links.mapInArrow(valued, ", ".join(f"{name} {kinds[name]}" for name in NODE) + ", x bigint")
+        return self.links.mapInArrow(valued, ", ".join(f"{name} {kinds[name]}" for name in [*NODE, "sentence"]) + ", x bigint")
 
 
 def _values(batch: pa.RecordBatch, values: np.ndarray, divisors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The values of a batch's sentences, all their word ids in a row, and how many each has (at least one)."""
+    """The values of a batch's sentences, all their word ids in a row, and how many each has."""
     ids = batch.column("ids")
     flat, sizes = ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64)
-    if not len(sizes):
-        return np.empty(0, np.int64), flat, sizes
-    starts = np.cumsum(sizes) - sizes
-    sums = np.add.reduceat(values[flat], starts)
-    return sums // (batch.column("n_terms").to_numpy() + MORE_WORDS) // divisors[flat[starts]], flat, sizes
+    x, linked = np.zeros(len(sizes), np.int64), np.flatnonzero(sizes)
+    if len(linked):
+        starts = (np.cumsum(sizes) - sizes)[linked]
+        sums = np.add.reduceat(values[flat], starts)
+        x[linked] = sums // (batch.column("n_terms").to_numpy()[linked] + MORE_WORDS) // divisors[flat[starts]]
+    return x, flat, sizes
 
 
 def graph_summaries(scored: DataFrame, n: int = 3) -> DataFrame:
