@@ -303,3 +303,59 @@ def test_lines_of_very_many_statements_and_years_do_not_overflow(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(hard)], "i int, text string").select("i", canonical_lines(F.col("text")).alias("lines"))
     found = {r.i: r.lines for r in rows.collect()}
     assert [found[i] for i in range(4)] == [[]] * 4 and found[4][0].startswith("licensed under the mit license")
+
+
+def test_fusion_equals_a_plain_loop_over_rows(spark):
+    """``identify`` against sums and products of one row at a time, worked out from the definition."""
+    import math
+
+    from thematrail.llm.language import ACCEPTED, FACTOR_COUNT, PRIOR_COUNT, UNKNOWN_SHARE, identify
+
+    languages, rng = ("de", "en"), np.random.default_rng(8)
+    names, start = ["de", "en", "und"], [(1 - UNKNOWN_SHARE) / 2] * 2 + [UNKNOWN_SHARE]
+    hosts = ["a.x.de", "b.x.de", "x.de", "www.y.en", "z.en", "plain", "", None]
+    rows = []
+    for at in range(240):
+        host = hosts[0] if at % 3 == 0 else hosts[rng.integers(len(hosts))]  # one host holds a third of all rows
+        likelihood = [float(v) for v in rng.normal(scale=1 + at % 4, size=3)]
+        trigrams = int(at % 17 > 0) * 5
+        rows.append((at, trigrams, likelihood if trigrams else [0.0] * 3, [None, "de", "en", "fr"][rng.integers(4)], host))
+    rows.append(rows[5])  # repeated rows count each
+    table = spark.createDataFrame(rows, "doc_id bigint, trigrams bigint, likelihood array<double>, declared string, host string")
+    found = sorted((r.doc_id, r.identified, round(r.confidence, 9), r.accepted) for r in identify(table, languages).collect())
+
+    def shares(logs):
+        weights = [math.exp(v - max(logs)) for v in logs]
+        return [w / sum(weights) for w in weights]
+
+    def domain(host):
+        return ".".join(host.split(".")[-2:]) if host is not None else None
+
+    def suffix(host):
+        return host.split(".")[-1] if host and "." in host else None
+
+    keys = [{"domain": domain(h), "host": h, "declared": d, "suffix": suffix(h)} for _, _, _, d, h in rows]
+    alone = [shares([v + math.log(s) for v, s in zip(x, start)]) if n else [0.0] * 3 for _, n, x, _, _ in rows]
+
+    def others(at, key=None):
+        """Text posteriors of all other rows that agree in the key."""
+        held = [o for i, o in enumerate(alone) if i != at and (key is None or keys[i][key] == keys[at][key])]
+        return [sum(o[c] for o in held) for c in range(3)]
+
+    expected = []
+    for at, (doc_id, n, likelihood, _, _) in enumerate(rows):
+        whole = others(at)
+        prior = [(h + PRIOR_COUNT * s) / (sum(whole) + PRIOR_COUNT) for h, s in zip(whole, start)]
+        for key in ("domain", "host"):
+            held = others(at, key) if keys[at][key] is not None else [0.0] * 3
+            prior = [(h + PRIOR_COUNT * p) / (sum(held) + PRIOR_COUNT) for h, p in zip(held, prior)]
+        logs = [math.log(p) + v for p, v in zip(prior, likelihood)]
+        for key in ("declared", "suffix"):
+            if keys[at][key] is not None:
+                kinds = len({k[key] for k in keys} - {None})
+                logs = [v + math.log((h + FACTOR_COUNT) / (w + FACTOR_COUNT * (kinds + 1))) for v, h, w in zip(logs, others(at, key), whole)]
+        chances = shares(logs)
+        best = names[chances.index(max(chances))]
+        expected.append((doc_id, best if n else "und", round(max(chances), 9), bool(n) and best != "und" and max(chances) >= ACCEPTED))
+    assert [f[:2] + f[3:] for f in found] == [e[:2] + e[3:] for e in sorted(expected)]
+    assert np.allclose([f[2] for f in found], [e[2] for e in sorted(expected)], atol=1e-8)
