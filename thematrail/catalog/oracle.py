@@ -253,8 +253,13 @@ EXPANDED = """added AS MATERIALIZED (
 more AS MATERIALIZED (SELECT * FROM asked UNION ALL SELECT conv_id, turn, term, weight FROM added)"""
 
 
+#: Figures that are also answered from stored sums.
+STORED = ("category_share", "group_category_share", "top_contributors", "filtered_category_share", "filter_stats")
+
+
 def oracle_sql() -> dict[str, str]:
-    return {name: sql.strip() for name, sql in {**_tables(), **_texts(), **_retrieval(), **_extraction()}.items()}
+    direct = {**_tables(), **_texts(), **_retrieval(), **_extraction()}
+    return {name: sql.strip() for name, sql in {**direct, **{f"stored_{name}": direct[name] for name in STORED}}.items()}
 
 
 def _tables() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cells, conversation, cooccurrence, extraction, filters, lexicon, names, postings, retrieval, sentence_graph, shares, summaries, texts
+from ..operators import cells, conversation, cooccurrence, cube, extraction, filters, lexicon, names, postings, retrieval, sentence_graph, shares, summaries, texts
 from ..plans import reports
 from ..session import shared_folder
 from ..sources import cached, canonical, load_csv, load_pages, write_report
@@ -27,7 +27,7 @@ PAGE_CHARS = 500
 
 
 def queries() -> dict[str, Query]:
-    return {**_sums(), **_selections(), **_graph(), **_names(), **_texts(), **_retrieval(), **_extraction(), **_files()}
+    return {**_sums(), **_stored_sums(), **_selections(), **_graph(), **_names(), **_texts(), **_retrieval(), **_extraction(), **_files()}
 
 
 def _on_mentions(operator: Callable[[DataFrame], DataFrame]) -> Query:
@@ -51,6 +51,30 @@ def _sums() -> dict[str, Query]:
     }
 
 
+def _stored_sums() -> dict[str, Query]:
+    """The dashboard's figures from stored sums, after two loads, of odd and of even rows."""
+
+    def stored(answer: Callable[[cube.ShareCube], DataFrame]) -> Query:
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            rows = inputs.mentions(spark, folder)
+            sums = cube.ShareCube(spark, f"{shared_folder(spark)}/sums-{uuid.uuid4().hex}", "grp string, entity string, category string")
+            even = F.pmod("row_id", F.lit(2)) == 0
+            sums.load(rows.filter(even), "even")
+            sums.load(rows.filter(~even | even.isNull()), "odd")
+            return answer(sums)
+
+        return run
+
+    chosen = {"grp": GROUPS, "category": CATEGORIES}
+    return {
+        "stored_category_share": stored(lambda c: shares.category_share(c.cells(["category"]))),
+        "stored_group_category_share": stored(lambda c: shares.group_category_share(c.cells(["grp", "category"]))),
+        "stored_top_contributors": stored(lambda c: shares.top_contributors(c.cells(["entity"]))),
+        "stored_filtered_category_share": stored(lambda c: shares.category_share(c.cells(["category"], {"grp": GROUPS}))),
+        "stored_filter_stats": stored(lambda c: c.filter_stats(chosen)),
+    }
+
+
 def _selections() -> dict[str, Query]:
     chosen = {"grp": GROUPS, "category": CATEGORIES}
     return {
