@@ -1,7 +1,10 @@
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from thematrail.operators import sentence_graph
 from thematrail.operators.sentence_graph import MORE_WORDS, SCALE, SentenceGraph, graph_summaries
 
 TEXTS = [
@@ -65,3 +68,36 @@ def test_empty_table_and_clashing_names(spark, tmp_path):
     assert SentenceGraph(table, str(tmp_path / "none")).scores(3).count() == 0
     more = rows(spark).selectExpr("*", "1 AS at", "'x' AS term", "2 AS id")
     assert SentenceGraph(more, str(tmp_path / "more")).scores(2, None).count() == len(brute(TEXTS, 1))
+
+
+@pytest.mark.parametrize("max_terms", [4, 0])
+def test_only_words_between_those_sent_and_those_of_one_sentence_are_joined(spark, tmp_path, plan, max_terms):
+    graph = SentenceGraph(rows(spark), str(tmp_path / "graph"), max_terms)
+    joined, single, in_place = graph.links.selectExpr("sum(size(joined))", "sum(n_single)", "sum(size(ids))").first()
+    assert joined and single > 10 and bool(in_place) == bool(max_terms)
+    settled, sent = (g.scores(200, 0.02).count() for g in (graph, SentenceGraph(rows(spark), str(tmp_path / "sent"))))
+    assert settled == sent
+    assert len(list((tmp_path / "graph").glob("values-*"))) == len(list((tmp_path / "sent").glob("values-*"))) < 60
+    found = graph.scores(4, None)
+    assert {(r.category, r.row_id, r.sentence): r.score for r in found.collect()} == brute(TEXTS, 4)
+    assert "hashpartitioning" not in plan(found)  # texts and values lie in the same buckets
+
+
+def test_rows_of_one_key_are_sentences_of_their_own(spark, tmp_path):
+    """Keys that repeat or are null, with words that are joined."""
+    texts = [("a", None, "x y one."), ("a", 1, "x y two."), ("a", 1, "x z three."), ("a", 2, "w v. v z."), ("a", 2, "q q. r.")]
+    found = [{(r.row_id, r.sentence): r.score for r in SentenceGraph(rows(spark, texts), str(tmp_path / str(n)), n).scores(3, None).collect()} for n in (0, 100)]
+    assert found[0] == found[1] and len(found[0]) == 7 and found[0][None, "x y one."] > 0
+
+
+def test_sums_beyond_64_bits_are_exact():
+    weighted = [2**62 + 12345, 2**62 + 1, 2**61 + 7, 5]
+    ids = [[0, 1, 2, 0], [], [3, 2]]
+    batch = pa.RecordBatch.from_pydict({
+        "code": pa.array([0, 0, 0], pa.int32()), "n_terms": pa.array([5, 3, 2], pa.int32()), "n_single": pa.array([1, 2, 0], pa.int32()),
+        "ids": pa.array(ids, pa.list_(pa.int32())), "x": pa.array([9, 11, 0], pa.int64()), "high": pa.array([3, 0, 0], pa.int64()), "low": pa.array([4, 0, 0], pa.int64()),
+    })
+    found = sentence_graph._values(batch, np.array(weighted), np.array([10**13]), np.array([6]))
+    told, own = [3 * 2**31 + 4, 0, 0], [6 * 9, 6 * 2 * 11, 0]
+    sums = [sum(weighted[i] for i in ids[r]) + told[r] + own[r] for r in range(3)]
+    assert sums[0] > 2**63 and found.tolist() == [s // (n + MORE_WORDS) // 10**13 for s, n in zip(sums, [5, 3, 2])]

@@ -4,6 +4,9 @@ The ranking is the leading eigenvector of that graph, found by power iteration.
 its sentences, a sentence as the weighted sum of its words over its length (and a few words more, so that short ones do not win), and one
 round is one pass over the sentences. The matrix so applied is similar to a positive semi-definite one, so rounds do not swing. All numbers are whole: the ranking
 does not depend on the order of sums.
+
+Words are of three kinds. Those of most sentences, MAX_TERMS at most, are sent to the tasks with their strengths. A word of one sentence is as strong as that sentence
+and stays with it as a number. Only what is between them is shuffled, a row for each such word of a sentence, and meets tables that lie in buckets of the same keys.
 """
 
 from __future__ import annotations
@@ -11,12 +14,14 @@ from __future__ import annotations
 import sys
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sentences, words
@@ -30,164 +35,288 @@ SCALE = 1_000_000
 #: Words added to the length of every sentence.
 MORE_WORDS = 8
 
-#: Words of all categories that are sent to the tasks with their numbers, and then with their strengths; more are joined.
+#: Words of all categories that are sent to the tasks with their numbers, and then with their strengths.
 MAX_TERMS = 2_000_000
 
+#: Bits for each word that is neither sent nor of one sentence, up to 2**MOST_BITS bits in all: a word of one sentence is shuffled like them once in so many times.
+BITS_PER_TERM = 16
+MOST_BITS = 28
+
+#: Weighted strengths are summed in two parts, of this many low bits and of the rest, so that no sum is too large for 64 bits.
+LOW_BITS = 31
+
+#: Words whose sums of one task are a row.
+BLOCK = 8192
+
 NODE = ["category", "row_id", "at"]
 
 
+@dataclass
+class Strengths:
+    """Strengths y of all words but those of one sentence, and by category the largest weighted and the largest strength of its words that weigh."""
+
+    sent: np.ndarray
+    joined: DataFrame | None  # term, code, w, y
+    most: np.ndarray
+    top: np.ndarray
+
+
 class SentenceGraph:
     """Sentences and the words that link them, written to a folder that all executors share.
 
     ``texts`` holds (category, row_id, summary); rows without a category or a text are left out. Copies of a sentence in a category are one node, at its first place
     (row_id, then place in the text). A word weighs the whole part of log2(sentences of the category / those with it): words in more than half of them weigh nothing.
+    Sentences and words go by 64-bit hashes, which are drawn anew until no two share one. The categories are sent to the tasks.
     """
 
     def __init__(self, texts: DataFrame, folder: str, max_terms: int = MAX_TERMS):
-        spark, self.folder = texts.sparkSession, folder
+        self.spark, self.folder = texts.sparkSession, folder
+        conf = self.spark.conf
+        self.buckets = int(conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None) or conf.get("spark.sql.shuffle.partitions"))
         rows = known(texts, "category", "summary").select("category", "row_id", "summary")
         cut = rows.select("category", "row_id", F.posexplode(sentences(F.col("summary"))).alias("at", "sentence"))
-        single = cut.groupBy("category", "sentence").agg(F.min(F.struct("row_id", "at")).alias("place"))
-        nodes = single.select("category", "place.row_id", "place.at", "sentence", F.array_distinct(words(F.col("sentence"))).alias("terms"))
-        self.nodes = self._kept("nodes", nodes)
-        sizes = self.nodes.groupBy("category").agg(F.count("*").alias("n_all"))
-        held = self.nodes.select(*NODE, F.explode("terms").alias("term"))
-        counted = held.groupBy("category", "term").agg(F.count("*").alias("n")).join(sizes, "category").filter("n * 2 <= n_all")
-        weighed = counted.select("category", "term", "n", F.expr("length(bin(n_all div n)) - 1").cast("bigint").alias("w"))
-        # numbered without gaps: places within the files, after the sizes of the files before
-        placed = self._kept("placed", weighed.withColumn("mono", F.monotonically_increasing_id()))
-        file, within = F.shiftright("mono", 33), F.col("mono").bitwiseAND(F.lit((1 << 33) - 1))
-        files = placed.groupBy(file.alias("file")).agg(F.count("*").alias("rows"))
-        before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
-        starts = files.select("file", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"))
-        numbered = placed.join(starts, file == F.col("file")).select((F.col("start") + within).alias("id"), "category", "term", "n", "w")
-        self.terms = self._kept("terms", numbered)
-        n_terms, n_nodes = self.terms.count(), self.nodes.count()
-        longest = self.nodes.agg(F.max(F.size("terms"))).first()[0] or 0
-        # a word's weight times its strength is at most half of all nodes times SCALE; sums in 64 bits must hold that for every word of a sentence
-        self.sent = n_terms <= max_terms and SCALE * n_nodes // 2 * longest < 2**63
-        self.n_terms, self.spark = n_terms, spark
-        if self.sent:
-            links = self._numbered_in_place()
-        else:
-            grouped = held.join(self.terms, ["category", "term"]).groupBy(*NODE).agg(F.collect_list("id").alias("ids"))
-            sized = self.nodes.select(*NODE, "sentence", F.size("terms").alias("n_terms"))
-            links = sized.join(grouped, NODE, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<bigint>")))
-        self.links = self._kept("links", links)
-
-    def _numbered_in_place(self) -> DataFrame:
-        """Every sentence with the ids of its words that weigh; at most MAX_TERMS words are sent to the tasks, and no row moves."""
-        table = self.terms.select("id", "category", "term").orderBy("category", "id").toArrow()
-        sets = {}
-        for category, rows in table.to_pandas().groupby("category", sort=False):
-            sets[category] = pa.array(rows["term"], pa.string()), rows["id"].to_numpy()
-        shared = self.spark.sparkContext.broadcast(sets)
+        check = F.xxhash64("category", "sentence")
+        for seed in count(1):
+            single = cut.groupBy(F.xxhash64(F.lit(seed), "category", "sentence").alias("node")).agg(
+                F.min(F.struct("row_id", "at", "category", "sentence")).alias("first"), F.bit_or(check).alias("checks")
+            )
+            self.nodes = self._kept(f"nodes-{seed}", single.select("node", "first.*", "checks").withColumn("checks", F.col("checks") != check), "node")
+            if not self.nodes.agg(F.max("checks")).first()[0]:  # else the copies of a node are not one sentence
+                break
+        sizes = self.nodes.groupBy("category").agg(F.count("*").alias("n")).orderBy("category").collect()
+        self.categories, self.sizes = [r["category"] for r in sizes], np.array([r["n"] for r in sizes], np.int64)
+        held = self.nodes.select("category", F.explode(_own(F.col("sentence"))).alias("word"))
+        counted = held.groupBy("category", "word").agg(F.count("*").alias("n"))
+        for seed in count(1):
+            terms = self._kept(f"terms-{seed}", counted.select("category", F.xxhash64(F.lit(seed), "category", "word").alias("term"), "n"))
+            if not terms.groupBy("term").agg(F.count("*").alias("n")).agg(F.max("n") > 1).first()[0]:
+                break
+        from_n = _sent_from(terms, max_terms)
+        table = terms.filter(F.col("n") >= from_n).toArrow()  # at most max_terms
+        order = np.argsort(table.column("term").to_numpy())
+        self.n = table.column("n").to_numpy()[order]
+        self.code = pc.index_in(table.column("category").combine_chunks(), value_set=pa.array(self.categories, table.schema.field("category").type)).to_numpy()[order]
+        self.w = _weights(self.sizes[self.code], self.n)
+        self.w_single = _weights(self.sizes, np.ones_like(self.sizes))  # of the words of one sentence
+        joined = terms.filter((F.col("n") > 1) & (F.col("n") < from_n)).select("term")
+        n_joined = joined.count()
+        self.sent = not n_joined
+        self.links = self._kept("links", self._numbered(seed, table.column("term").to_numpy()[order], _marked(joined, n_joined)), "node")
+        singles = terms.filter("n = 1").groupBy("category").agg(F.lit(SCALE).cast("bigint").alias("top")).collect()
+        codes = {category: i for i, category in enumerate(self.categories)}
+        self.first_singles = np.zeros(len(codes), np.int64)
+        self.first_singles[[codes[r["category"]] for r in singles]] = SCALE
+        self.spread = None
+        if not self.sent:
+            rare = self.links.filter(F.size("joined") > 0).select("node", "code", F.explode("joined").alias("term"))
+            nodes = rare.groupBy("term").agg(F.first("code").alias("code"), F.collect_list("node").alias("nodes"))
+            all_nodes = self.spark.createDataFrame([(i, int(n)) for i, n in enumerate(self.sizes)], "code int, n_all bigint")
+            n = F.size("nodes").cast("bigint")
+            weighed = nodes.join(F.broadcast(all_nodes), "code").select("term", "code", F.expr("length(bin(n_all div size(nodes))) - 1").cast("bigint").alias("w"), n.alias("n"), "nodes")
+            self.spread = self._kept("spread", weighed, "term")
+
+    def _numbered(self, seed: int, terms: np.ndarray, marks: np.ndarray | None) -> DataFrame:
+        """Every sentence with the places of its words among those sent, the words to join, and how many it alone has; no row moves."""
+        shared = self.spark.sparkContext.broadcast((terms, marks, self.categories))
 
         def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            terms, marks, categories = shared.value
             for batch in batches:
-                terms, own = batch.column("terms"), batch.column("category").dictionary_encode()
-                sizes = terms.value_lengths().to_numpy().astype(np.int64)
-                flat, node = terms.flatten(), np.repeat(np.arange(len(sizes)), sizes)
-                of, ids = own.indices.to_numpy()[node], np.full(len(node), -1, np.int64)
-                for at, category in enumerate(own.dictionary.to_pylist()):
-                    if category in shared.value:
-                        names, numbers = shared.value[category]
-                        held = np.flatnonzero(of == at)
-                        found = pc.index_in(flat.take(pa.array(held)), value_set=names).to_numpy(zero_copy_only=False)
-                        ids[held] = np.where(np.isnan(found), -1, numbers[np.nan_to_num(found).astype(np.int64)])
-                ends = np.concatenate(([0], np.cumsum(np.bincount(node[ids >= 0], minlength=len(sizes)))))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[ids >= 0]))
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(name) for name in [*NODE, "sentence"]), pa.array(sizes, pa.int32()), lists], names=[*NODE, "sentence", "n_terms", "ids"]
-                )
-
-        kinds = dict(self.nodes.dtypes)
-        return self.nodes.mapInArrow(numbered, ", ".join(f"{name} {kinds[name]}" for name in [*NODE, "sentence"]) + ", n_terms int, ids array<bigint>")
-
-    def _kept(self, name: str, table: DataFrame) -> DataFrame:
-        table.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
-        return table.sparkSession.read.schema(table.schema).parquet(f"{self.folder}/{name}")
+                sizes = batch.column("terms").value_lengths().to_numpy().astype(np.int64)
+                flat, node = batch.column("terms").flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+                place = np.searchsorted(terms, flat)
+                sent = place < len(terms)
+                sent[sent] = terms[place[sent]] == flat[sent]
+                joined = ~sent
+                if marks is None:
+                    joined[:] = False
+                else:
+                    bit = flat[joined] & (len(marks) * 8 - 1)
+                    joined[joined] = (marks[bit >> 3] >> (bit & 7)) & 1 > 0
+                single = np.bincount(node[~sent & ~joined], minlength=len(sizes))
+                lists = [
+                    pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(node[own], minlength=len(sizes))))), pa.int32()), pa.array(held[own], kind))
+                    for own, held, kind in ((sent, place, pa.int32()), (joined, flat, pa.int64()))
+                ]
+                code = pc.index_in(batch.column("category"), value_set=pa.array(categories, batch.column("category").type))
+                numbers = [pa.array(x, pa.int32()) for x in (sizes, single)]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), code, *numbers, *lists], names=["node", "code", "n_terms", "n_single", "ids", "joined"])
+
+        hashed = F.transform(_own(F.col("sentence")), lambda word: F.xxhash64(F.lit(seed), "category", word))
+        kinds = "node bigint, code int, n_terms int, n_single int, ids array<int>, joined array<bigint>"
+        return self.nodes.select("node", "category", hashed.alias("terms")).mapInArrow(numbered, kinds)
+
+    def _kept(self, name: str, table: DataFrame, by: str | None = None) -> DataFrame:
+        """``table`` written to the folder; ``by`` a key, it lies in buckets that are joined without a shuffle."""
+        writer, path = table.write.option("compression", "zstd"), f"{self.folder}/{name}"
+        if by is None:
+            writer.parquet(path)
+            return self.spark.read.schema(table.schema).parquet(path)
+        entry = f"sentence_graph_{uuid.uuid4().hex}"
+        writer.format("parquet").bucketBy(self.buckets, by).option("path", path).saveAsTable(entry)
+        kept = self.spark.table(entry)
+        self.spark.sql(f"DROP TABLE {entry}")  # out of the session's catalogue; the files stay
+        return kept
 
     def scores(self, rounds: int = 30, tolerance: float | None = 0.001) -> DataFrame:
         """``category, row_id, at, sentence, score`` of every node, after so many rounds, or once no word's share of its category's
         strongest changes by more than ``tolerance`` (None: never before). A sentence without any word that weighs scores 0."""
-        strengths = self._strengths(self.terms.select("id", (F.col("n") * SCALE).alias("y")))
+        joined = None if self.spread is None else self.spread.select("term", "code", "w", (F.col("n") * SCALE).alias("y"))
+        strengths, values = self._strengths(self.n * SCALE, joined, self.first_singles), None
         for _ in range(1, rounds):
-            earlier, strengths = strengths, self._strengths(self._sums(strengths))
+            earlier, before, values = strengths, values, self._valued(strengths, values)
+            strengths = self._summed(values)
             if tolerance is not None:
-                old = earlier.select("id", F.col("share").alias("old"))
-                moved = strengths.join(old, "id").agg(F.max(F.abs(F.col("share") - F.col("old")))).first()[0]
+                moved = self._moved(earlier, strengths, before, values)
                 if moved is None or moved <= tolerance:
                     break
-        return self._valued(strengths).select(*NODE, "sentence", F.col("x").alias("score"))
-
-    def _strengths(self, sums: DataFrame) -> DataFrame:
-        """Strengths y of all words, with the divisor d that keeps the next values of sentences below SCALE."""
-        held = sums.join(self.terms.select("id", "category", "w"), "id")
-        most = held.groupBy("category").agg(F.max(F.col("w") * F.col("y")).alias("most"), F.max("y").alias("top"))
-        scaled = held.join(most, "category").select(
-            "id", "w", "y", F.expr(f"most div {SCALE} + 1").alias("d"), F.try_divide(F.col("y"), F.col("top")).alias("share")
-        )
-        return self._kept(f"strengths-{uuid.uuid4().hex}", scaled)
-
-    def _sent(self, strengths: DataFrame):
-        table = strengths.select("id", (F.col("w") * F.col("y")).alias("wy"), "d").toArrow()  # at most MAX_TERMS rows
-        ids = table.column("id").to_numpy()
-        values, divisors = np.zeros(self.n_terms, np.int64), np.ones(self.n_terms, np.int64)
-        values[ids], divisors[ids] = table.column("wy").to_numpy(), table.column("d").to_numpy()
-        return self.spark.sparkContext.broadcast((values, divisors))
-
-    def _sums(self, strengths: DataFrame) -> DataFrame:
-        """Sums of the sentences' next values by word: ``id, y``."""
-        if not self.sent:
-            valued = self._valued(strengths)
-            return valued.select(F.explode("ids").alias("id"), "x").groupBy("id").agg(F.sum("x").alias("y"))
-        shared, n_terms = self._sent(strengths), self.n_terms
+        values = self._valued(strengths, values)
+        return self.nodes.join(values, "node").select(*NODE, "sentence", F.col("x").alias("score"))
+
+    def _strengths(self, sent: np.ndarray, joined: DataFrame | None, singles: np.ndarray) -> Strengths:
+        """``singles``: by category the largest value of a sentence that has words of its own."""
+        top = np.where(self.w_single > 0, singles, 0)
+        most, weigh = top * self.w_single, self.w > 0
+        np.maximum.at(most, self.code[weigh], (self.w * sent)[weigh])
+        np.maximum.at(top, self.code[weigh], sent[weigh])
+        if joined is not None:
+            for r in joined.filter("w > 0").groupBy("code").agg(F.max(F.col("w") * F.col("y")).alias("most"), F.max("y").alias("top")).collect():
+                most[r["code"]], top[r["code"]] = max(most[r["code"]], r["most"]), max(top[r["code"]], r["top"])
+        return Strengths(sent, joined, most, top)
+
+    def _summed(self, values: DataFrame) -> Strengths:
+        """Sums of the sentences' values by word."""
+        n_sent, n_codes = len(self.n), len(self.sizes)
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros(n_terms, np.int64)
+            sums = np.zeros(n_sent + n_codes, np.int64)  # of words, and after them the largest values of sentences with words of their own
             for batch in batches:
-                x, flat, sizes = _values(batch, *shared.value)
-                np.add.at(sums, flat, np.repeat(x, sizes))
+                x, sizes = batch.column("x").to_numpy(), batch.column("ids").value_lengths().to_numpy()
+                np.add.at(sums, batch.column("ids").flatten().to_numpy(), np.repeat(x, sizes))
+                own = batch.column("n_single").to_numpy() > 0
+                np.maximum.at(sums, n_sent + batch.column("code").to_numpy()[own], x[own])
+            for start in range(0, len(sums), BLOCK):
+                held = start + np.flatnonzero(sums[start : start + BLOCK])
+                if len(held):
+                    ends = pa.array([0, len(held)], pa.int32())
+                    lists = [pa.ListArray.from_arrays(ends, a) for a in (pa.array(held, pa.int32()), pa.array(sums[held]))]
+                    yield pa.RecordBatch.from_arrays([pa.array([start], pa.int32()), *lists], names=["block", "ids", "y"])
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros(n_sent + n_codes, np.int64)
+            for batch in batches:
+                ids, y = (batch.column(name).flatten().to_numpy() for name in ("ids", "y"))
+                np.add.at(sums, ids[ids < n_sent], y[ids < n_sent])
+                np.maximum.at(sums, ids[ids >= n_sent], y[ids >= n_sent])
             held = np.flatnonzero(sums)
-            for start in range(0, len(held), 65536):
-                part = held[start : start + 65536]
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(sums[part])], names=["id", "y"])
+            for start in range(0, len(held), BLOCK):
+                part = held[start : start + BLOCK]
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(sums[part])], names=["id", "y"])
 
-        found = self.links.select("n_terms", "ids").mapInArrow(added, "id bigint, y bigint").groupBy("id").agg(F.sum("y").alias("y"))
-        # words whose sentences have all come to nothing
-        return self.terms.select("id").join(found, "id", "left").select("id", F.coalesce("y", F.lit(0)).alias("y"))
+        valued = self.links.join(values, "node")
+        parts = valued.select("code", "n_single", "ids", "x").mapInArrow(added, "block int, ids array<int>, y array<bigint>")
+        table = parts.repartition("block").mapInArrow(summed, "id int, y bigint").toArrow()  # at most max_terms, and the categories
+        sums = np.zeros(n_sent + n_codes, np.int64)
+        sums[table.column("id").to_numpy()] = table.column("y").to_numpy()
+        sent, singles = sums[:n_sent], sums[n_sent:]
+        if self.spread is None:
+            return self._strengths(sent, None, singles)
+        sums = valued.filter(F.size("joined") > 0).select(F.explode("joined").alias("term"), "x").groupBy("term").agg(F.sum("x").alias("y"))
+        joined = sums.join(self.spread.select("term", "code", "w"), "term").select("term", "code", "w", "y")
+        return self._strengths(sent, self._kept(f"strengths-{uuid.uuid4().hex}", joined, "term"), singles)
 
-    def _valued(self, strengths: DataFrame) -> DataFrame:
-        """The next value x of every sentence; 0 where no word weighs."""
-        if not self.sent:
-            links = self.links.select(*NODE, "n_terms", F.explode("ids").alias("id")).join(strengths, "id")
-            summed = links.groupBy(*NODE).agg(
-                F.sum(F.col("w").cast("decimal(10,0)") * F.col("y").cast("decimal(20,0)")).alias("z"), F.first("n_terms").alias("n"), F.first("d").alias("d")
-            )
-            found = self.links.drop("n_terms").join(summed.select(*NODE, F.expr(f"z div (n + {MORE_WORDS}) div d").alias("x")), NODE, "left")
-            return found.withColumn("x", F.coalesce("x", F.lit(0)).cast("bigint"))
-        shared = self._sent(strengths)
+    def _valued(self, strengths: Strengths, values: DataFrame | None) -> DataFrame:
+        """The next value x of every sentence from the words' strengths and its own value before; 0 where no word weighs."""
+        links = self.links
+        links = links.join(values, "node", "left") if values is not None else links.withColumn("x", F.lit(SCALE).cast("bigint"))
+        if self.spread is not None:
+            weighed = strengths.joined.filter("w > 0").select("term", (F.col("w") * F.col("y")).alias("wy"))
+            told = weighed.join(self.spread.select("term", "nodes"), "term").select(F.explode("nodes").alias("node"), "wy")
+            high, low = F.shiftright("wy", LOW_BITS), F.col("wy").bitwiseAND(F.lit((1 << LOW_BITS) - 1))
+            links = links.join(told.groupBy("node").agg(F.sum(high).alias("high"), F.sum(low).alias("low")), "node", "left")
+        else:
+            links = links.withColumns({"high": F.lit(0).cast("bigint"), "low": F.lit(0).cast("bigint")})
+        shared = self.spark.sparkContext.broadcast((self.w * strengths.sent, strengths.most // SCALE + 1, self.w_single))
 
         def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                x = _values(batch, *shared.value)[0]
-                yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in [*NODE, "sentence"]), pa.array(x)], names=[*NODE, "sentence", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(_values(batch, *shared.value), pa.int64())], names=["node", "x"])
+
+        used = links.select("node", "code", "n_terms", "n_single", "ids", "x", F.coalesce("high", F.lit(0)).alias("high"), F.coalesce("low", F.lit(0)).alias("low"))
+        return self._kept(f"values-{uuid.uuid4().hex}", used.mapInArrow(valued, "node bigint, x bigint"), "node")
+
+    def _moved(self, earlier: Strengths, now: Strengths, before: DataFrame | None, values: DataFrame) -> float | None:
+        """The largest change of a word's share of its category's strongest."""
+        tops = now.top > 0, earlier.top > 0
+        both = tops[0] & tops[1]
+        weigh = (self.w > 0) & both[self.code]
+        share = lambda s: s.sent[weigh] / s.top[self.code[weigh]]
+        found = [np.abs(share(now) - share(earlier)).max()] if weigh.any() else []
+        rows = [(i, int(a), int(b), bool(w)) for i, (a, b, w) in enumerate(zip(now.top, earlier.top, self.w_single > 0)) if both[i]]
+        largest = F.broadcast(self.spark.createDataFrame(rows, "code int, top bigint, old_top bigint, single boolean"))
+
+        def change(pairs: DataFrame) -> list[float]:
+            most = pairs.join(largest, "code").filter("single").agg(F.max(F.abs(F.col("y") / F.col("top") - F.col("old") / F.col("old_top")))).first()[0]
+            return [] if most is None else [most]
+
+        old = before.select("node", F.col("x").alias("old")) if before is not None else self.links.select("node", F.lit(SCALE).cast("bigint").alias("old"))
+        own = self.links.filter("n_single > 0").select("node", "code").join(values.withColumnRenamed("x", "y"), "node").join(old, "node")
+        found += change(own)
+        if now.joined is not None:
+            found += change(now.joined.filter("w > 0").join(earlier.joined.select("term", F.col("y").alias("old")), "term"))
+        return max(found, default=None)
+
+
+def _own(sentence: Column) -> Column:
+    return F.array_distinct(words(sentence))
+
+
+def _weights(n_all: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The whole part of log2(n_all / n)."""
+    return np.frexp((n_all // n).astype(np.float64))[1].astype(np.int64) - 1
+
+
+def _sent_from(terms: DataFrame, max_terms: int) -> int:
+    """The fewest sentences that a word must be in so that no more than ``max_terms`` words are in so many; two at least."""
+    most, total = 1 << 16, 0
+    by_size = terms.filter("n > 1").groupBy(F.least("n", F.lit(most)).alias("n")).agg(F.count("*").alias("n_terms"))
+    for n, n_terms in sorted(map(tuple, by_size.collect()), reverse=True):  # at most 65,536 rows of two numbers
+        total += n_terms
+        if total > max_terms:
+            return n + 1 if n < most else 1 << 62
+    return 2
+
 
-        kinds = dict(self.links.dtypes)
-        return self.links.mapInArrow(valued, ", ".join(f"{name} {kinds[name]}" for name in [*NODE, "sentence"]) + ", x bigint")
+def _marked(terms: DataFrame, n: int) -> np.ndarray | None:
+    """A bit for each of the ``n`` terms, by the low bits of their hashes, put together by blocks on the executors."""
+    if not n:
+        return None
+    size = 1 << min(MOST_BITS, max(15, (BITS_PER_TERM * n).bit_length()))
+    bit = F.col("term").bitwiseAND(F.lit(size - 1))
+    # blocks and positions begin at 1, as for bitmaps
+    placed = terms.select((bit + 1).alias("bit"))
+    blocks = placed.groupBy(F.bitmap_bucket_number("bit").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("held"))
+    marks = np.zeros(size >> 3, np.uint8)
+    for r in blocks.toLocalIterator():  # at most 2**MOST_BITS bits
+        held = np.frombuffer(bytes(r.held), np.uint8)
+        start = (r.block - 1) * len(held)
+        marks[start : start + len(held)] = held[: len(marks) - start]
+    return marks
 
 
-def _values(batch: pa.RecordBatch, values: np.ndarray, divisors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The values of a batch's sentences, all their word ids in a row, and how many each has."""
-    ids = batch.column("ids")
-    flat, sizes = ids.flatten().to_numpy(), ids.value_lengths().to_numpy().astype(np.int64)
-    x, linked = np.zeros(len(sizes), np.int64), np.flatnonzero(sizes)
+def _values(batch: pa.RecordBatch, weighted: np.ndarray, divisors: np.ndarray, w_single: np.ndarray) -> np.ndarray:
+    """The next values of a batch's sentences; the sums of their words in two parts, so that they are exact whatever their size."""
+    column = lambda name: batch.column(name).to_numpy()
+    sizes, code, mask = batch.column("ids").value_lengths().to_numpy().astype(np.int64), column("code"), (1 << LOW_BITS) - 1
+    high, low = column("high").copy(), column("low") + w_single[code] * column("n_single") * column("x")
+    linked = np.flatnonzero(sizes)
     if len(linked):
-        starts = (np.cumsum(sizes) - sizes)[linked]
-        sums = np.add.reduceat(values[flat], starts)
-        x[linked] = sums // (batch.column("n_terms").to_numpy()[linked] + MORE_WORDS) // divisors[flat[starts]]
-    return x, flat, sizes
+        starts, held = (np.cumsum(sizes) - sizes)[linked], weighted[batch.column("ids").flatten().to_numpy()]
+        high[linked] += np.add.reduceat(held >> LOW_BITS, starts)
+        low[linked] += np.add.reduceat(held & mask, starts)
+    high, low = high + (low >> LOW_BITS), low & mask
+    length = column("n_terms").astype(np.int64) + MORE_WORDS
+    return (((high // length) << LOW_BITS) + (((high % length) << LOW_BITS) + low) // length) // divisors[code]
 
 
 def graph_summaries(scored: DataFrame, n: int = 3) -> DataFrame:
