@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from thematrail.catalog import queries
 from thematrail.operators import sentence_graph
 from thematrail.operators.sentence_graph import MORE_WORDS, SCALE, SentenceGraph, graph_summaries
 
@@ -101,3 +102,56 @@ def test_sums_beyond_64_bits_are_exact():
     told, own = [3 * 2**31 + 4, 0, 0], [6 * 9, 6 * 2 * 11, 0]
     sums = [sum(weighted[i] for i in ids[r]) + told[r] + own[r] for r in range(3)]
     assert sums[0] > 2**63 and found.tolist() == [s // (n + MORE_WORDS) // 10**13 for s, n in zip(sums, [5, 3, 2])]
+
+
+def settled(texts, tolerance):
+    """Scores by ``brute`` after as many rounds as each category takes until no word's share of its strongest moves by more than ``tolerance``, and these rounds."""
+    found, taken = {}, {}
+    for category in {c for c, _, _ in brute(texts, 0)}:
+        rounds, before = 0, None
+        while True:
+            own = {s: v for (c, _, s), v in brute(texts, rounds).items() if c == category}
+            words = {s: set(re.findall(r"[^\W_]+", s.lower())) for s in own}
+            sums = {t: sum(v for s, v in own.items() if t in words[s]) for t in set().union(*words.values()) if 2 * sum(t in w for w in words.values()) <= len(own)}
+            most = max(sums.values(), default=0)
+            now = {t: y / most for t, y in sums.items()} if most else {}
+            if before is not None and (most <= 1 / tolerance or max(abs(now[t] - before[t]) for t in now) <= tolerance):
+                break
+            rounds, before = rounds + 1, now
+        taken[category] = rounds + 1
+        found |= {k: v for k, v in brute(texts, rounds + 1).items() if k[0] == category}
+    return found, taken
+
+
+def test_registered_queries_go_on_until_the_ranking_has_settled(spark, tmp_path):
+    docs = [(i, t, "en", c, 0) for c, i, t in TEXTS]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    exact, rounds = settled(TEXTS, sentence_graph.TOLERANCE)
+    assert rounds["a"] > 8 and len(set(rounds.values())) > 1 and all(any(v for k, v in exact.items() if k[0] == c) for c in "ac")
+    found = queries()["sentence_ranks"](spark, str(tmp_path)).collect()
+    assert {(r.category, r.row_id, r.sentence): r.score for r in found} == exact
+    summaries = {r.category: r.summary for r in queries()["graph_summaries"](spark, str(tmp_path)).collect()}
+    for category in "abc":
+        own = [(s, v) for (c, _, s), v in exact.items() if c == category]  # in reading order
+        chosen = sorted(own, key=lambda one: -one[1])[:3]
+        assert summaries[category] == " ".join(s for s, _ in own if s in dict(chosen))
+
+
+@pytest.mark.parametrize("max_terms", [2_000_000, 0])
+def test_rounds_write_over_those_that_are_not_read_any_more(spark, tmp_path, max_terms):
+    graph = SentenceGraph(rows(spark), str(tmp_path / "graph"), max_terms)
+    found = {(r.category, r.row_id, r.sentence): r.score for r in graph.scores(9, None).collect()}
+    assert found == brute(TEXTS, 9)
+    assert len(list((tmp_path / "graph").glob("values-*"))) == 3
+    assert len(list((tmp_path / "graph").glob("strengths-*"))) == (0 if max_terms else 2)
+    with pytest.raises(ValueError):
+        graph.scores(None, None)
+
+
+def test_whole_numbers_that_come_again_end_the_rounds(spark, tmp_path, monkeypatch):
+    texts = [("a", 1, "x one. x two. y three. y four.")]
+    graph = SentenceGraph(rows(spark, texts), str(tmp_path / "graph"))
+    monkeypatch.setattr(SentenceGraph, "_moved", lambda self, *_: np.ones(1, bool))
+    assert {r.score for r in graph.scores().collect()} == {0}  # linked too weakly, values fall to zero and stay there
+    monkeypatch.undo()
+    assert {r.score for r in graph.scores().collect()} == set(settled(texts, 0.001)[0].values()) != {0}

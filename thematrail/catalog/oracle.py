@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from . import inputs
-from .queries import BLOCK_TURNS, CATEGORIES, CHOSEN_NAMES, CHUNK_CHARS, GRAPH_ROUNDS, GROUPS, PAGE_CHARS, PAGE_GROUPS, ROWS_PER_CHUNK
+from .queries import BLOCK_TURNS, CATEGORIES, CHOSEN_NAMES, CHUNK_CHARS, GROUPS, PAGE_CHARS, PAGE_GROUPS, ROWS_PER_CHUNK
 
 
 # white space that is stripped from names and sentences
@@ -106,15 +106,9 @@ chosen AS (
 summaries AS (SELECT category, string_agg(sentence, ' ' ORDER BY row_id, pos) AS summary FROM chosen GROUP BY category)"""
 
 
-def _sentence_graph(rows: str, rounds: int) -> str:
-    """Scores of the sentences of each category of ``rows`` by power iteration over their shared words."""
-    steps = "".join(f""",
-scaled{i} AS MATERIALIZED (
-  SELECT category, term, w * y AS wy, max(w * y) OVER (PARTITION BY category) // 1000000 + 1 AS d FROM strengths{i}),
-valued{i + 1} AS MATERIALIZED (
-  SELECT category, row_id, pos, sum(wy) // (any_value(n_terms) + 8) // any_value(d) AS x FROM links JOIN scaled{i} USING (category, term) GROUP BY ALL),
-strengths{i + 1} AS MATERIALIZED (
-  SELECT category, term, any_value(w) AS w, sum(x) AS y FROM links JOIN valued{i + 1} USING (category, row_id, pos) GROUP BY ALL)""" for i in range(rounds))
+def _sentence_graph(rows: str) -> str:
+    """Scores of the sentences of each category of ``rows`` by power iteration over their shared words, until no word's share of the category's
+    strongest moves by more than a thousandth, or the strongest is no more than a thousand."""
     return rf"""nodes AS MATERIALIZED (
   SELECT *, list_distinct(regexp_extract_all(lower(sentence), '[\p{{L}}\p{{N}}]+')) AS terms FROM (
     SELECT category, row_id, unnest(found) AS sentence, generate_subscripts(found, 1) AS pos
@@ -125,9 +119,23 @@ weights AS MATERIALIZED (
   SELECT category, term, n, length(bin(n_all // n)) - 1 AS w FROM (SELECT category, term, count(*) AS n FROM held GROUP BY ALL)
   JOIN (SELECT category, count(*) AS n_all FROM nodes GROUP BY ALL) USING (category) WHERE n * 2 <= n_all),
 links AS MATERIALIZED (SELECT * FROM held JOIN weights USING (category, term)),
-strengths0 AS MATERIALIZED (SELECT category, term, w, n * 1000000 AS y FROM weights){steps},
+strengths(round, category, term, w, y, moved) AS (
+  SELECT 0, category, term, w, CAST(n * 1000000 AS HUGEINT), 1.0::DOUBLE FROM weights
+  UNION ALL
+  SELECT round + 1, category, term, w, new_y, max(CASE WHEN new_top > 1000 THEN abs(new_y / new_top - y / top) END) OVER (PARTITION BY category) FROM (
+    SELECT *, max(y) OVER (PARTITION BY category) AS top, max(new_y) OVER (PARTITION BY category) AS new_top FROM (
+      SELECT s.round, category, term, s.w, s.y, t.new_y FROM strengths s JOIN (
+        SELECT category, term, sum(x) AS new_y FROM links JOIN (
+          SELECT category, row_id, pos, sum(wy) // (any_value(n_terms) + 8) // any_value(d) AS x FROM links JOIN (
+            SELECT category, term, w * y AS wy, max(w * y) OVER (PARTITION BY category) // 1000000 + 1 AS d FROM strengths) USING (category, term)
+          GROUP BY ALL) USING (category, row_id, pos) GROUP BY ALL) t USING (category, term)
+      WHERE s.moved > 0.001))),
+valued AS (
+  SELECT category, row_id, pos, sum(wy) // (any_value(n_terms) + 8) // any_value(d) AS x FROM links JOIN (
+    SELECT category, term, w * y AS wy, max(w * y) OVER (PARTITION BY category) // 1000000 + 1 AS d FROM (
+      SELECT * FROM strengths QUALIFY round = max(round) OVER (PARTITION BY category))) USING (category, term) GROUP BY ALL),
 scored AS (
-  SELECT category, row_id, pos, sentence, CAST(coalesce(x, 0) AS BIGINT) AS score FROM nodes LEFT JOIN valued{rounds} USING (category, row_id, pos))"""
+  SELECT category, row_id, pos, sentence, CAST(coalesce(x, 0) AS BIGINT) AS score FROM nodes LEFT JOIN valued USING (category, row_id, pos))"""
 
 
 def _found(lexicon: dict, table: str, rows: str = "", sizes: list[int] | None = None) -> str:
@@ -346,7 +354,7 @@ FROM theme_texts {{}} GROUP BY ALL"""
   SELECT *, substr(whole, chunk * {CHUNK_CHARS} + 1, {CHUNK_CHARS}) AS text FROM (
     SELECT *, unnest(range((length(whole) + {CHUNK_CHARS - 1}) // {CHUNK_CHARS})) AS chunk FROM ({{}})))"""
     joined = "SELECT category, string_agg(summary, ' ' ORDER BY row_id) AS whole FROM theme_texts {} GROUP BY category"
-    graph = f"WITH {THEME_TEXTS}, {_sentence_graph('theme_texts', GRAPH_ROUNDS)}"
+    graph = f"WITH RECURSIVE {THEME_TEXTS}, {_sentence_graph('theme_texts')}"
     return {
         "sentence_ranks": f"{graph} SELECT category, row_id, sentence, score FROM scored",
         "graph_summaries": f"""{graph} SELECT category, string_agg(sentence, ' ' ORDER BY row_id, pos) AS summary FROM (

@@ -48,6 +48,12 @@ LOW_BITS = 31
 #: Words whose sums of one task are a row.
 BLOCK = 8192
 
+#: The rounds of a category are over once no word's share of its strongest changes by more.
+TOLERANCE = 0.001
+
+#: Rounds whose shuffled files are kept.
+ROUNDS_KEPT = 4
+
 NODE = ["category", "row_id", "at"]
 
 
@@ -147,8 +153,8 @@ class SentenceGraph:
         return self.nodes.select("node", "category", hashed.alias("terms")).mapInArrow(numbered, kinds)
 
     def _kept(self, name: str, table: DataFrame, by: str | None = None) -> DataFrame:
-        """``table`` written to the folder; ``by`` a key, it lies in buckets that are joined without a shuffle."""
-        writer, path = table.write.option("compression", "zstd"), f"{self.folder}/{name}"
+        """``table`` written to the folder, in place of one of that name; ``by`` a key, it lies in buckets that are joined without a shuffle."""
+        writer, path = table.write.mode("overwrite").option("compression", "zstd"), f"{self.folder}/{name}"
         if by is None:
             writer.parquet(path)
             return self.spark.read.schema(table.schema).parquet(path)
@@ -158,19 +164,30 @@ class SentenceGraph:
         self.spark.sql(f"DROP TABLE {entry}")  # out of the session's catalogue; the files stay
         return kept
 
-    def scores(self, rounds: int = 30, tolerance: float | None = 0.001) -> DataFrame:
-        """``category, row_id, at, sentence, score`` of every node, after so many rounds, or once no word's share of its category's
-        strongest changes by more than ``tolerance`` (None: never before). A sentence without any word that weighs scores 0."""
+    def scores(self, rounds: int | None = None, tolerance: float | None = TOLERANCE) -> DataFrame:
+        """``category, row_id, at, sentence, score`` of every node. The rounds of a category end once no word's share of its strongest changes by more than
+        ``tolerance`` (None: never before), or whole numbers cannot tell any more, its strongest being below 1 / ``tolerance``; all end after so many ``rounds``
+        (None: as many as that takes). A sentence without any word that weighs scores 0."""
+        if rounds is None and tolerance is None:
+            raise ValueError("rounds or a tolerance must end the iteration")
         joined = None if self.spread is None else self.spread.select("term", "code", "w", (F.col("n") * SCALE).alias("y"))
-        strengths, values = self._strengths(self.n * SCALE, joined, self.first_singles), None
-        for _ in range(1, rounds):
-            earlier, before, values = strengths, values, self._valued(strengths, values)
-            strengths = self._summed(values)
+        strengths, values, seen, run = self._strengths(self.n * SCALE, joined, self.first_singles), None, set(), uuid.uuid4().hex
+        moving = np.ones(len(self.sizes), bool)  # categories whose rounds go on
+        for at in count(1) if rounds is None else range(1, rounds):
+            earlier, before, values = strengths, values, self._valued(strengths, values, moving, f"{run}-{at % 2}")
+            strengths = self._summed(values, f"{run}-{at % 2}")
             if tolerance is not None:
-                moved = self._moved(earlier, strengths, before, values)
-                if moved is None or moved <= tolerance:
+                moving = moving & self._moved(earlier, strengths, before, values, moving, tolerance)
+                if not moving.any():
+                    break
+            if rounds is None:  # whole numbers that were there before would come again for ever
+                state = values.agg(F.bit_xor(F.xxhash64("node", "x")), F.bit_xor(F.xxhash64("x", "node"))).first()
+                if state in seen:
                     break
-        values = self._valued(strengths, values)
+                seen.add(state)
+            if at % ROUNDS_KEPT == 0:  # files that rounds have shuffled go once the JVM finds that nothing uses them
+                self.spark.sparkContext._jvm.System.gc()
+        values = self._valued(strengths, values, np.ones_like(moving), f"{run}-last")
         return self.nodes.join(values, "node").select(*NODE, "sentence", F.col("x").alias("score"))
 
     def _strengths(self, sent: np.ndarray, joined: DataFrame | None, singles: np.ndarray) -> Strengths:
@@ -184,7 +201,7 @@ class SentenceGraph:
                 most[r["code"]], top[r["code"]] = max(most[r["code"]], r["most"]), max(top[r["code"]], r["top"])
         return Strengths(sent, joined, most, top)
 
-    def _summed(self, values: DataFrame) -> Strengths:
+    def _summed(self, values: DataFrame, name: str) -> Strengths:
         """Sums of the sentences' values by word."""
         n_sent, n_codes = len(self.n), len(self.sizes)
 
@@ -223,10 +240,10 @@ class SentenceGraph:
             return self._strengths(sent, None, singles)
         sums = valued.filter(F.size("joined") > 0).select(F.explode("joined").alias("term"), "x").groupBy("term").agg(F.sum("x").alias("y"))
         joined = sums.join(self.spread.select("term", "code", "w"), "term").select("term", "code", "w", "y")
-        return self._strengths(sent, self._kept(f"strengths-{uuid.uuid4().hex}", joined, "term"), singles)
+        return self._strengths(sent, self._kept(f"strengths-{name}", joined, "term"), singles)
 
-    def _valued(self, strengths: Strengths, values: DataFrame | None) -> DataFrame:
-        """The next value x of every sentence from the words' strengths and its own value before; 0 where no word weighs."""
+    def _valued(self, strengths: Strengths, values: DataFrame | None, moving: np.ndarray, name: str) -> DataFrame:
+        """The next value x of every sentence of the categories ``moving`` from the words' strengths and its own value before; 0 where no word weighs."""
         links = self.links
         links = links.join(values, "node", "left") if values is not None else links.withColumn("x", F.lit(SCALE).cast("bigint"))
         if self.spread is not None:
@@ -236,35 +253,39 @@ class SentenceGraph:
             links = links.join(told.groupBy("node").agg(F.sum(high).alias("high"), F.sum(low).alias("low")), "node", "left")
         else:
             links = links.withColumns({"high": F.lit(0).cast("bigint"), "low": F.lit(0).cast("bigint")})
-        shared = self.spark.sparkContext.broadcast((self.w * strengths.sent, strengths.most // SCALE + 1, self.w_single))
+        shared = self.spark.sparkContext.broadcast(((self.w * strengths.sent, strengths.most // SCALE + 1, self.w_single), moving))
 
         def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known, moving = shared.value
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(_values(batch, *shared.value), pa.int64())], names=["node", "x"])
+                x = np.where(moving[batch.column("code").to_numpy()], _values(batch, *known), batch.column("x").to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(x, pa.int64())], names=["node", "x"])
 
         used = links.select("node", "code", "n_terms", "n_single", "ids", "x", F.coalesce("high", F.lit(0)).alias("high"), F.coalesce("low", F.lit(0)).alias("low"))
-        return self._kept(f"values-{uuid.uuid4().hex}", used.mapInArrow(valued, "node bigint, x bigint"), "node")
+        kept = self._kept(f"values-{name}", used.mapInArrow(valued, "node bigint, x bigint"), "node")
+        shared.destroy()
+        return kept
 
-    def _moved(self, earlier: Strengths, now: Strengths, before: DataFrame | None, values: DataFrame) -> float | None:
-        """The largest change of a word's share of its category's strongest."""
-        tops = now.top > 0, earlier.top > 0
-        both = tops[0] & tops[1]
+    def _moved(self, earlier: Strengths, now: Strengths, before: DataFrame | None, values: DataFrame, asked: np.ndarray, tolerance: float) -> np.ndarray:
+        """Which of the categories ``asked`` have a word whose share of the strongest has changed by more than ``tolerance``; what is at hand is looked at first."""
+        both = asked & (now.top > 1 / tolerance) & (earlier.top > 0)
         weigh = (self.w > 0) & both[self.code]
         share = lambda s: s.sent[weigh] / s.top[self.code[weigh]]
-        found = [np.abs(share(now) - share(earlier)).max()] if weigh.any() else []
-        rows = [(i, int(a), int(b), bool(w)) for i, (a, b, w) in enumerate(zip(now.top, earlier.top, self.w_single > 0)) if both[i]]
-        largest = F.broadcast(self.spark.createDataFrame(rows, "code int, top bigint, old_top bigint, single boolean"))
+        moved = np.zeros(len(both), bool)
+        moved[self.code[weigh][np.abs(share(now) - share(earlier)) > tolerance]] = True
 
-        def change(pairs: DataFrame) -> list[float]:
-            most = pairs.join(largest, "code").filter("single").agg(F.max(F.abs(F.col("y") / F.col("top") - F.col("old") / F.col("old_top")))).first()[0]
-            return [] if most is None else [most]
+        def look(pairs: DataFrame) -> None:
+            rows = [(i, int(now.top[i]), int(earlier.top[i])) for i in np.flatnonzero(both & ~moved & (self.w_single > 0)).tolist()]
+            if rows:
+                change = F.abs(F.col("y") / F.col("top") - F.col("old") / F.col("old_top"))
+                largest = F.broadcast(self.spark.createDataFrame(rows, "code int, top bigint, old_top bigint"))
+                moved[[r["code"] for r in pairs.join(largest, "code").filter(change > tolerance).select("code").distinct().collect()]] = True
 
-        old = before.select("node", F.col("x").alias("old")) if before is not None else self.links.select("node", F.lit(SCALE).cast("bigint").alias("old"))
-        own = self.links.filter("n_single > 0").select("node", "code").join(values.withColumnRenamed("x", "y"), "node").join(old, "node")
-        found += change(own)
         if now.joined is not None:
-            found += change(now.joined.filter("w > 0").join(earlier.joined.select("term", F.col("y").alias("old")), "term"))
-        return max(found, default=None)
+            look(now.joined.filter("w > 0").join(earlier.joined.select("term", F.col("y").alias("old")), "term"))
+        old = before.select("node", F.col("x").alias("old")) if before is not None else self.links.select("node", F.lit(SCALE).cast("bigint").alias("old"))
+        look(self.links.filter("n_single > 0").select("node", "code").join(values.withColumnRenamed("x", "y"), "node").join(old, "node"))
+        return moved
 
 
 def _own(sentence: Column) -> Column:
