@@ -165,9 +165,12 @@ class SentenceGraph:
         return kept
 
     def scores(self, rounds: int | None = None, tolerance: float | None = TOLERANCE) -> DataFrame:
-        """``category, row_id, at, sentence, score`` of every node. The rounds of a category end once no word's share of its strongest changes by more than
-        ``tolerance`` (None: never before), or whole numbers cannot tell any more, its strongest being below 1 / ``tolerance``; all end after so many ``rounds``
-        (None: as many as that takes). A sentence without any word that weighs scores 0."""
+        """``category, row_id, at, sentence, score`` of every node.
+
+        Without ``rounds`` those of a category end once no word's share of its strongest changes by more than ``tolerance``, or whole numbers cannot tell any more,
+        its strongest being below 1 / ``tolerance``. With ``rounds`` all categories have as many, or fewer if none changes by more (None: never fewer).
+        A sentence without any word that weighs scores 0.
+        """
         if rounds is None and tolerance is None:
             raise ValueError("rounds or a tolerance must end the iteration")
         joined = None if self.spread is None else self.spread.select("term", "code", "w", (F.col("n") * SCALE).alias("y"))
@@ -177,9 +180,10 @@ class SentenceGraph:
             earlier, before, values = strengths, values, self._valued(strengths, values, moving, f"{run}-{at % 2}")
             strengths = self._summed(values, f"{run}-{at % 2}")
             if tolerance is not None:
-                moving = moving & self._moved(earlier, strengths, before, values, moving, tolerance)
-                if not moving.any():
+                moved = self._moved(earlier, strengths, before, values, moving, tolerance, 1 / tolerance if rounds is None and tolerance else 0)
+                if not moved.any():
                     break
+                moving = moved if rounds is None else moving
             if rounds is None:  # whole numbers that were there before would come again for ever
                 state = values.agg(F.bit_xor(F.xxhash64("node", "x")), F.bit_xor(F.xxhash64("x", "node"))).first()
                 if state in seen:
@@ -266,9 +270,9 @@ class SentenceGraph:
         shared.destroy()
         return kept
 
-    def _moved(self, earlier: Strengths, now: Strengths, before: DataFrame | None, values: DataFrame, asked: np.ndarray, tolerance: float) -> np.ndarray:
-        """Which of the categories ``asked`` have a word whose share of the strongest has changed by more than ``tolerance``; what is at hand is looked at first."""
-        both = asked & (now.top > 1 / tolerance) & (earlier.top > 0)
+    def _moved(self, earlier: Strengths, now: Strengths, before: DataFrame | None, values: DataFrame, asked: np.ndarray, tolerance: float, least: float) -> np.ndarray:
+        """Which of the categories ``asked`` have a word whose share of the strongest has changed by more than ``tolerance``, the strongest being more than ``least``; what is at hand is looked at first."""
+        both = asked & (now.top > least) & (earlier.top > 0)
         weigh = (self.w > 0) & both[self.code]
         share = lambda s: s.sent[weigh] / s.top[self.code[weigh]]
         moved = np.zeros(len(both), bool)
